@@ -14,8 +14,15 @@ import re
 
 import numpy as np
 
-_ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
+#: White space at an end of a unit (but for its line feed) or side by side.
+_ODD = re.compile(r".\s\s|.\s$|^[^\n\S]|^\n\s|^\n?$", re.S)
+#: Latin letters, then marks: the vocabulary cuts between the two.
+_PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:#*$%&|]*)")
 _OPENERS = ("Ġ", "Ċ")  # how the vocabulary writes space and line feed
+#: The vocabulary's letter for each byte: visible ones stand for themselves, the
+#: others follow from 256 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_VISIBLE)))}
 
 
 class UnitEncoder:
@@ -28,31 +35,62 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         vocab = self.tokenizer.get_vocab()
+        self.line_feed = np.array([vocab["Ċ"]], "<u4").tobytes()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for token, i in vocab.items() if token.startswith(_OPENERS)]] = True
         self.max_units = max_units
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes | None] = {"": None}
+        self.raw = [np.array([i], "<u4").tobytes() for i in range(len(self.opens))]
+        self.marks: dict[str, bytes] = {"": b""}
 
-    def _plain(self, text: str) -> np.ndarray:
+    def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of units, all encoded in one joined text and cut where one opens."""
-        ids = self._plain("".join(u if u[0] == "\n" else " " + u for u in units))
-        cuts = np.flatnonzero(self.opens[ids])
-        if len(cuts) != len(units):  # a unit holds an opener of another kind
-            return {u: self._plain(u if u[0] == "\n" else " " + u).tobytes() for u in units}
-        raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
-        return {u: raw[a:b] for u, a, b in zip(units, ends, ends[1:])}
+    def _word(self, lead: str, word: str) -> bytes:
+        """One word, which the vocabulary never divides before merging."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
+        tokens = self.tokenizer.model.tokenize(letters if lead else "Ġ" + letters)
+        return (self.line_feed if lead else b"") + b"".join([self.raw[t.id] for t in tokens])
+
+    def _learn(self, units: list[str]) -> dict[str, bytes | None]:
+        """Ids of units; None where a unit depends on its neighbours."""
+        out: dict[str, bytes | None] = {}
+        rest = []
+        for unit in units:
+            plain = _PLAIN.fullmatch(unit)
+            if not plain:
+                rest.append(unit)
+                continue
+            lead, word, marks = plain.groups()
+            if marks not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks.clear()
+                    self.marks[""] = b""
+                self.marks[marks] = self._whole(marks).tobytes()
+            stem = lead + word
+            ids = self.known.get(stem) or out.get(stem)
+            if ids is None:
+                ids = out[stem] = self._word(lead, word)
+            if marks:
+                out[unit] = ids + self.marks[marks]
+        odd = [u for u in rest if _ODD.search(u)]
+        if odd:
+            out |= dict.fromkeys(odd)
+            rest = [u for u in rest if u not in out]
+        if rest:  # all in one text, cut where a unit opens
+            ids = self._whole("".join(u if u[0] == "\n" else " " + u for u in rest))
+            cuts = np.flatnonzero(self.opens[ids])
+            if len(cuts) == len(rest):
+                raw, ends = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
+                out |= {u: raw[a:b] for u, a, b in zip(rest, ends, ends[1:])}
+            else:
+                out |= {u: self._whole(u if u[0] == "\n" else " " + u).tobytes() for u in rest}
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
-            if not text or _ODD_SPACE.search(text):
-                split.append(None)
-            else:  # the text's first unit has no white space before it: it is learnt after a line feed
-                split.append(("\n" + text).replace("\n", " \n")[1:].split(" "))
-        missing = set().union(*filter(None, split)).difference(self.known)
+        # a text's first unit has no white space before it: it is learnt after a line feed
+        split = [("\n" + t).replace("\n", " \n")[1:].split(" ") if t else [] for t in texts]
+        missing = set().union(*split).difference(self.known)
         found = self._learn(list(missing)) if missing else {}
         known = self.known
         if len(known) + len(found) <= self.max_units:
@@ -61,10 +99,10 @@ class UnitEncoder:
             known = _Both(known, found)
         out = []
         for text, units in zip(texts, split):
-            if units is None:
-                out.append(self._plain(text).tobytes() if text else b"")
-            else:
+            try:
                 out.append(b"".join(map(known.__getitem__, units))[4:])
+            except TypeError:  # a unit that depends on its neighbours
+                out.append(self._whole(text).tobytes())
         return out
 
 
@@ -76,7 +114,7 @@ class _Both:
 
     def __getitem__(self, key: str) -> bytes:
         hit = self.first(key)
-        return self.second[key] if hit is None else hit
+        return self.second.get(key) if hit is None else hit
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
