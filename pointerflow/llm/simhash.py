@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """The rows of ``docs`` whose id names its component, one row an id."""
     kept = near_duplicates(docs, words).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])

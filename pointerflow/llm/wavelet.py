@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import map_batches, small, texts_of
 from .ordered import range_bounds, range_count, range_number
 from .tokens import encoder
 
@@ -191,7 +191,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     What the driver sees is one total for each shard file.
     """
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
+    totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("blocks")).orderBy("shard").collect()
     base, bases = 0, []
     for row in totals:
         bases.append((row.shard, base))
@@ -199,7 +199,7 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("shard", "block", "n_tokens").withColumn("inner", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     starts = starts.join(spark.createDataFrame(bases, "shard long, base long"), "shard").select("shard", "block", (F.col("base") + F.col("inner")).alias("first"))
-    return blocks.join(starts, ["shard", "block"])
+    return blocks.join(small(starts, sum(r.blocks for r in totals)), ["shard", "block"])
 
 
 def document_digests(blocks: DataFrame) -> DataFrame:
