@@ -12,6 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved, small
 from .html import host_of
 
 #: Labelled URLs that training uses, about; a hash of the URL picks them.
@@ -98,7 +99,8 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int =
     out = rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
     if len(seen) < 2:
         return out
-    known = [_statistics(labelled, key) for key in ("suffix", "first")]
+    known = [saved(_statistics(labelled, key), f"urls-{key}") for key in ("suffix", "first")]
+    known = [small(stats, stats.count()) for stats in known]
 
     def vectors(df: DataFrame) -> DataFrame:
         for stats in known:
