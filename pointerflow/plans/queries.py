@@ -71,7 +71,10 @@ def query(name: str, twin: str | None = None):
 
 
 def actions_of(s: SparkSession, d: str) -> DataFrame:
-    return ac.group_actions(fx.events(s, d))
+    """Actions, written once: what follows reads them several times."""
+    path = scratch(s, "actions")
+    ac.group_actions(fx.events(s, d)).write.parquet(path)
+    return s.read.parquet(path)
 
 
 def deltas_of(s: SparkSession, d: str) -> DataFrame:
@@ -211,7 +214,7 @@ _DUP = o.ACTIONS + """, dd AS (SELECT * FROM ac WHERE type <> 'x' UNION ALL SELE
 
 def doubled(s, d):
     """Actions with every hover told twice, the second ending later."""
-    a = actions_of(s, d).cache()
+    a = actions_of(s, d)
     both = a.unionByName(a.where("type = 'hover'").withColumn("end", F.col("end") + 5))
     return both.withColumn("action_idx", F.row_number().over(ev.sequence("action_idx", "end")) - 1)
 
