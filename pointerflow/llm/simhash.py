@@ -1,8 +1,15 @@
-"""Near-duplicates by SimHash, found with pivot distance tables (op10)."""
+"""Near-duplicates by SimHash, found with pivot distance tables (op10).
+
+``near_duplicates`` links fingerprints with at most three differing bits.  Texts
+that share four fifths of their shingles differ in about ten bits, which no keys
+made of fingerprint bits find in a large corpus; ``similar_documents`` therefore
+takes its keys from least shingle hashes, discards by the same pivot tables with
+a wider radius and verifies by the share of equal least hashes.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -23,23 +30,41 @@ PIVOTS = np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: Fingerprints that may share a key before it is divided further.
 HOT = 2048
 
+#: Least hashes in a sketch, one byte kept of each (standard error 0.025 at 0.8).
+MINIMA = 256
+#: Least hashes a key is made of, and keys a text has.  At a similarity of 0.8
+#: two texts share a key with probability 0.998, at 0.3 with 0.04.
+BAND, KEYS = 5, 16
+#: Bits in which texts with a similarity of 0.8 may differ (mean 10, error 3).
+WIDE = 24
 
-def simhash(text: str, words: int = 3) -> int:
-    """64-bit SimHash over shingles of ``words`` words, A-Z lower-cased.
 
-    Shingles count as often as they occur; fewer words make one shingle, no
-    words the fingerprint zero.
-    """
+def shingle_hashes(text: str, words: int = 3) -> np.ndarray:
+    """XXH64 of each shingle of ``words`` words, A-Z lower-cased, repeats
+    included; fewer words make one shingle, no words none."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     ends = list(accumulate((len(t) + 1 for t in tokens), initial=0))
     n = max(1, len(tokens) - words + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a : b - 1], 42) for a, b in zip(ends, ends[min(words, len(tokens)) :])), np.uint64, n)
-    ones = np.unpackbits(hashes.view(np.uint8)).reshape(n, 64).sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * ones > n).view(np.uint64)[0])
+    return np.fromiter((digest(joined[a : b - 1], 42) for a, b in zip(ends, ends[min(words, len(tokens)) :])), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have; zero for no hashes."""
+    ones = np.unpackbits(hashes.view(np.uint8)).reshape(len(hashes), 64).sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * ones > len(hashes)).view(np.uint64)[0])
+
+
+def simhash(text: str, words: int = 3) -> int:
+    """64-bit SimHash over shingles of ``words`` words, A-Z lower-cased.
+
+    Shingles count as often as they occur; fewer words make one shingle, no
+    words the fingerprint zero.
+    """
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,13 +131,13 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held.combine_chunks())
 
 
-def links(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def links(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of linked fingerprints, a spanning forest for each group.
 
     Rows of a group are ordered by their distance to the first pivot.  Pairs at
-    1, 2, ... places are tried together while that distance differs by RADIUS
-    at most; the greatest difference over all pivots discards, and counting
-    differing bits verifies what is left.
+    1, 2, ... places are tried together while that distance differs by
+    ``radius`` at most; the greatest difference over all pivots discards.  What
+    is left is verified by counting differing bits or, if given, by ``alike``.
     """
     table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     order = np.lexsort((table[:, 0], group))
@@ -124,13 +149,13 @@ def links(group: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         step += 1
         left = left[left + step < len(fp)]
         right = left + step
-        near = (group[left] == group[right]) & (table[right, 0] - table[left, 0] <= RADIUS)
+        near = (group[left] == group[right]) & (table[right, 0] - table[left, 0] <= radius)
         left, right = left[near], right[near]
         open_ = root[left] != root[right]
         a, b = left[open_], right[open_]
-        kept = np.abs(table[a] - table[b]).max(axis=1, initial=0) <= RADIUS
+        kept = np.abs(table[a] - table[b]).max(axis=1, initial=0) <= radius
         a, b = a[kept], b[kept]
-        linked = np.bitwise_count(fp[a] ^ fp[b]) <= RADIUS
+        linked = alike(order[a], order[b]) if alike else np.bitwise_count(fp[a] ^ fp[b]) <= radius
         a, b = a[linked], b[linked]
         for x, y in zip(a.tolist(), b.tolist()):
             r, s = _top(root, x), _top(root, y)
@@ -172,7 +197,125 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose id names its component, one row an id."""
-    kept = near_duplicates(docs, words).where("doc_id = component_id").select("doc_id").distinct()
+def _multipliers() -> np.ndarray:
+    """Odd multiples of the golden ratio, mixed: one permutation each."""
+    x = np.arange(1, MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))) | np.uint64(1)
+
+
+def sketch(hashes: np.ndarray, multipliers: np.ndarray) -> tuple[bytes, list[int]]:
+    """A byte of each least permuted hash, and the keys made of the first ones."""
+    least = np.full(MINIMA, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, (multipliers[:, None] * hashes[None, at : at + 512]).min(axis=1), out=least)
+    bands = least[: BAND * KEYS].reshape(KEYS, BAND)
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(bands)]
+    return (least >> np.uint64(8)).astype(np.uint8).tobytes(), keys
+
+
+def sketches(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint, sketch and keys of every text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        multipliers = _multipliers()
+        for batch in batches:
+            fps, marks, keys = [], [], []
+            for text in texts_of(batch, "text"):
+                hashes = shingle_hashes(text, words)
+                mark, at = sketch(hashes, multipliers)
+                fps.append(majority(hashes)), marks.append(mark), keys.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(marks, pa.binary()), pa.array(keys, schema.field(3).type)], schema=schema)
+
+    return map_batches(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text"), rows, "doc_id long, fp long, sketch binary, keys array<long>")
+
+
+def _similar(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links a, b among rows (key, salt, fp, sketch, rep) of equal key and salt.
+
+    A task reads its rows in order and holds one key's at most: beyond HOT rows
+    it links what it has and goes on with one row of each component.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    need = MINIMA * (similarity + (1 - similarity) / 256)  # bytes of different hashes agree once in 256
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def linked(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
+            key, salt, fp, rep = (table.column(c).to_numpy() for c in ("key", "salt", "fp", "rep"))
+            marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)
+            new = np.ones(len(fp), bool)
+            new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+            a, b = links(np.cumsum(new), fp.view(np.uint64), WIDE, lambda x, y: (marks[x] == marks[y]).sum(axis=1) >= need)
+            top: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while x in top:
+                    x = top[x]
+                return x
+
+            for x, y in zip(a.tolist(), b.tolist()):
+                x, y = find(x), find(y)
+                if x != y:
+                    top[max(x, y)] = min(x, y)
+            first = np.ones(len(fp), bool)
+            first[list(top)] = False
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], schema=schema), first
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            key, salt = table.column("key").to_numpy(), table.column("salt").to_numpy()
+            if not len(key):
+                continue
+            cut = len(key) - int(((key == key[-1]) & (salt == salt[-1])).sum())  # the last key may go on in the next batch
+            if cut:
+                yield linked(table.slice(0, cut))[0]
+            held = table.slice(cut)
+            if held.num_rows > HOT:
+                found, first = linked(held)
+                yield found
+                held = held.filter(pa.array(first))
+        if held is not None and held.num_rows:
+            yield linked(held)[0]
+
+    ordered = rows.select("key", "salt", "fp", "rep", "sketch").repartition("key", "salt").sortWithinPartitions("key", "salt", "fp", "rep")
+    return map_batches(ordered, forest, "a long, b long").distinct()
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id of every row; texts are linked if their sets of
+    ``words``-word shingles have a Jaccard similarity of ``similarity``.
+
+    Similarities are estimated from MINIMA least hashes (standard error 0.025 at
+    0.8).  Copies take part once.  Keys of more than HOT texts are divided by a
+    salt first; one text of each component found goes on to a second pass over
+    the whole key, so that no task gets a hot key's rows at once.  Texts without
+    words are alike.  Rows with a null id have a null component unless a copy
+    has an id.  An empty table gives no rows.
+    """
+    every = saved(sketches(docs, words, id_col, text_col), "sketches")
+    reps = saved(every.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys")), "sketches-distinct")
+    named = reps.where("rep is not null")
+    keyed = named.select("rep", F.explode("keys").alias("key"))
+    shared = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sketch-keys")
+    members = saved(keyed.join(shared, "key"), "sketch-members")
+    bodies = named.select("rep", "fp", "sketch")
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / HOT)))
+    found = saved(_similar(salted.join(bodies, "rep"), similarity), "sketch-links")
+    hot = members.where(F.col("n") > HOT)
+    heads = hot.join(components(found).where("node <> root"), F.col("rep") == F.col("node"), "left_anti").withColumn("salt", F.lit(0).cast("long"))
+    roots = components(found.unionByName(_similar(heads.join(bodies, "rep"), similarity)))
+    classes = reps.join(roots, reps.rep == roots.node, "left").select("fp", "sketch", F.coalesce("root", "rep").alias("component_id"))
+    return every.join(classes, ["fp", "sketch"]).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose id names its component, one row an id.
+
+    Components are those of ``similar_documents``.
+    """
+    kept = similar_documents(docs, words, similarity).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -439,6 +439,38 @@ def test_op10_hard_rows(hard, empty):
     assert simhash.drop_near_duplicates(hard).columns == hard.columns
 
 
+def shingle_set(text, words=5):
+    tokens = WORD.findall(text.lower())
+    return {" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))} if tokens else {""}
+
+
+def test_similar_documents_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts, families = [], []
+    for family in range(40):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.randint(60, 600))]
+        for _ in range(rnd.randint(1, 12)):
+            edited = [rnd.choice(vocabulary) if rnd.random() < 0.008 else w for w in base]
+            texts.append(" ".join(edited)), families.append(family)
+    sets = [shingle_set(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (2048, 4):
+        monkeypatch.setattr(simhash, "HOT", hot)
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+        assert len(got) == len(texts)
+        assert all(families[d] == families[c] for d, c in got.items())
+        sure = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.88 * len(sets[a] | sets[b])]
+        assert len(sure) > 100 and all(got[a] == got[b] for a, b in sure)
+
+
+def test_similar_documents_hard_rows(hard, empty):
+    got = simhash.similar_documents(hard).collect()
+    assert len(got) == len(HARD)
+    assert {r.component_id for r in got if r.doc_id in (1, 2)} == {1} and {r.component_id for r in got if r.doc_id in (3, 8)} == {3}
+    assert simhash.similar_documents(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501), (7, 6)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
