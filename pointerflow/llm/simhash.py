@@ -4,7 +4,7 @@
 that share four fifths of their shingles differ in about ten bits, which no keys
 made of fingerprint bits find in a large corpus; ``similar_documents`` therefore
 takes its keys from least shingle hashes, discards by the same pivot tables with
-a wider radius and verifies by the share of equal least hashes.
+a wider radius and by the share of equal least hashes, and counts what is left.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ MINIMA = 256
 BAND, KEYS = 5, 16
 #: Bits in which texts with a similarity of 0.8 may differ (mean 10, error 3).
 WIDE = 24
+#: How far below the similarity sought a sketch may lie: four standard errors.
+SLACK = 0.1
 
 
 def shingle_hashes(text: str, words: int = 3) -> np.ndarray:
@@ -231,24 +233,43 @@ def sketches(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
     return map_batches(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text"), rows, "doc_id long, fp long, sketch binary, keys array<long>")
 
 
-def _similar(rows: DataFrame, similarity: float) -> DataFrame:
+def _similar(rows: DataFrame, similarity: float, words: int | None = None) -> DataFrame:
     """Links a, b among rows (key, salt, fp, sketch, rep) of equal key and salt.
 
-    A task reads its rows in order and holds one key's at most: beyond HOT rows
-    it links what it has and goes on with one row of each component.
+    Sketches decide, SLACK below ``similarity``; with ``words``, rows have a
+    text as well, and what the sketches leave is counted exactly.  A task reads
+    its rows in order and holds one key's at most: beyond HOT rows it links what
+    it has and goes on with one row of each component.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    need = MINIMA * (similarity + (1 - similarity) / 256)  # bytes of different hashes agree once in 256
+    share = similarity - SLACK
+    need = MINIMA * (share + (1 - share) / 256)  # bytes of different hashes agree once in 256
+
+    def verifier(table: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)
+        sets: dict[int, np.ndarray] = {}
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.unique(shingle_hashes(table.column("text")[i].as_py() or "", words))
+            return sets[i]
+
+        def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            near = (marks[x] == marks[y]).sum(axis=1) >= need
+            for k in np.flatnonzero(near) if words else ():
+                near[k] = jaccard(shingles(int(x[k])), shingles(int(y[k]))) >= similarity
+            return near
+
+        return alike
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def linked(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
             key, salt, fp, rep = (table.column(c).to_numpy() for c in ("key", "salt", "fp", "rep"))
-            marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, MINIMA)
             new = np.ones(len(fp), bool)
             new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
-            a, b = links(np.cumsum(new), fp.view(np.uint64), WIDE, lambda x, y: (marks[x] == marks[y]).sum(axis=1) >= need)
+            a, b = links(np.cumsum(new), fp.view(np.uint64), WIDE, verifier(table))
             top: dict[int, int] = {}
 
             def find(x: int) -> int:
@@ -281,20 +302,43 @@ def _similar(rows: DataFrame, similarity: float) -> DataFrame:
         if held is not None and held.num_rows:
             yield linked(held)[0]
 
-    ordered = rows.select("key", "salt", "fp", "rep", "sketch").repartition("key", "salt").sortWithinPartitions("key", "salt", "fp", "rep")
+    ordered = rows.select("key", "salt", "fp", "rep", "sketch", *(["text"] if words else [])).repartition("key", "salt").sortWithinPartitions("key", "salt", "fp", "rep")
     return map_batches(ordered, forest, "a long, b long").distinct()
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets, each a sorted array; two empty sets are alike."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - common
+    return common / union if union else 1.0
+
+
+def _divided(members: DataFrame, seed: int = 0) -> DataFrame:
+    """``members`` (rep, key, n) with a salt that gives parts of about HOT rows."""
+    return members.withColumn("salt", F.lit(seed) + 2 * F.pmod(F.xxhash64("rep", F.lit(seed)), F.ceil(F.col("n") / HOT)))
+
+
+def _completed(found: DataFrame, hot: DataFrame, bodies: DataFrame, similarity: float, words: int | None = None) -> DataFrame:
+    """``found`` and the links between parts of the hot keys: one text of each
+    component found goes on to the whole key."""
+    if hot.isEmpty():
+        return found
+    heads = hot.join(components(found).where("node <> root"), F.col("rep") == F.col("node"), "left_anti")
+    return found.unionByName(_similar(heads.withColumn("salt", F.lit(0).cast("long")).join(bodies, "rep"), similarity, words))
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and component_id of every row; texts are linked if their sets of
     ``words``-word shingles have a Jaccard similarity of ``similarity``.
 
-    Similarities are estimated from MINIMA least hashes (standard error 0.025 at
-    0.8).  Copies take part once.  Keys of more than HOT texts are divided by a
-    salt first; one text of each component found goes on to a second pass over
-    the whole key, so that no task gets a hot key's rows at once.  Texts without
-    words are alike.  Rows with a null id have a null component unless a copy
-    has an id.  An empty table gives no rows.
+    Texts that share a key and whose sketches are alike within SLACK form
+    candidate classes; within a class similarities are counted exactly, from
+    whole texts.  Copies take part once: equal fingerprints and sketches are
+    taken as copies.  Keys and classes of more than HOT texts are divided by
+    salts (classes in two independent ways) first; one text of each component
+    found goes on to the whole key or class, so that no task gets a hot one's
+    rows at once.  Texts without words are alike.  Rows with a null id have a
+    null component unless a copy has an id.  An empty table gives no rows.
     """
     every = saved(sketches(docs, words, id_col, text_col), "sketches")
     reps = saved(every.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys")), "sketches-distinct")
@@ -303,13 +347,19 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     shared = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sketch-keys")
     members = saved(keyed.join(shared, "key"), "sketch-members")
     bodies = named.select("rep", "fp", "sketch")
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / HOT)))
-    found = saved(_similar(salted.join(bodies, "rep"), similarity), "sketch-links")
-    hot = members.where(F.col("n") > HOT)
-    heads = hot.join(components(found).where("node <> root"), F.col("rep") == F.col("node"), "left_anti").withColumn("salt", F.lit(0).cast("long"))
-    roots = components(found.unionByName(_similar(heads.join(bodies, "rep"), similarity)))
-    classes = reps.join(roots, reps.rep == roots.node, "left").select("fp", "sketch", F.coalesce("root", "rep").alias("component_id"))
-    return every.join(classes, ["fp", "sketch"]).select("doc_id", "component_id")
+    found = saved(_similar(_divided(members).join(bodies, "rep"), similarity), "sketch-links")
+    found = _completed(found, members.where(F.col("n") > HOT), bodies, similarity)
+    classes = saved(components(found).select(F.col("node").alias("rep"), F.col("root").alias("key")), "sketch-classes")
+
+    sizes = classes.groupBy("key").agg(F.count("*").alias("n"))
+    sized = saved(classes.join(sizes, "key").join(bodies, "rep"), "sketch-candidates")
+    hot = sized.where(F.col("n") > HOT)
+    rows = _divided(sized).unionByName(_divided(hot, seed=1))
+    texts = saved(docs.selectExpr(f"cast(`{id_col}` as long) rep", f"cast(`{text_col}` as string) text").join(classes.select("rep"), "rep", "left_semi"), "sketch-texts")
+    exact = saved(_similar(rows.join(texts, "rep"), similarity, words), "similar-links")
+    roots = components(_completed(exact, hot, texts, similarity, words))
+    linked = reps.join(roots, reps.rep == roots.node, "left").select("fp", "sketch", F.coalesce("root", "rep").alias("component_id"))
+    return every.join(linked, ["fp", "sketch"]).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
