@@ -27,7 +27,8 @@ RADIUS = 3
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 #: Reference fingerprints of the distance table: multiples of the golden ratio.
 PIVOTS = np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-#: Fingerprints that may share a key before it is divided further.
+#: Fingerprints that may share a key before it is divided further, and texts of
+#: one key or class that a task compares at a time.
 HOT = 2048
 
 #: Least hashes in a sketch, one byte kept of each (standard error 0.025 at 0.8).
@@ -133,18 +134,22 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(held.combine_chunks())
 
 
-def links(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+def links(group: np.ndarray, fp: np.ndarray, radius: int = RADIUS, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of linked fingerprints, a spanning forest for each group.
 
     Rows of a group are ordered by their distance to the first pivot.  Pairs at
     1, 2, ... places are tried together while that distance differs by
     ``radius`` at most; the greatest difference over all pivots discards.  What
     is left is verified by counting differing bits or, if given, by ``alike``.
+    Rows of a group with equal ``known`` count as linked already.
     """
     table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     order = np.lexsort((table[:, 0], group))
     group, fp, table = group[order], fp[order], table[order]
     root = np.arange(len(fp))
+    if known is not None and len(fp):
+        _, first, inverse = np.unique(np.stack([group, known[order]]), axis=1, return_index=True, return_inverse=True)
+        root = first[inverse.reshape(-1)]
     found_a, found_b = [], []
     left, step = np.arange(len(fp)), 0
     while len(left):
@@ -234,12 +239,12 @@ def sketches(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
 
 
 def _similar(rows: DataFrame, similarity: float, words: int | None = None) -> DataFrame:
-    """Links a, b among rows (key, salt, fp, sketch, rep) of equal key and salt.
+    """Links a, b among rows (key, salt, known, fp, sketch, rep) of equal key and
+    salt; rows of equal ``known`` are linked already.
 
     Sketches decide, SLACK below ``similarity``; with ``words``, rows have a
     text as well, and what the sketches leave is counted exactly.  A task reads
-    its rows in order and holds one key's at most: beyond HOT rows it links what
-    it has and goes on with one row of each component.
+    its rows in order and holds those of one key and salt, about HOT.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     share = similarity - SLACK
@@ -262,47 +267,31 @@ def _similar(rows: DataFrame, similarity: float, words: int | None = None) -> Da
 
         return alike
 
-    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def linked(table: pa.Table) -> tuple[pa.RecordBatch, np.ndarray]:
-            key, salt, fp, rep = (table.column(c).to_numpy() for c in ("key", "salt", "fp", "rep"))
-            new = np.ones(len(fp), bool)
-            new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
-            a, b = links(np.cumsum(new), fp.view(np.uint64), WIDE, verifier(table))
-            top: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while x in top:
-                    x = top[x]
-                return x
-
-            for x, y in zip(a.tolist(), b.tolist()):
-                x, y = find(x), find(y)
-                if x != y:
-                    top[max(x, y)] = min(x, y)
-            first = np.ones(len(fp), bool)
-            first[list(top)] = False
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], schema=schema), first
+    def linked(table: pa.Table) -> pa.RecordBatch:
+        key, salt, known, fp, rep = (table.column(c).to_numpy() for c in ("key", "salt", "known", "fp", "rep"))
+        new = np.ones(len(fp), bool)
+        new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+        a, b = links(np.cumsum(new), fp.view(np.uint64), WIDE, verifier(table), known)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], schema=schema)
 
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of one key and salt so far
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            key, salt = table.column("key").to_numpy(), table.column("salt").to_numpy()
+            key, salt = batch.column("key").to_numpy(), batch.column("salt").to_numpy()
             if not len(key):
                 continue
-            cut = len(key) - int(((key == key[-1]) & (salt == salt[-1])).sum())  # the last key may go on in the next batch
-            if cut:
-                yield linked(table.slice(0, cut))[0]
-            held = table.slice(cut)
-            if held.num_rows > HOT:
-                found, first = linked(held)
-                yield found
-                held = held.filter(pa.array(first))
-        if held is not None and held.num_rows:
-            yield linked(held)[0]
-
-    ordered = rows.select("key", "salt", "fp", "rep", "sketch", *(["text"] if words else [])).repartition("key", "salt").sortWithinPartitions("key", "salt", "fp", "rep")
+            last = len(key) - int(((key == key[-1]) & (salt == salt[-1])).sum())  # the last key may go on in the next batch
+            if held and (held[-1].column("key")[0].as_py(), held[-1].column("salt")[0].as_py()) != (key[-1], salt[-1]) and not last:
+                yield linked(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            if last:
+                yield linked(pa.Table.from_batches([*held, batch.slice(0, last)]).combine_chunks())
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield linked(pa.Table.from_batches(held).combine_chunks())
+
+    ordered = rows.select("key", "salt", "known", "fp", "rep", "sketch", *(["text"] if words else [])).repartition("key", "salt").sortWithinPartitions("key", "salt", "fp", "rep")
     return map_batches(ordered, forest, "a long, b long").distinct()
 
 
@@ -313,18 +302,42 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return common / union if union else 1.0
 
 
-def _divided(members: DataFrame, seed: int = 0) -> DataFrame:
-    """``members`` (rep, key, n) with a salt that gives parts of about HOT rows."""
-    return members.withColumn("salt", F.lit(seed) + 2 * F.pmod(F.xxhash64("rep", F.lit(seed)), F.ceil(F.col("n") / HOT)))
+def _divided(members: DataFrame) -> DataFrame:
+    """``members`` (rep, key, n) with a salt that gives parts of about HOT rows,
+    each key's in another way."""
+    parts = F.ceil(F.col("n") / HOT)
+    return members.withColumn("salt", F.pmod(F.xxhash64("rep", "key"), parts)).withColumn("known", F.col("rep"))
+
+
+def _crossed(hot: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (rep, key, salt, known) that bring together whatever parts of the
+    hot keys kept apart: each two texts of a key that ``found`` does not link
+    yet share a salt, whose rows are about HOT.
+
+    A component of more than half of HOT texts of a key has blocks of its own, the
+    others share blocks; a salt is a pair of blocks.  Pairs of blocks of one
+    component are left out, so a key that is one component costs nothing.
+    """
+    half = max(1, HOT // 2)
+    roots = components(found)
+    placed = hot.select("rep", "key").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "key", F.coalesce("root", "rep").alias("known"))
+    sizes = placed.groupBy("key", "known").agg(F.count("*").alias("m"))
+    open_ = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("m") <= half, F.col("m")).otherwise(0)).alias("rest")).where("parts > 1").drop("parts")
+    own = F.col("m") > half
+    block = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.when(own, F.col("m")).otherwise(F.col("rest")) / half))
+    placed = placed.join(sizes, ["key", "known"]).join(open_, "key").select("rep", "key", "known", own.alias("own"), F.when(own, F.col("known")).otherwise(0).alias("whole"), block.alias("block"))
+    placed = saved(placed, "sketch-blocks")
+    blocks = placed.select("key", F.struct("own", "whole", "block").alias("x")).distinct()
+    pairs = blocks.join(blocks.withColumnRenamed("x", "y"), "key").where("x <= y and not (x.own and y.own and x.whole = y.whole)")
+    pairs = pairs.select("key", F.xxhash64("x.own", "x.whole", "x.block", "y.own", "y.whole", "y.block").alias("salt"), F.explode(F.array_distinct(F.array("x", "y"))).alias("x"))
+    return placed.join(pairs.select("key", "salt", "x.*"), ["key", "own", "whole", "block"]).select("rep", "key", "salt", "known")
 
 
 def _completed(found: DataFrame, hot: DataFrame, bodies: DataFrame, similarity: float, words: int | None = None) -> DataFrame:
-    """``found`` and the links between parts of the hot keys: one text of each
-    component found goes on to the whole key."""
+    """``found`` and the links between parts of the hot keys, all members kept."""
     if hot.isEmpty():
         return found
-    heads = hot.join(components(found).where("node <> root"), F.col("rep") == F.col("node"), "left_anti")
-    return found.unionByName(_similar(heads.withColumn("salt", F.lit(0).cast("long")).join(bodies, "rep"), similarity, words))
+    return found.unionByName(_similar(_crossed(hot, found).join(bodies, "rep"), similarity, words))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -335,9 +348,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     candidate classes; within a class similarities are counted exactly, from
     whole texts.  Copies take part once: equal fingerprints and sketches are
     taken as copies.  Keys and classes of more than HOT texts are divided by
-    salts (classes in two independent ways) first; one text of each component
-    found goes on to the whole key or class, so that no task gets a hot one's
-    rows at once.  Texts without words are alike.  Rows with a null id have a
+    salts first; then every block of texts meets every other block of its key
+    or class, unless they are linked as a whole, so that no task gets a hot
+    one's rows at once and no pair is left out.  Texts without words are alike.  Rows with a null id have a
     null component unless a copy has an id.  An empty table gives no rows.
     """
     every = saved(sketches(docs, words, id_col, text_col), "sketches")
@@ -354,10 +367,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     sizes = classes.groupBy("key").agg(F.count("*").alias("n"))
     sized = saved(classes.join(sizes, "key").join(bodies, "rep"), "sketch-candidates")
     hot = sized.where(F.col("n") > HOT)
-    rows = _divided(sized).unionByName(_divided(hot, seed=1))
     texts = saved(docs.selectExpr(f"cast(`{id_col}` as long) rep", f"cast(`{text_col}` as string) text").join(classes.select("rep"), "rep", "left_semi"), "sketch-texts")
-    exact = saved(_similar(rows.join(texts, "rep"), similarity, words), "similar-links")
-    roots = components(_completed(exact, hot, texts, similarity, words))
+    exact = saved(_similar(_divided(sized).join(texts, "rep"), similarity, words), "similar-links")
+    roots = components(_completed(exact, hot, bodies.join(texts, "rep"), similarity, words))
     linked = reps.join(roots, reps.rep == roots.node, "left").select("fp", "sketch", F.coalesce("root", "rep").alias("component_id"))
     return every.join(linked, ["fp", "sketch"]).select("doc_id", "component_id")
 

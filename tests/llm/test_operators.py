@@ -466,6 +466,26 @@ def test_similar_documents_against_brute_force(spark, monkeypatch):
         assert all(got[d] == d for d in set(range(len(texts))).difference(*alike))
 
 
+def test_hot_keys_and_classes_lose_no_link(spark, monkeypatch):
+    """A hot class of chains: texts of a chain are at 0.8 or more only to their
+    neighbours, so that texts which are not heads have to meet across parts."""
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(6):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(500)]
+        for _ in range(40):
+            texts.append(" ".join(words[:104]))
+            words = words[9:]
+    sets = [shingle_set(t) for t in texts]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    monkeypatch.setattr(simhash, "HOT", 4)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert got == whole
+    assert len(alike) > 150 and sum(got[a] == got[b] for a, b in alike) >= 0.99 * len(alike)  # a pair shares a key nearly always
+
+
 @pytest.mark.parametrize("spread", [0, 1])
 def test_similarity_is_counted_exactly(spark, spread):
     """Pairs of texts at 0.8 are linked, and those a shingle below are not."""
