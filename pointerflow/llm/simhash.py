@@ -192,15 +192,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     does (then null).  An empty table gives no rows.
     """
     fps = saved(fingerprints(docs, words, id_col, text_col), "simhash")
-    reps = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    keyed = reps.where("rep is not null").select(_keys().alias("key"), "fp", "rep").select("key.pair", "key.at", "fp", "rep")
+    reps = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct").withColumn("rep", F.col("fp"))
+    keyed = reps.select(_keys().alias("key"), "fp", "rep").select("key.pair", "key.at", "fp", "rep")
     hot = keyed.groupBy("pair", "at").count().where(F.col("count") > HOT).select("pair", "at")
     hot = saved(hot, "simhash-hot")
     cold = keyed.join(hot, ["pair", "at"], "left_anti").select("pair", "at", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("value"), "fp", "rep")
     split = keyed.join(hot, ["pair", "at"], "left_semi").select("pair", "at", _parts().alias("part", "value"), "fp", "rep")
     both = cold.unionByName(split).repartition("pair", "at", "part", "value").sortWithinPartitions("pair", "at", "part", "value", "fp")
     roots = components(both.mapInArrow(_forest, "a long, b long").distinct())
-    named = reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    named = saved(reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("root"), "least"), "simhash-named")
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -221,9 +222,16 @@ def sketch(hashes: np.ndarray, multipliers: np.ndarray) -> tuple[bytes, list[int
     return (least >> np.uint64(8)).astype(np.uint8).tobytes(), keys
 
 
+def _row(docs: DataFrame) -> Column:
+    """A hash of all columns and of which are null, by which a row is known, as
+    ids may be null or repeated.  Equal rows share it."""
+    columns = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    return F.xxhash64(*columns, *(c.isNull() for c in columns))
+
+
 def sketches(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, sketch and keys of every text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """doc_id, row (see ``_row``), fingerprint, sketch and keys of every text."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("fp", pa.int64()), ("sketch", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multipliers = _multipliers()
@@ -233,9 +241,9 @@ def sketches(docs: DataFrame, words: int = 5, id_col: str = "doc_id", text_col:
                 hashes = shingle_hashes(text, words)
                 mark, at = sketch(hashes, multipliers)
                 fps.append(majority(hashes)), marks.append(mark), keys.append(at)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(marks, pa.binary()), pa.array(keys, schema.field(3).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(marks, pa.binary()), pa.array(keys, schema.field("keys").type)], schema=schema)
 
-    return map_batches(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text"), rows, "doc_id long, fp long, sketch binary, keys array<long>")
+    return map_batches(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _row(docs).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text")), rows, "doc_id long, row long, fp long, sketch binary, keys array<long>")
 
 
 def _similar(rows: DataFrame, similarity: float, words: int | None = None) -> DataFrame:
@@ -340,26 +348,16 @@ def _completed(found: DataFrame, hot: DataFrame, bodies: DataFrame, similarity:
     return found.unionByName(_similar(_crossed(hot, found).join(bodies, "rep"), similarity, words))
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id of every row; texts are linked if their sets of
-    ``words``-word shingles have a Jaccard similarity of ``similarity``.
-
-    Texts that share a key and whose sketches are alike within SLACK form
-    candidate classes; within a class similarities are counted exactly, from
-    whole texts.  Copies take part once: equal fingerprints and sketches are
-    taken as copies.  Keys and classes of more than HOT texts are divided by
-    salts first; then every block of texts meets every other block of its key
-    or class, unless they are linked as a whole, so that no task gets a hot
-    one's rows at once and no pair is left out.  Texts without words are alike.  Rows with a null id have a
-    null component unless a copy has an id.  An empty table gives no rows.
-    """
+def _linked(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Every text's sketch, and of each distinct one (fp, sketch) the component
+    and its ``first`` row: (no id, doc_id, row), which rows with an id lead."""
     every = saved(sketches(docs, words, id_col, text_col), "sketches")
-    reps = saved(every.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep"), F.min("keys").alias("keys")), "sketches-distinct")
-    named = reps.where("rep is not null")
-    keyed = named.select("rep", F.explode("keys").alias("key"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    reps = saved(every.groupBy("fp", "sketch").agg(F.min("row").alias("rep"), F.min(first).alias("first"), F.min("keys").alias("keys")), "sketches-distinct")
+    keyed = reps.select("rep", F.explode("keys").alias("key"))
     shared = saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sketch-keys")
     members = saved(keyed.join(shared, "key"), "sketch-members")
-    bodies = named.select("rep", "fp", "sketch")
+    bodies = reps.select("rep", "fp", "sketch")
     found = saved(_similar(_divided(members).join(bodies, "rep"), similarity), "sketch-links")
     found = _completed(found, members.where(F.col("n") > HOT), bodies, similarity)
     classes = saved(components(found).select(F.col("node").alias("rep"), F.col("root").alias("key")), "sketch-classes")
@@ -367,17 +365,37 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     sizes = classes.groupBy("key").agg(F.count("*").alias("n"))
     sized = saved(classes.join(sizes, "key").join(bodies, "rep"), "sketch-candidates")
     hot = sized.where(F.col("n") > HOT)
-    texts = saved(docs.selectExpr(f"cast(`{id_col}` as long) rep", f"cast(`{text_col}` as string) text").join(classes.select("rep"), "rep", "left_semi"), "sketch-texts")
+    texts = docs.select(_row(docs).alias("rep"), F.col(f"`{text_col}`").cast("string").alias("text")).join(classes.select("rep"), "rep", "left_semi")
+    texts = saved(texts.dropDuplicates(["rep"]), "sketch-texts")  # equal rows
     exact = saved(_similar(_divided(sized).join(texts, "rep"), similarity, words), "similar-links")
     roots = components(_completed(exact, hot, bodies.join(texts, "rep"), similarity, words))
-    linked = reps.join(roots, reps.rep == roots.node, "left").select("fp", "sketch", F.coalesce("root", "rep").alias("component_id"))
-    return every.join(linked, ["fp", "sketch"]).select("doc_id", "component_id")
+    return every, saved(reps.join(roots, reps.rep == roots.node, "left").select("fp", "sketch", F.coalesce("root", "rep").alias("component"), "first"), "similar-linked")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose id names its component, one row an id.
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and component_id of every row; texts are linked if their sets of
+    ``words``-word shingles have a Jaccard similarity of ``similarity``.
 
-    Components are those of ``similar_documents``.
+    Texts that share a key and whose sketches are alike within SLACK form
+    candidate classes; within a class similarities are counted exactly, from
+    whole texts.  Copies take part once: equal fingerprints and sketches are
+    taken as copies.  Keys and classes of more than HOT texts are divided by
+    salts first; then every block of texts meets every other block of its key
+    or class, unless they are linked as a whole, so that no task gets a hot
+    one's rows at once and no pair is left out.  Texts without words are alike.  Rows with a null
+    id take part, but name a component only if nothing else does (then null).  An empty table gives no rows.
     """
-    kept = similar_documents(docs, words, similarity).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    every, linked = _linked(docs, words, similarity, id_col, text_col)
+    named = linked.join(linked.groupBy("component").agg(F.min("first").alias("leader")), "component").select("fp", "sketch", F.col("leader.doc_id").alias("component_id"))
+    return every.join(named, ["fp", "sketch"]).select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of ``docs`` for each component of ``similar_documents``: of the
+    least id, then the least hash of the row; of rows without an id if there
+    are no others.  Rows are told apart by all their columns, so different texts
+    without an id, or with one id, stay."""
+    _, linked = _linked(docs, words, similarity, "doc_id", "text")
+    kept = linked.groupBy("component").agg(F.min("first").alias("leader")).select(F.col("leader.row").alias("near_row"))
+    rows = docs.withColumn("near_row", _row(docs))
+    return rows.join(kept, "near_row", "left_semi").dropDuplicates(["near_row"]).select(*docs.columns)

@@ -508,6 +508,21 @@ def test_similar_documents_hard_rows(hard, empty):
     assert simhash.similar_documents(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_rows_without_or_with_repeated_ids_stay(spark):
+    rnd = random.Random(1)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(80)) for _ in range(5)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (None, texts[4]), (9, texts[4] + " more"), (3, texts[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, simhash.drop_near_duplicates(docs).collect()), key=str)
+    assert got == sorted([(None, texts[0]), (None, texts[1]), (3, texts[2]), (7, texts[3]), (9, texts[4] + " more")], key=str)
+
+
+def test_op10_bridge_without_id(spark, monkeypatch):
+    table = spark.createDataFrame([(4, 0), (None, 0b111), (6, 0b111111)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: table)
+    assert {r.component_id for r in simhash.near_duplicates(table).collect()} == {4}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501), (7, 6)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
