@@ -59,6 +59,8 @@ def entropy_rates(sized: DataFrame, sources: DataFrame, most: float = MOST, tole
     every source at once; the driver sees a few numbers a source.  The second
     constraint keeps a source's long and short documents in proportion, as the
     first alone would tilt towards one of them.
+    As both have the same ratio, the optimum is ``b = 0`` and one rate a source,
+    ``target / source_size``.
     """
     spark = sized.sparkSession
     pairs = saved(sized.groupBy("source", "size").agg(F.count("*").alias("c")).where("size > 0"), "mixing-sizes")
