@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from .common import map_batches, saved, texts_of
 
 SYMBOLS = "#*$%&|<>"
-#: Statistic: (expression, least spread).  A fence lies ``reach`` spreads beyond
-#: a quartile; the spread is the quartiles' distance, but never below the value
-#: given, as many groups have a statistic that is zero nearly everywhere.
-RATES: dict[str, tuple[str, float]] = {
-    "word_length": ("word_chars / n_words", 0.5),
-    "symbol_rate": ("n_symbols / n_words", 0.05),
-    "dup_line_rate": ("n_dup_lines / greatest(n_lines, 1)", 0.15),
-    "repeat_rate": ("n_repeat_words / n_words", 0.12),
+#: Statistic: (expression, lower and upper quantile, least spread).  A fence lies
+#: ``reach`` spreads beyond a quantile; the spread is the distance of the two.
+#: Rates that are zero in most documents take tail quantiles.  The least spread
+#: is for groups that have hardly any values but one.
+RATES: dict[str, tuple[str, float, float, float]] = {
+    "word_length": ("word_chars / n_words", 0.25, 0.75, 0.1),
+    "symbol_rate": ("n_symbols / n_words", 0.25, 0.75, 0.01),
+    "dup_line_rate": ("n_dup_lines / greatest(n_lines, 1)", 0.05, 0.95, 0.05),
+    "repeat_rate": ("n_repeat_words / n_words", 0.05, 0.95, 0.01),
 }
 TWO_SIDED = ("word_length",)
 
@@ -69,9 +70,9 @@ def thresholds(counts: DataFrame, reach: float = 4.0, least_rows: int = 40) -> D
     language, and all documents; a pair with fewer than ``least_rows`` rows
     takes its language's fences, and failing that everyone's.
     """
-    rates = counts.where(~base_failed()).select("lang", "source", *(F.expr(e).alias(r) for r, (e, _) in RATES.items()))
-    quartiles = [F.percentile_approx(r, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias(r) for r in RATES]
-    sketches = rates.groupingSets([["lang", "source"], ["lang"], []], "lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *quartiles)
+    rates = counts.where(~base_failed()).select("lang", "source", *(F.expr(e).alias(r) for r, (e, *_) in RATES.items()))
+    quantiles = [F.percentile_approx(r, F.array(F.lit(low), F.lit(high)), F.lit(10_000)).alias(r) for r, (_, low, high, _) in RATES.items()]
+    sketches = rates.groupingSets([["lang", "source"], ["lang"], []], "lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *quantiles)
     sketches = saved(sketches, "quality-sketches").withColumn("q", F.struct(*RATES))
     pairs = counts.select("lang", "source").distinct()
     fine, mid, top = (sketches.where(f"level = {level} and n >= {least}").select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("q").alias(name)) for level, least, name in ((0, least_rows, "fine"), (1, least_rows, "mid"), (3, 1, "top")))
@@ -80,7 +81,7 @@ def thresholds(counts: DataFrame, reach: float = 4.0, least_rows: int = 40) -> D
     found = found.join(top.drop("l", "s"), F.lit(True), "left")
     q = F.coalesce("fine", "mid", "top")
     fences = []
-    for r, (_, least) in RATES.items():
+    for r, (*_, least) in RATES.items():
         low, high = q[r][0], q[r][1]
         spread = F.greatest(high - low, F.lit(least))
         fences += [(low - reach * spread).alias(f"{r}_low"), (high + reach * spread).alias(f"{r}_high")]
@@ -98,7 +99,7 @@ def apply_quality_rules(docs: DataFrame, reach: float = 4.0, least_rows: int = 4
     fences = thresholds(counts, reach, least_rows)
     judged = counts.join(fences, counts.lang.eqNullSafe(fences.at_lang) & counts.source.eqNullSafe(fences.at_source), "left").withColumn("base_failed", base_failed())
     within = F.lit(True)
-    for r, (e, _) in RATES.items():
+    for r, (e, *_) in RATES.items():
         rate = F.try_divide(*map(F.expr, e.split(" / ")))
         within &= F.coalesce(rate <= F.col(f"{r}_high"), F.lit(True))
         if r in TWO_SIDED:

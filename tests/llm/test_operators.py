@@ -139,6 +139,15 @@ def test_op2(spark, sf, docs):
     assert sum(r.kept for r in clean) >= 0.97 * len(clean)
 
 
+def test_fences_follow_the_group(spark):
+    rows = [(lang, "s", 1000, 5000 + (i % 20) * wide * 10, 0, i % 20 * wide // 5, i % 20 * wide, 100) for lang, wide in (("a", 2), ("b", 6)) for i in range(200)]
+    counts = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    a, b = rules.thresholds(counts).orderBy("at_lang").collect()
+    for rate in ("word_length", "dup_line_rate", "repeat_rate"):
+        assert a[f"{rate}_high"] < b[f"{rate}_high"], rate
+    assert a.repeat_rate_high < 0.3 and a.dup_line_rate_high < 0.6 and a.symbol_rate_high < 0.1
+
+
 def test_op2_hard_rows(hard, empty):
     got = rules.apply_quality_rules(hard)
     assert got.count() == len(HARD) and got.where("kept is null").count() == 0
