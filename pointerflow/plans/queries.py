@@ -111,10 +111,9 @@ def _(s, d):
 
 @query("pf3_select_sessions", sql(_EV, "#n=least(40, count(DISTINCT participant || '|' || sess))", "FROM ev"))
 def _(s, d):
-    path = scratch(s, "sessions-array")
-    rows = fx.raw_sessions(s, d).select("processNumber", "sessionId", *fx.MODULES)
-    rows.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)  # the array form is one document
-    return ev.select_sessions(io.read_sessions(s, path, fx.MODULES)).agg(F.count("*").alias("n"))
+    path = scratch(s, "sessions-lines")
+    io.write_sessions(io.with_positions(fx.raw_sessions(s, d), scratch(s, "sessions-ordered")).drop("file_order"), path)
+    return ev.select_sessions(io.read_sessions(s, path, fx.MODULES, lines=True)).agg(F.count("*").alias("n"))
 
 
 @query("pf4_session_parts", sql(o.METRICS, "session_id;key_participant=participant_id;key_session=split_part(session_id, '|', 2);key_module=module", "FROM sm"))

@@ -30,6 +30,24 @@ def read_sessions(spark: SparkSession, path: str, modules: tuple[str, ...], line
     return whole.select(F.posexplode("a").alias("session_idx", "s")).select(F.col("session_idx").cast("long").alias("session_idx"), "s.*")
 
 
+def with_positions(sessions: DataFrame, path: str, order: str = "file_order") -> DataFrame:
+    """``sessions`` with ``session_idx``, their place in the order of ``order``.
+
+    Ranges of the order are sorted and written to ``path``; a row's place is its
+    place in its range and the rows of the ranges before, of which the driver
+    holds one count a range.
+    """
+    at = F.monotonically_increasing_id()
+    sessions.repartitionByRange(order).sortWithinPartitions(order).select("*", F.shiftright(at, 33).alias("range"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("place")).write.parquet(path)
+    rows = sessions.sparkSession.read.parquet(path)
+    before, offsets = 0, []
+    for r in sorted(rows.groupBy("range").count().collect()):
+        offsets.append((r["range"], before))
+        before += r["count"]
+    table = F.broadcast(sessions.sparkSession.createDataFrame(offsets, "range long, before long"))
+    return rows.join(table, "range").withColumn("session_idx", F.col("before") + F.col("place")).select("session_idx", *sessions.columns)
+
+
 def write_sessions(sessions: DataFrame, path: str) -> None:
     sessions.write.json(path)
 
