@@ -288,6 +288,14 @@ def test_wrapper_finds_template(spark):
     assert html.extract_main_text(pages.where("false")).count() == 0
 
 
+def test_wrapper_finds_template_in_articles(spark):
+    body = "<body><article><h1>Title {i}</h1><p>Story {i} about {j}</p><p class=box>Join our list</p><div><p>Made by us</p></div></article></body>"
+    same = "<body><article><h1>One title</h1><p>One story</p></article><div>Ad {i}</div></body>"
+    rows = [(i, f"http://h.net/{i}", body.format(i=i, j=i * 7)) for i in range(12)] + [(20 + i, f"http://same.net/{i}", same.format(i=i)) for i in range(12)]
+    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[3] == "Title 3 Story 3 about 21" and got[25] == "One title One story"
+
+
 def test_tree_match_aligns():
     a, b = (html.wrapper_of(html.parse(t)) for t in ("<div></div><p>x</p><ul><li>1<li>2</ul>", "<p>y</p><table></table><ul><li>1</ul>"))
     assert html.tree_match(a[3], b[3]) == [(1, 0), (2, 2)]
