@@ -28,7 +28,7 @@ _LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_
 class UnitEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str, max_units: int = 400_000):
+    def __init__(self, path: str, max_units: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,7 +39,7 @@ class UnitEncoder:
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for token, i in vocab.items() if token.startswith(_OPENERS)]] = True
         self.max_units = max_units
-        self.known: dict[str, bytes | None] = {"": None}
+        self.known = _Known({"": None})
         self.raw = [np.array([i], "<u4").tobytes() for i in range(len(self.opens))]
         self.marks: dict[str, bytes] = {"": b""}
 
@@ -57,6 +57,9 @@ class UnitEncoder:
         out: dict[str, bytes | None] = {}
         rest = []
         for unit in units:
+            if unit.isascii() and unit.isalpha():
+                out[unit] = self._word("", unit)
+                continue
             plain = _PLAIN.fullmatch(unit)
             if not plain:
                 rest.append(unit)
@@ -88,33 +91,39 @@ class UnitEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        known = self.known
+        known.missed = set()
         # a text's first unit has no white space before it: it is learnt after a line feed
         split = [("\n" + t).replace("\n", " \n")[1:].split(" ") if t else [] for t in texts]
-        missing = set().union(*split).difference(self.known)
-        found = self._learn(list(missing)) if missing else {}
-        known = self.known
-        if len(known) + len(found) <= self.max_units:
-            known.update(found)
-        elif found:  # full: what came first, thus the frequent units, stays
-            known = _Both(known, found)
+        parts = [list(map(known.__getitem__, units)) for units in split]
+        found = self._learn(list(known.missed)) if known.missed else {}
         out = []
-        for text, units in zip(texts, split):
+        for text, units, ids in zip(texts, split, parts):
+            i = -1
+            for _ in range(ids.count(_NEW)):
+                i = ids.index(_NEW, i + 1)
+                ids[i] = found[units[i]]
             try:
-                out.append(b"".join(map(known.__getitem__, units))[4:])
+                out.append(b"".join(ids)[4:])
             except TypeError:  # a unit that depends on its neighbours
                 out.append(self._whole(text).tobytes())
+        if len(known) + len(found) <= self.max_units:
+            known.update(found)  # full: what came first, thus the frequent units, stays
         return out
 
 
-class _Both:
-    """Two dictionaries looked up in turn."""
+#: Stands for the ids of a unit that is not known yet.
+_NEW = object()
+
+
+class _Known(dict):
+    """Ids of known units; units that are not there are noted in ``missed``."""
 
-    def __init__(self, first: dict, second: dict):
-        self.first, self.second = first.get, second
+    missed: set[str]
 
-    def __getitem__(self, key: str) -> bytes:
-        hit = self.first(key)
-        return self.second.get(key) if hit is None else hit
+    def __missing__(self, key: str) -> object:
+        self.missed.add(key)
+        return _NEW
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}

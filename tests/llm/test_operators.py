@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -272,10 +273,71 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><
 <aside>side</aside><footer>&copy; host</footer></body></html>"""
 
 
+def alone(page):
+    """The text of a page that is the only one of its host."""
+    root = html.parse(page)
+    return html.main_text(root, html.content_slots(html.wrapper_of(root)))
+
+
 def test_main_text():
-    assert html.main_text(html.parse(PAGE), None) == "Head & line One two foobar Thé néxt <p>"
-    assert html.main_text(html.parse("<p>bare <b>text"), None) == "bare text"
-    assert html.main_text(html.parse("<div><span class=ad>x</span>kept</div>"), None) == "kept"
+    assert alone(PAGE) == "Head & line One two foobar Thé néxt <p>"
+    assert alone("<p>bare <b>text") == "bare text" and alone("") == alone("<article></article><div class=ad>x</div>") == ""
+    assert alone("<div><span class=ad>x</span>kept</div>") == "kept"
+    assert alone('<article><header class="post-header"><h1>Title</h1></header><p>One.</p><div class="related-work"><p>Two.</p></div><section class="comment-list"><p>No.</p></section></article>') == "Title One. Two."
+    assert alone('<h1>Title</h1><div><div class="x"><p>Long text of the story.</p><p>It goes on.</p></div><div>by</div></div>') == "Title Long text of the story. It goes on."
+
+
+def test_wrapper_decides(spark):
+    """A host that marks nothing: the slots alone tell text from frame, and
+    without them the frame stays."""
+    body = "<body><div><a href=/>Home {i}</a> <a href=/x>Part {j}</a></div><div>Buy {j} now</div><div><h1>Title {i}</h1><p>Story {i} goes on for a while about {j}.</p><p>Join our list</p><div><p>More on {j}, at some length.</p></div></div><div>Host, {i}</div></body>"
+    rows = [(i, f"http://h.net/{i}", body.format(i=i, j=i * 7)) for i in range(2, 9)]
+    rows[3:3] = [(20, "http://h.net/other", "<body><main><p>Another layout altogether.</p></main><div>Buy now</div></body>")]
+    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got[4] == "Title 4 Story 4 goes on for a while about 28. Join our list More on 28, at some length."  # one run of paragraphs is one slot
+    assert got[20] == "Another layout altogether."
+    assert "Home 4" in html.main_text(html.parse(rows[2][2]), None)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 10_000 + "x" + "</div>" * 10_000, "<a " * 20_000, '<div a="' * 20_000, "<button>" * 20_000 + "</canvas>" * 20_000, "<p>x</p><h2>y</h2>" * 20_000, "<!--" * 20_000, "<p " + "a=" * 50_000])
+def test_hostile_pages(page):
+    began = time.process_time()
+    root = html.parse(page)
+    assert time.process_time() - began < 2
+    wrapper = html.merge(html.wrapper_of(root), html.wrapper_of(html.parse(page + "<p>z</p>")))
+    html.main_text(root, html.content_slots(html.pruned(wrapper)))
+    assert time.process_time() - began < 10
+
+
+def test_unclosed_quotes():
+    assert alone('<p title="abc>hello') == "hello" and alone("<p title=it's>a</p> <p data-x='a > b'>c") == "a c"
+
+
+def brute_match(x, y):
+    """Most nodes that an order-preserving match of two trees has in common."""
+    if x[0] != y[0]:
+        return 0
+
+    def best(a, b):
+        if not a or not b:
+            return 0
+        return max(best(a[1:], b), best(a, b[1:]), brute_match(a[0], b[0]) + best(a[1:], b[1:]))
+
+    return 1 + best(x[3], y[3])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_tree_match_is_best(seed):
+    rnd = random.Random(seed)
+
+    def tree(depth):
+        return [rnd.choice("abc"), 1, 1, [tree(depth - 1) for _ in range(rnd.randint(0, 3))] if depth else [], 0, 0]
+
+    a, b = tree(3), tree(3)
+    a[0] = b[0] = "r"
+    pairs = html.tree_match(a[3], b[3])
+    assert pairs == sorted(pairs) and len({j for _, j in pairs}) == len({i for i, _ in pairs}) == len(pairs)
+    assert 1 + sum(brute_match(a[3][i], b[3][j]) for i, j in pairs) == brute_match(a, b) == html._match_size(a, b)
 
 
 def test_wrapper_finds_template(spark):
