@@ -421,6 +421,47 @@ def test_op8(spark, sf):
         assert g.verdict in ("allow", "block")
 
 
+def auc(pairs):
+    """Share of (blocked, allowed) pairs that scores order rightly."""
+    hit = [(x > y) + (x == y) / 2 for x, one in pairs if one for y, other in pairs if not other]
+    return np.mean(hit)
+
+
+def test_op8_verdicts_of_other_urls(spark):
+    """Trees order held-out labelled URLs, and do not give the rest one verdict."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    rows = urls.with_rules(pages)
+    held = F.pmod(F.xxhash64("url", F.lit(1)), F.lit(4)) == 0
+    labelled = rows.where("ruled is not null")
+    model = urls.train_filter(labelled.where(~held))
+    scored = [(r.score, r.ruled == "block") for r in model.score(labelled.where(held)).collect()]
+    assert auc(scored) > 0.6
+    other = Counter(r.verdict for r in urls.filter_urls(pages).where("rule is null").collect())
+    assert min(other["allow"], other["block"]) > 0.1 * other.total()
+
+
+def test_op8_learns_what_urls_look_like(spark):
+    """Blocked hosts are full of digits and hyphens; hosts and suffixes of the
+    held-out URLs are new."""
+    rnd = random.Random(4)
+
+    def url(bad, suffix):
+        word = "".join(rnd.choice("abcdefgh") for _ in range(9))
+        host = "-".join(f"{word[:3]}{rnd.randrange(100)}" for _ in range(3)) if bad else word
+        return f"https://{host}.{suffix}/{'bad' if bad else 'good'}{rnd.randrange(9)}"
+
+    given = [(bad, url(bad, rnd.choice(("aa.net", "bb.org", "cc.com")))) for bad in (True, False) * 300]
+    rules = (urls.Rule("block", "net", "/bad"), urls.Rule("block", "org", "/bad"), urls.Rule("block", "com", "/bad"), urls.Rule("allow", "net", "/good"), urls.Rule("allow", "org", "/good"), urls.Rule("allow", "com", "/good"))
+    new = [(bad, url(bad, "zz.io")) for bad in (True, False) * 40]
+    df = spark.createDataFrame([(i, u) for i, (_, u) in enumerate(given + new)], "page_id long, url string")
+    got = {r.page_id: r for r in urls.filter_urls(df, rules).collect()}
+    assert all(got[i].verdict == ("block" if bad else "allow") for i, (bad, _) in enumerate(given))
+    assert auc([(got[i + 600].score, bad) for i, (bad, _) in enumerate(new)]) > 0.95
+    assert np.mean([(got[i + 600].verdict == "block") == bad for i, (bad, _) in enumerate(new)]) > 0.9
+
+
 def test_op8_hard_rows(spark):
     given = ["http://X.COM", "http://x.com/", "HTTP://www.Example.com/en/a?b#c", "http://a.net/es/", "http://net/fr/q", "b.net/es/", None, "", "x://y?u=http://z.com/", "http://É.net/es/\n/k", "http://planet/es/", "a://b://c.com/"]
     df = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
