@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
-#: Rows an Arrow batch may hold.  Texts reach 100 kB, so the default of 10,000
-#: rows could put a gigabyte into one Python worker.
+#: Rows and bytes an Arrow batch may hold, whichever is reached first; the
+#: default of 10,000 rows alone could put gigabytes of text into one worker.
 BATCH_ROWS = 1000
+BATCH_BYTES = 64 << 20
 
 _LOCAL_ROOT: list[str] = []
 
@@ -51,11 +52,29 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long texts."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``mapInArrow`` with batches small enough for long texts.
+
+    The two settings are read when the plan runs, so they stay lowered for the
+    session; a user's lower values are kept.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
     return df.mapInArrow(fn, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it, in
+    whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, rows: int, most: int = 10_000) -> DataFrame:
     """A broadcast hint if ``rows``, the counted rows of ``df``, allows it;
     beyond ``most`` the join shuffles and adaptive execution splits hot keys."""

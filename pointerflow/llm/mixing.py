@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_SQL, saved, small
@@ -60,7 +60,8 @@ def entropy_rates(sized: DataFrame, sources: DataFrame, most: float = MOST, tole
     constraint keeps a source's long and short documents in proportion, as the
     first alone would tilt towards one of them.
     As both have the same ratio, the optimum is ``b = 0`` and one rate a source,
-    ``target / source_size``.
+    ``target / source_size``.  If ``rounds`` do not meet the constraints of a
+    source, an error names it.
     """
     spark = sized.sparkSession
     pairs = saved(sized.groupBy("source", "size").agg(F.count("*").alias("c")).where("size > 0"), "mixing-sizes")
@@ -99,6 +100,8 @@ def entropy_rates(sized: DataFrame, sources: DataFrame, most: float = MOST, tole
             step = min(1.0, 1.0 / max(abs(da), abs(db), 1e-12))  # exponents move by one at most
             a, b = dual[r.source]
             dual[r.source] = (a + step * da, b + step * db)
+    if open_:
+        raise RuntimeError(f"no rates after {rounds} rounds for sources {sorted(map(str, open_))[:10]}")
     return with_dual().select("source", "size", "rate")
 
 
@@ -143,8 +146,23 @@ def mix_documents(docs: DataFrame, group_rows: int = 4096, id_col: str = "doc_id
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, columns unchanged."""
-    plan = mix_documents(docs).where("copies > 0").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", "copies")
-    rows = docs.withColumn("text_hash", F.xxhash64("text"))
-    joined = rows.join(plan, rows.doc_id.eqNullSafe(plan.doc_id) & (rows.text_hash == plan.text_hash))
-    return joined.select(*(rows[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy_mark")).drop("copy_mark")
+    """``docs`` with each row as often as the mix takes it, columns unchanged,
+    whatever their names.
+
+    Rows that repeat an id with one text share what the plan takes of them: as
+    many rows come out as it has copies, in equal parts, the rest from rows with
+    the least hash of all columns on.
+    """
+    plan = mix_documents(docs).groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    plan = saved(plan.select(F.col("doc_id").alias("plan_doc"), F.col("text_hash").alias("plan_text"), "copies", "n"), "mixing-plan")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.xxhash64("row.text")
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("plan_doc")) & (text == F.col("plan_text"))
+    taken = rows.join(plan.where("n = 1"), same).select("row", "copies")
+    repeated = plan.where("n > 1")
+    if not repeated.isEmpty():
+        order = F.xxhash64(*(F.col("row")[c] for c, kind in docs.dtypes if "map<" not in kind))
+        place = F.row_number().over(Window.partitionBy("plan_doc", "plan_text").orderBy(order))
+        parts = F.expr("copies div n + if(place <= copies % n, 1, 0)").alias("copies")
+        taken = taken.unionByName(rows.join(repeated, same).withColumn("place", place).select("row", parts))
+    return taken.select("row", F.explode(F.expr("array_repeat(1, cast(copies as int))"))).select("row.*")

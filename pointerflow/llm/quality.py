@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Trees, fit
-from .common import map_batches, texts_of
+from .common import fresh, map_batches, texts_of
 from .rules import text_counts
 
 #: Labelled rows that training uses, about; a hash of the id picks them.
@@ -67,17 +67,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     return fit(x[order], y[order])
 
 
-def score_documents(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row with ``score``, the probability of label 1, all columns kept."""
-    out = T.StructType(docs.schema.fields + [T.StructField("score", T.DoubleType())])
-    if "score" in docs.columns:
-        raise ValueError("documents already have a column score")
+def score_documents(docs: DataFrame, model: Trees, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """Every row with ``score_col``, the probability of label 1, all columns kept."""
+    if score_col in docs.columns:
+        raise ValueError(f"documents already have a column {score_col}")
+    out = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
+    at = docs.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.array([statistics(t) for t in texts_of(batch, text_col)])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.predict(x))], names=[*batch.schema.names, "score"])
+                x = np.array([statistics(t or "") for t in batch.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.predict(x))], names=[*batch.schema.names, score_col])
 
     return map_batches(docs, rows, out)
 
@@ -96,6 +97,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, i
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows that the classifier takes for quality 1, columns unchanged."""
-    model = train(docs, labels, sample)
-    return score_documents(docs, model).where("score >= 0.5").select(*docs.columns)
+    """The rows that the classifier takes for quality 1, columns unchanged,
+    whatever their names.  Null and empty texts are judged like any other."""
+    score = fresh(docs, "score")
+    return score_documents(docs, train(docs, labels, sample), score_col=score).where(F.col(score) >= 0.5).select(*(f"`{c}`" for c in docs.columns))

@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, saved, texts_of
+from .common import fresh, map_batches, saved, texts_of
 
 #: Base kinds, in the order that settles equal starts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -20,13 +21,15 @@ ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "key", "jwt", "prefixed", "opaque")
-#: Further candidates, which only ownership makes secrets.
+#: Further candidates, which only ownership makes secrets.  A signed token or a
+#: prefixed key starts where no letter or digit stands before it.
 LONG = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
-PRIVATE_KEY = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
-JWT = re.compile(r"eyJ[A-Za-z0-9_=-]{8,}\.[A-Za-z0-9_=-]{8,}\.[A-Za-z0-9_.+/=-]{8,}")
-PREFIXED = re.compile(r"(?:ghp|gho|ghs|xoxb|xoxp|sk|pk|rk|glpat)[-_][A-Za-z0-9_-]{16,}")
-#: Bits a character that an opaque token needs.
-ENTROPY = 3.5
+_GAP = r"(?:\s|\\n)*+"
+PRIVATE_KEY = re.compile(rf"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)*+(?:{_GAP}[A-Za-z0-9+/=]++(?={_GAP}-----END))?+)(?:{_GAP}-----END \1-----)?+")
+JWT = re.compile(r"(?<![A-Za-z0-9_=-])eyJ[A-Za-z0-9_=-]{8,}\.[A-Za-z0-9_=-]{8,}\.[A-Za-z0-9_+/=-]{8,}")
+PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:ghp|gho|ghs|xoxb|xoxp|sk|pk|rk|glpat)[-_]([A-Za-z0-9_-]{16,})")
+#: Bits a character that an opaque token needs, and a prefixed key.
+ENTROPY, KEY_ENTROPY = 3.5, 3.0
 
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("digest", pa.string())])
 _SPAN_SQL = "array<struct<kind:int,start:int,end:int,digest:string>>"
@@ -43,29 +46,44 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return spans
 
 
-def _opaque(value: str) -> bool:
+def _random(value: str, least: int, entropy: float) -> bool:
     """Letters and digits mixed, with the entropy of a random token."""
-    if len(value) < 24 or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+    if len(value) < least or not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
         return False
     n = len(value)
-    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= ENTROPY
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= entropy
 
 
 def scan(text: str) -> tuple[list, list]:
-    """Base spans and candidates for added ones, each ordered by start and kind."""
+    """Base spans and candidates for added ones, each ordered by start and kind.
+
+    A candidate is left out if base spans cover it, or a private key does.  The
+    value of a private key is its body, so that its header tells nothing.
+    """
     base = base_spans(text)
-    more = [(m.start(), 3, m.end(), m[0]) for m in PRIVATE_KEY.finditer(text)] if "PRIVATE KEY" in text else []
+    keys = [(m.start(), 3, m.end(), "".join(m[2].replace("\\n", " ").split())) for m in PRIVATE_KEY.finditer(text) if m[2]] if "PRIVATE KEY" in text else []
+    more = []
     for run in LONG.finditer(text):
         a, b = run.span()
         base += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text, a, b)]
-        found = JWT.search(text, a, b) or PREFIXED.search(text, a, b)
-        if found:
-            more.append((found.start(), 4 if found[0].startswith("eyJ") else 5, found.end(), found[0]))
-        elif _opaque(run[0]):
-            more.append((a, 6, b, run[0]))
+        found = [(m.start(), 4, m.end(), m[0]) for m in JWT.finditer(text, a, b)] if text.find("eyJ", a, b) >= 0 else []
+        found += [(m.start(), 5, m.end(), m[0]) for m in PREFIXED.finditer(text, a, b) if _random(m[1], 16, KEY_ENTROPY)]
+        more += found or ([(a, 6, b, run[0])] if _random(run[0], 24, ENTROPY) else [])
     base.sort()
-    more = [s for s in more if not any(s[0] < b[2] and b[0] < s[2] for b in base)] if more and base else more
-    return base, sorted(more)
+    return base, sorted(keys + _uncovered(more, base + keys)) if more else keys
+
+
+def _uncovered(spans: list, by: list) -> list:
+    """Spans that do not lie within the joined spans of ``by``."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b, _ in sorted(by):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a), ends.append(b)
+    within = lambda a, b: (i := bisect_right(starts, a)) and b <= ends[i - 1]
+    return [s for s in spans if not within(s[0], s[2])]
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
@@ -90,48 +108,57 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
     return saved(map_batches(narrow, rows, f"doc_id long, text_hash long, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, base {_SPAN_SQL}, more {_SPAN_SQL}"), "secrets")
 
 
+#: Parts that the spans of one value are dealt to where verdicts are joined.
+SALTS = 16
+
+
 def ownership(found: DataFrame) -> DataFrame:
-    """digest, n_owners, n_documents of every candidate in the corpus.
+    """digest, n_owners, n_repositories of every candidate in the corpus.
 
-    Counts are made by digest and owner first, so a value that fills a third of
-    the rows shuffles as one row a task.
+    An owner is a source; a repository is a text, of which copies count once, as
+    the table names no other.  Counts are made by digest, owner and text first,
+    so a value that fills a third of the rows is one row a task and owner.
     """
-    each = found.select("owner", "doc_id", F.explode(F.concat("base", "more")).alias("s")).groupBy("s.digest", "owner", "doc_id").agg(F.lit(1).alias("one"))
+    each = found.select("owner", "text_hash", F.explode(F.concat("base", "more")).alias("s")).select("s.digest", "owner", "text_hash").distinct()
     by_owner = each.groupBy("digest", "owner").agg(F.count("*").alias("n"))
-    return by_owner.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_documents"))
+    return by_owner.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
 
 
-def _spans(found: DataFrame, max_owners: int) -> DataFrame:
+def _spans(found: DataFrame, max_owners: int, max_repositories: int) -> DataFrame:
     """doc_id, text_hash, spans (all that count, ordered), n_owned, n_shared."""
     each = found.where("size(base) + size(more) > 0").dropDuplicates(["doc_id", "text_hash"])
-    each = each.select("doc_id", "text_hash", F.explode(F.concat(F.transform("base", lambda s: F.struct(F.lit(True).alias("base"), s.alias("s"))), F.transform("more", lambda s: F.struct(F.lit(False).alias("base"), s.alias("s"))))).alias("x")).select("doc_id", "text_hash", "x.base", "x.s.*")
-    judged = each.join(ownership(found), "digest").withColumn("owned", F.col("n_owners") <= max_owners)
+    with_base = lambda name, is_base: F.transform(name, lambda s: F.struct(F.lit(is_base).alias("base"), s.alias("s")))
+    each = each.select("doc_id", "text_hash", F.explode(F.concat(with_base("base", True), with_base("more", False))).alias("x")).select("doc_id", "text_hash", "x.base", "x.s.*")
+    each = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
+    verdicts = ownership(found).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    judged = each.join(verdicts, ["digest", "salt"]).withColumn("owned", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
     kept = F.when(F.col("base") | F.col("owned"), F.struct("start", "kind", "end"))
     return judged.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(kept)).alias("spans"), F.count_if("owned").alias("n_owned"), F.count_if(~F.col("owned")).alias("n_shared"))
 
 
-def _with_spans(rows: DataFrame, spans: DataFrame, *wanted: str) -> DataFrame:
-    """Every row with the wanted columns of its spans, null if it has none."""
+def _with_spans(rows: DataFrame, doc_id: Column, text_hash: Column, spans: DataFrame, *wanted: str) -> DataFrame:
+    """Every row, as ``row``, with the wanted columns of its spans, null if it has none."""
     spans = spans.select(F.col("doc_id").alias("spans_doc"), F.col("text_hash").alias("spans_text"), *wanted)
-    same = F.col("doc_id").eqNullSafe(F.col("spans_doc")) & (F.col("text_hash") == F.col("spans_text"))
-    return rows.join(spans, same, "left").drop("spans_doc", "spans_text")
+    return rows.join(spans, doc_id.eqNullSafe(F.col("spans_doc")) & (text_hash == F.col("spans_text")), "left").select("row", *wanted)
 
 
-def find_secrets(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
+def find_secrets(docs: DataFrame, max_owners: int = 2, max_repositories: int = 20, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """Secrets of every whole text, one row out for each row in.
 
     Base patterns always count.  Further token-like candidates (private keys,
     signed tokens, prefixed keys, opaque strings) count if at most
-    ``max_owners`` owners hold them; what many owners copy is an example.
-    ``n_owned`` and ``n_shared`` separate all candidates in that way.  Null and
-    empty texts have no spans; a null owner is an owner like any other.
+    ``max_owners`` owners and ``max_repositories`` different texts hold them;
+    what many copy is an example.  ``n_owned`` and ``n_shared`` separate all
+    candidates in that way.  Null and empty texts have no spans; a null owner is
+    an owner like any other; repeated rows are scanned each.
     """
     found = scanned(docs, id_col, text_col, owner_col)
-    spans = _spans(found, max_owners)
+    spans = _spans(found, max_owners, max_repositories)
     kinds = F.array(*map(F.lit, KINDS))
     said = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.element_at(kinds, s.kind + 1), s.start, s.end)), ",")
-    marked = _with_spans(found.drop("base", "more"), spans, "spans", "n_owned", "n_shared")
-    return marked.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce(said, F.lit("")).alias("spans"), F.coalesce("n_owned", F.lit(0)).alias("n_owned"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+    rows = found.select(F.struct("doc_id", "text_hash", "n_assign", "n_access", "n_hex", "base_sha256").alias("row"))
+    marked = _with_spans(rows, F.col("row.doc_id"), F.col("row.text_hash"), spans, "spans", "n_owned", "n_shared")
+    return marked.select("row.doc_id", "row.n_assign", "row.n_access", "row.n_hex", "row.base_sha256", F.coalesce(said, F.lit("")).alias("spans"), F.coalesce("n_owned", F.lit(0)).alias("n_owned"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:
@@ -144,22 +171,30 @@ def redact(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> s
     return "".join([*out, text[at:]])
 
 
-def redact_secrets(docs: DataFrame, max_owners: int = 2) -> DataFrame:
-    """``docs`` with the secrets of ``text`` replaced and ``n_chars`` made anew.
+def redact_secrets(docs: DataFrame, max_owners: int = 2, max_repositories: int = 20) -> DataFrame:
+    """``docs`` with the secrets of ``text`` replaced and ``n_chars``, if there
+    is such a column of numbers, made anew.
 
-    All rows stay; texts without secrets are unchanged.
+    All rows and columns stay, whatever their names; texts without secrets are
+    unchanged.
     """
     found = scanned(docs)
-    spans = _spans(found, max_owners).where("size(spans) > 0").select("doc_id", "text_hash", F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))).alias("spans"))
-    marked = _with_spans(docs.withColumn("text_hash", F.xxhash64("text")), spans, "spans").select(*docs.columns, "spans")
-    schema = docs.schema
+    spans = _spans(found, max_owners, max_repositories).where("size(spans) > 0").select("doc_id", "text_hash", F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))).alias("spans"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    marked = _with_spans(rows, F.col("row.doc_id").cast("long"), F.xxhash64("row.text"), spans, "spans")
+    cut_at = fresh(docs, "spans")
+    marked = marked.select("row.*", F.col("spans").alias(cut_at))
+    text_at, spans_at = docs.columns.index("text"), len(docs.columns)
+    kinds = dict(docs.dtypes)
+    length_at = docs.columns.index("n_chars") if kinds.get("n_chars") in ("bigint", "int") else None
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {name: batch.column(name) for name in schema.names}
-            cut = [(redact(t, [(s["start"], s["end"]) for s in ss]) if ss and t else t) for t, ss in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
-            columns["text"] = pa.array(cut, pa.string())
-            columns["n_chars"] = pa.array([len(t) if t is not None else None for t in cut], pa.int64())
-            yield pa.RecordBatch.from_pydict(columns)
-
-    return map_batches(marked, replace, schema)
+            columns = list(batch.columns[:spans_at])
+            cut = [(redact(t, [(s["start"], s["end"]) for s in ss]) if ss and t else t) for t, ss in zip(batch.column(text_at).to_pylist(), batch.column(spans_at).to_pylist())]
+            columns[text_at] = pa.array(cut, pa.string())
+            if length_at is not None:
+                columns[length_at] = pa.array([len(t) if t is not None else None for t in cut], columns[length_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:spans_at])
+
+    return map_batches(marked, replace, docs.schema)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, saved, texts_of
+from .common import fresh, map_batches, saved, texts_of
 from .components import components
 
 RADIUS = 3
@@ -188,8 +188,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     a component is named by its least id.  Each distinct fingerprint is
     compared once, so copies cost nothing; hot keys are divided, not capped.
     Null and empty texts have the fingerprint zero and link like any other.
-    Rows with a null id take part, but name a component only if nothing else
-    does (then null).  An empty table gives no rows.
+    Rows with a null id link and bridge like any other, but name a component
+    only if nothing else does (then null).  An empty table gives no rows.
     """
     fps = saved(fingerprints(docs, words, id_col, text_col), "simhash")
     reps = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct").withColumn("rep", F.col("fp"))
@@ -396,6 +396,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     are no others.  Rows are told apart by all their columns, so different texts
     without an id, or with one id, stay."""
     _, linked = _linked(docs, words, similarity, "doc_id", "text")
-    kept = linked.groupBy("component").agg(F.min("first").alias("leader")).select(F.col("leader.row").alias("near_row"))
-    rows = docs.withColumn("near_row", _row(docs))
-    return rows.join(kept, "near_row", "left_semi").dropDuplicates(["near_row"]).select(*docs.columns)
+    row = fresh(docs, "near_row")
+    kept = linked.groupBy("component").agg(F.min("first").alias("leader")).select(F.col("leader.row").alias(row))
+    rows = docs.withColumn(row, _row(docs))
+    return rows.join(kept, row, "left_semi").dropDuplicates([row]).select(*(f"`{c}`" for c in docs.columns))
