@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from .common import map_batches, saved, texts_of
 
 SYMBOLS = "#*$%&|<>"
-#: Statistic: (expression, lower and upper quantile, least spread).  A fence lies
-#: ``reach`` spreads beyond a quantile; the spread is the distance of the two.
-#: Rates that are zero in most documents take tail quantiles.  The least spread
-#: is for groups that have hardly any values but one.
-RATES: dict[str, tuple[str, float, float, float]] = {
-    "word_length": ("word_chars / n_words", 0.25, 0.75, 0.1),
-    "symbol_rate": ("n_symbols / n_words", 0.25, 0.75, 0.01),
-    "dup_line_rate": ("n_dup_lines / greatest(n_lines, 1)", 0.05, 0.95, 0.05),
-    "repeat_rate": ("n_repeat_words / n_words", 0.05, 0.95, 0.01),
+#: Statistic: (expression, lower and upper quantile).  A fence lies ``reach``
+#: spreads beyond a quantile; the spread is the distance of the two, and one more
+#: occurrence in the group's median document (of so many words, or lines), as less
+#: cannot be told.  Rates that are zero in most documents take tail quantiles.
+RATES: dict[str, tuple[str, float, float]] = {
+    "word_length": ("word_chars / n_words", 0.25, 0.75),
+    "symbol_rate": ("n_symbols / n_words", 0.25, 0.75),
+    "dup_line_rate": ("n_dup_lines / greatest(n_lines, 1)", 0.05, 0.95),
+    "repeat_rate": ("n_repeat_words / n_words", 0.05, 0.95),
 }
+OF_LINES = ("dup_line_rate",)
 TWO_SIDED = ("word_length",)
 
 
@@ -63,32 +64,46 @@ def base_failed() -> Column:
     return F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
 
 
-def thresholds(counts: DataFrame, reach: float = 4.0, least_rows: int = 40) -> DataFrame:
+def _drawn(own: Column, n: Column, wider: Column, rows: float) -> Column:
+    """A statistic of ``n`` rows, drawn towards that of a wider group as if
+    ``rows`` of its rows were added."""
+    n = F.coalesce(n, F.lit(0))
+    return F.when(n == 0, wider).when(wider.isNull(), own).otherwise((own * n + wider * rows) / (n + rows))
+
+
+def thresholds(counts: DataFrame, reach: float = 4.0, prior_rows: float = 40) -> DataFrame:
     """lang, source and, for each statistic, the fences of their documents.
 
     One pass fills quantile sketches for each language and source, each
-    language, and all documents; a pair with fewer than ``least_rows`` rows
-    takes its language's fences, and failing that everyone's.
+    language, and all documents.  Quantiles of a pair are drawn towards its
+    language's, and those towards everyone's, by the weight of ``prior_rows``
+    rows, so small groups lean on wider ones and no size changes the rule.
     """
-    rates = counts.where(~base_failed()).select("lang", "source", *(F.expr(e).alias(r) for r, (e, *_) in RATES.items()))
-    quantiles = [F.percentile_approx(r, F.array(F.lit(low), F.lit(high)), F.lit(10_000)).alias(r) for r, (_, low, high, _) in RATES.items()]
-    sketches = rates.groupingSets([["lang", "source"], ["lang"], []], "lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *quantiles)
-    sketches = saved(sketches, "quality-sketches").withColumn("q", F.struct(*RATES))
+    passed = counts.where(~base_failed())
+    rates = passed.select("lang", "source", "n_words", F.greatest("n_lines", F.lit(1)).alias("n_lines"), *(F.expr(e).alias(r) for r, (e, *_) in RATES.items()))
+    quantiles = [F.percentile_approx(r, F.array(F.lit(low), F.lit(high)), F.lit(10_000)).alias(r) for r, (_, low, high) in RATES.items()]
+    sketches = rates.groupingSets([["lang", "source"], ["lang"], []], "lang", "source").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), *(F.percentile_approx(f"n_{unit}", F.lit(0.5), F.lit(10_000)).cast("double").alias(unit) for unit in ("words", "lines")), *quantiles)
+    sketches = saved(sketches, "quality-sketches").withColumn("q", F.struct("n", "words", "lines", *RATES))
     pairs = counts.select("lang", "source").distinct()
-    fine, mid, top = (sketches.where(f"level = {level} and n >= {least}").select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("q").alias(name)) for level, least, name in ((0, least_rows, "fine"), (1, least_rows, "mid"), (3, 1, "top")))
+    fine, mid, top = (sketches.where(f"level = {level} and n > 0").select(F.col("lang").alias("l"), F.col("source").alias("s"), F.col("q").alias(name)) for level, name in ((0, "fine"), (1, "mid"), (3, "top")))
     found = pairs.join(fine, pairs.lang.eqNullSafe(fine.l) & pairs.source.eqNullSafe(fine.s), "left").drop("l", "s")
     found = found.join(mid.drop("s"), found.lang.eqNullSafe(mid.l), "left").drop("l")
     found = found.join(top.drop("l", "s"), F.lit(True), "left")
-    q = F.coalesce("fine", "mid", "top")
+
+    def drawn(get) -> Column:
+        wide = _drawn(get(F.col("mid")), F.col("mid.n"), get(F.col("top")), prior_rows)
+        return _drawn(get(F.col("fine")), F.col("fine.n"), wide, prior_rows)
+
     fences = []
-    for r, (*_, least) in RATES.items():
-        low, high = q[r][0], q[r][1]
-        spread = F.greatest(high - low, F.lit(least))
+    for r in RATES:
+        low, high = (drawn(lambda q, i=i: q[r][i].cast("double")) for i in (0, 1))
+        unit = "lines" if r in OF_LINES else "words"
+        spread = high - low + 1 / drawn(lambda q, unit=unit: q[unit])
         fences += [(low - reach * spread).alias(f"{r}_low"), (high + reach * spread).alias(f"{r}_high")]
     return found.select(F.col("lang").alias("at_lang"), F.col("source").alias("at_source"), *fences)
 
 
-def apply_quality_rules(docs: DataFrame, reach: float = 4.0, least_rows: int = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def apply_quality_rules(docs: DataFrame, reach: float = 4.0, prior_rows: float = 40, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Counts and verdict of every text, one row out for each row in.
 
     A document that the base rules pass is kept if each of its statistics lies
@@ -96,7 +111,7 @@ def apply_quality_rules(docs: DataFrame, reach: float = 4.0, least_rows: int = 4
     words and fail the base; null languages and sources are groups of their own.
     """
     counts = saved(counted(docs, id_col, text_col, lang_col, source_col), "quality-counts")
-    fences = thresholds(counts, reach, least_rows)
+    fences = thresholds(counts, reach, prior_rows)
     judged = counts.join(fences, counts.lang.eqNullSafe(fences.at_lang) & counts.source.eqNullSafe(fences.at_source), "left").withColumn("base_failed", base_failed())
     within = F.lit(True)
     for r, (e, *_) in RATES.items():

@@ -149,6 +149,63 @@ def test_fences_follow_the_group(spark):
     assert a.repeat_rate_high < 0.3 and a.dup_line_rate_high < 0.6 and a.symbol_rate_high < 0.1
 
 
+def brute_fences(rows, reach=4.0, prior=40):
+    """Fences of each (lang, source) from exact quantiles of all rows."""
+    groups = defaultdict(list)
+    for lang, source, n, chars, sym, dup, rep, lines in rows:
+        if n >= 50 and 100 * rep <= 50 * n:
+            r = {"word_length": chars / n, "symbol_rate": sym / n, "dup_line_rate": dup / max(lines, 1), "repeat_rate": rep / n, "words": n, "lines": max(lines, 1)}
+            for key in ((lang, source), (lang,), ()):
+                groups[key].append(r)
+
+    def quantile(key, name, q):
+        values = sorted(r[name] for r in groups[key])
+        return values[max(0, -(-round(q * len(values) * 1e9) // 10**9) - 1)]  # the least value that a share of q does not exceed
+
+    def drawn(lang, source, name, q):
+        value = quantile((), name, q)
+        for key in ((lang,), (lang, source)):
+            if n := len(groups[key]):
+                value = (quantile(key, name, q) * n + value * prior) / (n + prior)
+        return value
+
+    out = {}
+    for lang, source in {(r[0], r[1]) for r in rows}:
+        for name, a, b in (("word_length", 0.25, 0.75), ("symbol_rate", 0.25, 0.75), ("dup_line_rate", 0.05, 0.95), ("repeat_rate", 0.05, 0.95)):
+            low, high = drawn(lang, source, name, a), drawn(lang, source, name, b)
+            spread = high - low + 1 / drawn(lang, source, "lines" if name == "dup_line_rate" else "words", 0.5)
+            out[lang, source, name] = low - reach * spread, high + reach * spread
+    return out
+
+
+def test_fences_against_exact_quantiles(spark, sf):
+    rows = [(r.lang, r.source, *brute_counts(r.text or "")) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = brute_fences(rows)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = rules.thresholds(rules.counted(docs)).collect()
+    assert {(r.at_lang, r.at_source) for r in got} == {k[:2] for k in want}
+    for r in got:
+        for name in rules.RATES:
+            assert (r[f"{name}_low"], r[f"{name}_high"]) == pytest.approx(want[r.at_lang, r.at_source, name], rel=1e-6, abs=1e-9), name
+    fences = {(r.at_lang, r.at_source): r for r in got}
+    where = {r.doc_id: (r.lang, r.source) for r in docs.collect()}
+    for r in queries.op2_quality_rules(spark, sf).collect():
+        f = fences[where[r.doc_id]]
+        ok = not r.base_failed and f.word_length_low <= r.word_chars / r.n_words <= f.word_length_high and r.n_symbols / r.n_words <= f.symbol_rate_high and r.n_repeat_words / r.n_words <= f.repeat_rate_high
+        assert r.kept <= ok and (r.kept == ok or r.n_dup_lines > 0)
+
+
+def test_shift_of_one_group_moves_its_fence(spark):
+    """Symbols in all texts of one source move that source's fence; the other
+    one's only as far as it leans on the language."""
+    def frame(shift):
+        rows = [("en", source, 200, 1000 + i % 9, shift * (source == "s1") * (20 + i % 5), 0, 0, 5) for source in ("s1", "s2") for i in range(300)]
+        return spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+
+    before, after = ({r.at_source: r.symbol_rate_high for r in rules.thresholds(frame(k)).collect()} for k in (0, 1))
+    assert before["s1"] == before["s2"] < 0.03 and after["s1"] > 0.12 and after["s2"] < 0.1
+
+
 def test_op2_hard_rows(hard, empty):
     got = rules.apply_quality_rules(hard)
     assert got.count() == len(HARD) and got.where("kept is null").count() == 0
