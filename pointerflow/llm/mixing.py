@@ -54,8 +54,8 @@ def entropy_rates(sized: DataFrame, sources: DataFrame, most: float = MOST, tole
     The constraints of a source are its tokens (``target``) and its documents
     (``n * target / source_size``).  The optimum is ``min(most, exp(a + b z))``
     with ``z`` the size over the source's mean size; ``a`` and ``b`` are the
-    dual's variables.  A Newton round sums gradient and Hessian over distinct
-    (source, size) pairs, which all documents of equal size share, and moves
+    dual's variables.  A Newton round sums gradient, Hessian and the dual's value,
+    by which steps that go too far are halved, over distinct (source, size) pairs, which all documents of equal size share, and moves
     every source at once; the driver sees a few numbers a source.  The second
     constraint keeps a source's long and short documents in proportion, as the
     first alone would tilt towards one of them.
@@ -67,6 +67,7 @@ def entropy_rates(sized: DataFrame, sources: DataFrame, most: float = MOST, tole
     pairs = saved(sized.groupBy("source", "size").agg(F.count("*").alias("c")).where("size > 0"), "mixing-sizes")
     at = {r.source: r for r in sources.collect() if r.source_size}
     dual = {s: (0.0, 0.0) for s in at}
+    last: dict[str | None, tuple[float, float, float, float, float]] = {}  # dual value, point and step of the round before
     full = {s for s, r in at.items() if r.target >= most * r.source_size * (1 - 1e-12)}
     open_ = set(at) - full
     counts = {r.source: r.n for r in pairs.groupBy("source").agg(F.sum("c").alias("n")).collect()}
@@ -81,9 +82,10 @@ def entropy_rates(sized: DataFrame, sources: DataFrame, most: float = MOST, tole
         if not open_:
             break
         inner = F.when(F.col("free"), F.col("rate") * F.col("c")).otherwise(0.0)
+        area = F.col("rate") + F.when(F.col("free"), 0.0).otherwise(most * (F.col("a") + F.col("b") * F.col("z") - math.log(most)))  # under the rate, as a function of the exponent
         sums = with_dual().groupBy("source").agg(
             F.sum(F.col("rate") * F.col("c")).alias("g0"), F.sum(F.col("rate") * F.col("c") * F.col("z")).alias("g1"),
-            F.sum(inner).alias("h00"), F.sum(inner * F.col("z")).alias("h01"), F.sum(inner * F.col("z") * F.col("z")).alias("h11"),
+            F.sum(inner).alias("h00"), F.sum(inner * F.col("z")).alias("h01"), F.sum(inner * F.col("z") * F.col("z")).alias("h11"), F.sum(area * F.col("c")).alias("area"),
         ).collect()
         for r in sums:
             if r.source not in open_:
@@ -93,12 +95,19 @@ def entropy_rates(sized: DataFrame, sources: DataFrame, most: float = MOST, tole
             if abs(e1) <= tolerance * goal and abs(e0) <= tolerance * goal:
                 open_.discard(r.source)
                 continue
+            a, b = dual[r.source]
+            value = goal * (a + b) - r.area
+            if r.source in last and value < last[r.source][0] - 1e-12 * abs(value):  # too far: half the step from the point before
+                was, a, b, da, db = last[r.source]
+                last[r.source] = (was, a, b, da / 2, db / 2)
+                dual[r.source] = (a + da / 2, b + db / 2)
+                continue
             ridge = 1e-9 * (r.h00 + r.h11) + 1e-12
             h00, h11 = r.h00 + ridge, r.h11 + ridge
             det = h00 * h11 - r.h01 * r.h01
             da, db = (h11 * e0 - r.h01 * e1) / det, (h00 * e1 - r.h01 * e0) / det
             step = min(1.0, 1.0 / max(abs(da), abs(db), 1e-12))  # exponents move by one at most
-            a, b = dual[r.source]
+            last[r.source] = (value, a, b, step * da, step * db)
             dual[r.source] = (a + step * da, b + step * db)
     if open_:
         raise RuntimeError(f"no rates after {rounds} rounds for sources {sorted(map(str, open_))[:10]}")

@@ -27,9 +27,11 @@ RADIUS = 3
 BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 #: Reference fingerprints of the distance table: multiples of the golden ratio.
 PIVOTS = np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-#: Fingerprints that may share a key before it is divided further, and texts of
-#: one key or class that a task compares at a time.
+#: Fingerprints that may share a key before it is divided further.
 HOT = 2048
+#: Texts of one key or class that a task compares at a time; those of larger ones
+#: meet in blocks, so the number sets how work is dealt and not what is found.
+PART = 512
 
 #: Least hashes in a sketch, one byte kept of each (standard error 0.025 at 0.8).
 MINIMA = 256
@@ -252,7 +254,7 @@ def _similar(rows: DataFrame, similarity: float, words: int | None = None) -> Da
 
     Sketches decide, SLACK below ``similarity``; with ``words``, rows have a
     text as well, and what the sketches leave is counted exactly.  A task reads
-    its rows in order and holds those of one key and salt, about HOT.
+    its rows in order and holds those of one key and salt, about PART.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     share = similarity - SLACK
@@ -311,22 +313,22 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _divided(members: DataFrame) -> DataFrame:
-    """``members`` (rep, key, n) with a salt that gives parts of about HOT rows,
+    """``members`` (rep, key, n) with a salt that gives parts of about PART rows,
     each key's in another way."""
-    parts = F.ceil(F.col("n") / HOT)
+    parts = F.ceil(F.col("n") / PART)
     return members.withColumn("salt", F.pmod(F.xxhash64("rep", "key"), parts)).withColumn("known", F.col("rep"))
 
 
 def _crossed(hot: DataFrame, found: DataFrame) -> DataFrame:
     """Rows (rep, key, salt, known) that bring together whatever parts of the
     hot keys kept apart: each two texts of a key that ``found`` does not link
-    yet share a salt, whose rows are about HOT.
+    yet share a salt, whose rows are about PART.
 
-    A component of more than half of HOT texts of a key has blocks of its own, the
+    A component of more than half of PART texts of a key has blocks of its own, the
     others share blocks; a salt is a pair of blocks.  Pairs of blocks of one
     component are left out, so a key that is one component costs nothing.
     """
-    half = max(1, HOT // 2)
+    half = max(1, PART // 2)
     roots = components(found)
     placed = hot.select("rep", "key").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "key", F.coalesce("root", "rep").alias("known"))
     sizes = placed.groupBy("key", "known").agg(F.count("*").alias("m"))
@@ -359,12 +361,12 @@ def _linked(docs: DataFrame, words: int, similarity: float, id_col: str, text_co
     members = saved(keyed.join(shared, "key"), "sketch-members")
     bodies = reps.select("rep", "fp", "sketch")
     found = saved(_similar(_divided(members).join(bodies, "rep"), similarity), "sketch-links")
-    found = _completed(found, members.where(F.col("n") > HOT), bodies, similarity)
+    found = _completed(found, members.where(F.col("n") > PART), bodies, similarity)
     classes = saved(components(found).select(F.col("node").alias("rep"), F.col("root").alias("key")), "sketch-classes")
 
     sizes = classes.groupBy("key").agg(F.count("*").alias("n"))
     sized = saved(classes.join(sizes, "key").join(bodies, "rep"), "sketch-candidates")
-    hot = sized.where(F.col("n") > HOT)
+    hot = sized.where(F.col("n") > PART)
     texts = docs.select(_row(docs).alias("rep"), F.col(f"`{text_col}`").cast("string").alias("text")).join(classes.select("rep"), "rep", "left_semi")
     texts = saved(texts.dropDuplicates(["rep"]), "sketch-texts")  # equal rows
     exact = saved(_similar(_divided(sized).join(texts, "rep"), similarity, words), "similar-links")
@@ -379,7 +381,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     Texts that share a key and whose sketches are alike within SLACK form
     candidate classes; within a class similarities are counted exactly, from
     whole texts.  Copies take part once: equal fingerprints and sketches are
-    taken as copies.  Keys and classes of more than HOT texts are divided by
+    taken as copies.  Keys and classes of more than PART texts are divided by
     salts first; then every block of texts meets every other block of its key
     or class, unless they are linked as a whole, so that no task gets a hot
     one's rows at once and no pair is left out.  Texts without words are alike.  Rows with a null

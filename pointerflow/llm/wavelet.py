@@ -1,8 +1,11 @@
 """Token ids on disk as wavelet matrices (op9).
 
-The written form is a Parquet table, one file a shard.  A row is a block: whole
-consecutive documents with about ``block_tokens`` ids, their wavelet matrix and
-the directory of documents.
+The written form is a Parquet table, one file a shard, a shard being a range of
+the order key.  Its wavelet matrix is kept in blocks, so that neither writing
+nor reading holds a shard: a row is a block of whole consecutive documents with
+about ``block_tokens`` ids, its bit-planes, their rank directories and the
+directory of its documents.  What a token counts before a block is the sum of
+the blocks ahead of it, and ``read_token_shards`` adds the ids ahead of it.
 
 ============ ======================================================
 column       content
@@ -14,6 +17,8 @@ bits         bit-planes, the highest bit first
 doc_ids      id of each document
 doc_lengths  little-endian uint32, ids of each document
 zeros        little-endian uint32 for each plane, its zero bits
+ranks        for each plane, little-endian uint32: its ones before
+             each run of 64 bytes, and all of its ones
 planes       each plane zstandard-compressed, as a list
 ============ ======================================================
 """
@@ -21,8 +26,7 @@ planes       each plane zstandard-compressed, as a list
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
-from functools import cached_property
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,116 +38,133 @@ from .common import map_batches, small, texts_of
 from .ordered import range_bounds, range_count, range_number
 from .tokens import encoder
 
-BLOCKS = "shard long, block long, n_tokens long, bits int, doc_ids array<long>, doc_lengths binary, zeros binary, planes array<binary>"
-_ARROW = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("n_tokens", pa.int64()), ("bits", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.binary()), ("zeros", pa.binary()), ("planes", pa.list_(pa.binary()))])
+BLOCKS = "shard long, block long, n_tokens long, bits int, doc_ids array<long>, doc_lengths binary, zeros binary, ranks array<binary>, planes array<binary>"
+_ARROW = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("n_tokens", pa.int64()), ("bits", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.binary()), ("zeros", pa.binary()), ("ranks", pa.list_(pa.binary())), ("planes", pa.list_(pa.binary()))])
 
 
 class WaveletMatrix:
     """Access, count and occurrence lookup over a sequence of token ids.
 
     Plane ``l`` holds bit ``bits - 1 - l`` of all ids, in the order that stable
-    partitions by the bits above it leave.
+    partitions by the bits above it leave.  A plane is unpacked when it is first
+    asked for: a lookup that ends early leaves the others alone.
     """
 
     STEP = 64  # bytes between the entries of a plane's rank directory
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros, self.bits = n, planes, zeros, len(planes)
+    def __init__(self, n: int, bits: int, plane: Callable[[int], np.ndarray], zeros: list[int], ranks: list[np.ndarray]):
+        self.n, self.bits, self.zeros, self.ranks = n, bits, zeros, ranks
+        self._plane, self._planes = plane, {}
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-        planes, zeros = [], []
+        planes, zeros, ranks = [], [], []
         for bit in range(bits - 1, -1, -1):
             on = (x & x.dtype.type(1 << bit)) != 0
-            planes.append(np.packbits(on))
+            plane = np.packbits(on)
+            runs = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), cls.STEP), dtype=np.uint32) if len(plane) else np.zeros(0, np.uint32)
+            planes.append(plane), ranks.append(np.concatenate([[0], np.cumsum(runs)]).astype("<u4"))
             low = x.take(np.flatnonzero(~on))
             zeros.append(len(low))
             x = np.concatenate([low, x.take(np.flatnonzero(on))])
-        return cls(len(ids), planes, zeros)
+        return cls(len(ids), bits, planes.__getitem__, zeros, ranks)
+
+    @classmethod
+    def of_row(cls, n: int, bits: int, zeros: bytes, ranks: list[bytes], planes: list[bytes]) -> WaveletMatrix:
+        unpack = zstandard.ZstdDecompressor().decompress
+        return cls(n, bits, lambda level: np.frombuffer(unpack(planes[level]), np.uint8), np.frombuffer(zeros, "<u4").tolist(), [np.frombuffer(r, "<u4") for r in ranks])
+
+    def plane(self, level: int) -> np.ndarray:
+        if level not in self._planes:
+            self._planes[level] = self._plane(level)
+        return self._planes[level]
+
+    def _bits_of(self, level: int) -> np.ndarray:
+        return np.unpackbits(self.plane(level), count=self.n).view(bool)
 
     def decode(self) -> np.ndarray:
         """All ids: the stable partitions undone, the last one first."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
         x = np.zeros(self.n, kind)
         for level in range(self.bits - 1, -1, -1):
-            on = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            on = self._bits_of(level)
             y, z = np.empty_like(x), self.zeros[level]
             y[np.flatnonzero(~on)] = x[:z]
             y[np.flatnonzero(on)] = x[z:] | kind(1 << (self.bits - 1 - level))
             x = y
         return x
 
-    @cached_property
-    def _directory(self) -> list[np.ndarray]:
-        """For each plane: ones before each run of STEP bytes."""
-        out = []
-        for plane in self.planes:
-            starts = np.arange(0, len(plane), self.STEP)
-            runs = np.add.reduceat(np.bitwise_count(plane).astype(np.int64), starts) if len(plane) else np.zeros(0, np.int64)
-            out.append(np.concatenate([[0], np.cumsum(runs)]))
-        return out
-
     def _ones(self, level: int, i: int) -> int:
         """Ones among the first ``i`` bits of a plane."""
         byte, bit = divmod(i, 8)
         run = byte // self.STEP
-        plane = self.planes[level]
-        ones = int(self._directory[level][run]) + int(np.bitwise_count(plane[run * self.STEP : byte]).sum())
+        if not bit and byte == run * self.STEP:
+            return int(self.ranks[level][run])
+        plane = self.plane(level)
+        ones = int(self.ranks[level][run]) + int(np.bitwise_count(plane[run * self.STEP : byte]).sum())
         return ones + (int(plane[byte]) >> (8 - bit)).bit_count() if bit else ones
 
-    def _bit_place(self, level: int, want: bool, k: int) -> int:
-        """Where the ``k``-th (from 0) bit equal to ``want`` stands, by bisection."""
-        lo, hi = 0, self.n
-        while lo < hi:
-            mid = (lo + hi) // 2
-            ones = self._ones(level, mid + 1)
-            if (ones if want else mid + 1 - ones) > k:
-                hi = mid
-            else:
-                lo = mid + 1
-        return lo
-
     def access(self, i: int) -> int:
         token = 0
         for level in range(self.bits):
-            on = (int(self.planes[level][i // 8]) >> (7 - i % 8)) & 1
+            on = (int(self.plane(level)[i // 8]) >> (7 - i % 8)) & 1
             ones = self._ones(level, i)
             token, i = token << 1 | on, self.zeros[level] + ones if on else i - ones
         return token
 
-    def rank(self, token: int, i: int) -> int:
-        """How often ``token`` stands among the first ``i`` ids."""
+    def _run(self, token: int, i: int) -> tuple[int, int]:
+        """Where those of the first ``i`` ids that equal ``token`` stand after all
+        partitions; ends with the first plane that leaves none."""
         lo, hi = 0, i
+        if token >> self.bits:
+            return 0, 0
         for level in range(self.bits):
+            if lo == hi:
+                break
             a, b = self._ones(level, lo), self._ones(level, hi)
             if token >> (self.bits - 1 - level) & 1:
                 lo, hi = self.zeros[level] + a, self.zeros[level] + b
             else:
                 lo, hi = lo - a, hi - b
+        return lo, hi
+
+    def rank(self, token: int, i: int) -> int:
+        """How often ``token`` stands among the first ``i`` ids."""
+        lo, hi = self._run(token, i)
         return hi - lo
 
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
+    def places(self, token: int) -> np.ndarray:
+        """Where ``token`` stands, ascending: its run, taken back up the planes."""
+        lo, hi = self._run(token, self.n)
+        at = np.arange(lo, hi)
+        for level in range(self.bits - 1, -1, -1) if len(at) else ():
+            on = self._bits_of(level)
+            at = np.flatnonzero(on)[at - self.zeros[level]] if token >> (self.bits - 1 - level) & 1 else np.flatnonzero(~on)[at]
+        return at
+
     def select(self, token: int, k: int) -> int:
         """Place of the ``k``-th (from 0) occurrence of ``token``, or -1."""
-        if k < 0 or k >= self.count(token):
+        lo, hi = self._run(token, self.n)
+        if not 0 <= k < hi - lo:
             return -1
-        at = 0
-        for level in range(self.bits):
-            ones = self._ones(level, at)
-            at = self.zeros[level] + ones if token >> (self.bits - 1 - level) & 1 else at - ones
-        at += k
+        at = lo + k
         for level in range(self.bits - 1, -1, -1):
             on = bool(token >> (self.bits - 1 - level) & 1)
             at = self._bit_place(level, on, at - self.zeros[level] if on else at)
         return at
 
-    @classmethod
-    def of_row(cls, n: int, zeros: bytes, planes: list[bytes]) -> WaveletMatrix:
-        unpack = zstandard.ZstdDecompressor().decompress
-        return cls(n, [np.frombuffer(unpack(p), np.uint8) for p in planes], np.frombuffer(zeros, "<u4").tolist())
+    def _bit_place(self, level: int, want: bool, k: int) -> int:
+        """Where the ``k``-th (from 0) bit equal to ``want`` stands: its run by the
+        rank directory, then its place in the run."""
+        ones = self.ranks[level].astype(np.int64)
+        before = ones if want else np.minimum(np.arange(len(ones)) * self.STEP * 8, self.n) - ones
+        run = int(np.searchsorted(before, k, side="right")) - 1
+        part = np.unpackbits(self.plane(level)[run * self.STEP : (run + 1) * self.STEP]).view(bool)
+        return run * self.STEP * 8 + int(np.flatnonzero(part == want)[k - int(before[run])])
 
 
 def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, block_tokens: int = 1 << 19, bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -166,7 +187,7 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int
 
         def out() -> pa.RecordBatch:
             matrix = WaveletMatrix.build(np.frombuffer(b"".join(parts), "<u4"), bits)
-            row = (shard, number, matrix.n, bits, list(ids), np.array([len(p) // 4 for p in parts], "<u4").tobytes(), np.array(matrix.zeros, "<u4").tobytes(), [pack.compress(p.data) for p in matrix.planes])
+            row = (shard, number, matrix.n, bits, list(ids), np.array([len(p) // 4 for p in parts], "<u4").tobytes(), np.array(matrix.zeros, "<u4").tobytes(), [r.tobytes() for r in matrix.ranks], [pack.compress(matrix.plane(level).data) for level in range(bits)])
             ids.clear(), parts.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _ARROW)], schema=_ARROW)
 
@@ -202,18 +223,75 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
     return blocks.join(small(starts, sum(r.blocks for r in totals)), ["shard", "block"])
 
 
+def _matrices(batches: Iterator[pa.RecordBatch], *others: str) -> Iterator[tuple]:
+    """The matrix of each block and the named columns of its row."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {name: batch.column(name)[i].as_py() for name in (*others, "n_tokens", "bits", "zeros", "ranks", "planes")}
+            yield WaveletMatrix.of_row(*(row[k] for k in ("n_tokens", "bits", "zeros", "ranks", "planes"))), *(row[name] for name in others)
+
+
 def document_digests(blocks: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from blocks."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                n, first, doc_ids, lengths, zeros, planes = (batch.column(k)[i].as_py() for k in range(6))
-                raw = WaveletMatrix.of_row(n, zeros, planes).decode().astype("<u4").tobytes()
-                sizes = np.frombuffer(lengths, "<u4").astype(np.int64)
-                ends = np.cumsum(sizes)
-                crcs = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(first + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())], schema=schema)
-
-    return map_batches(blocks.select("n_tokens", "first", "doc_ids", "doc_lengths", "zeros", "planes"), digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        for matrix, first, doc_ids, lengths in _matrices(batches, "first", "doc_ids", "doc_lengths"):
+            raw = matrix.decode().astype("<u4").tobytes()
+            sizes = np.frombuffer(lengths, "<u4").astype(np.int64)
+            ends = np.cumsum(sizes)
+            crcs = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(first + ends - sizes), pa.array(sizes), pa.array(crcs, pa.int64())], schema=schema)
+
+    return map_batches(blocks, digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def count_tokens(blocks: DataFrame, tokens: list[int]) -> DataFrame:
+    """token, n: how often each of ``tokens`` stands in all blocks, by two ranks
+    a plane.  Tokens that never stand there, or are repeated in the list, have a
+    row each like others; without blocks there are no rows."""
+    wanted = sorted(set(tokens))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = dict.fromkeys(wanted, 0)
+        for (matrix,) in _matrices(batches):
+            for token in wanted:
+                total[token] += matrix.count(token)
+        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], names=["token", "n"])
+
+    return map_batches(blocks, counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def locate_token(blocks: DataFrame, token: int) -> DataFrame:
+    """position, doc_id, offset of each occurrence of ``token``: its place among
+    all ids and in its document.  Blocks without it have one plane or a few read."""
+    schema = pa.schema([("position", pa.int64()), ("doc_id", pa.int64()), ("offset", pa.int64())])
+
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for matrix, first, doc_ids, lengths in _matrices(batches, "first", "doc_ids", "doc_lengths"):
+            at = matrix.places(token)
+            ends = np.cumsum(np.frombuffer(lengths, "<u4").astype(np.int64))
+            doc = np.searchsorted(ends, at, side="right")
+            starts = np.concatenate([[0], ends[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(first + at), pa.array([doc_ids[k] for k in doc.tolist()], pa.int64()), pa.array(at - starts[doc] if len(at) else at)], schema=schema)
+
+    return map_batches(blocks, occurrences, "position long, doc_id long, offset long")
+
+
+def tokens_at(blocks: DataFrame, positions: DataFrame, cell: int = 1 << 19) -> DataFrame:
+    """position, token for each distinct ``position`` of ``positions`` that some
+    block holds; null ones and those beyond the ends give no row.
+
+    A block is met through cells of ``cell`` positions that both sides fall in,
+    by its directory alone; its planes are read once, for all its positions.
+    """
+    places = positions.select(F.col("position").cast("long").alias("position")).where("position is not null").distinct().withColumn("cell", F.expr(f"position div {cell}"))
+    spans = blocks.select("shard", "block", "first", "n_tokens", F.explode(F.expr(f"sequence(first div {cell}, (first + n_tokens - 1) div {cell})")).alias("cell"))
+    met = places.join(spans, "cell").where("position >= first and position < first + n_tokens")
+    wanted = met.groupBy("shard", "block").agg(F.collect_list("position").alias("positions"))
+
+    def access(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for matrix, first, at in _matrices(batches, "first", "positions"):
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([matrix.access(p - first) for p in at], pa.int64())], names=["position", "token"])
+
+    return map_batches(blocks.join(wanted, ["shard", "block"]), access, "position long, token long")

@@ -117,6 +117,27 @@ def test_differencing(seed):
     assert all(sum(sizes[i] for i in p) <= 2048 for p in parts)
 
 
+def brute_differencing(sizes, k):
+    """Karmarkar-Karp on k-tuples with every empty part written out."""
+    parts = [sorted([(s, (i,))] + [(0, ())] * (k - 1), reverse=True) for i, s in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: p[-1][0] - p[0][0])
+        a, b, *parts = parts
+        parts.append(sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))), key=lambda x: -x[0]))
+    return sorted(x[0] for x in parts[0])
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_differencing_by_brute_force(seed):
+    rnd = random.Random(seed)
+    sizes = rnd.sample(range(1, 100_000), rnd.randint(2, 40))
+    k = rnd.randint(1, 9)
+    got = sorted(sum(sizes[i] for i in p) for p in packing.differencing(sizes, k))
+    want = brute_differencing(sizes, k)
+    assert [0] * (k - len(got)) + got == want
+    assert max(want) - min(want) <= max(sizes)
+
+
 def brute_counts(text):
     words = WORD.findall(text)
     threes = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -127,6 +148,35 @@ def brute_counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(hit), len(lines)
 
 
+WORDS_RE = r"[^\x20\x09-\x0D]+"
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    return c
+
+
+def test_parts_of_queries_that_sql_can_say(spark, sf, duck):
+    """Counts of op2, sizes and targets of op4, rules of op8 against DuckDB."""
+    words = f"regexp_extract_all(coalesce(text, ''), '{WORDS_RE}')"
+    want = duck.execute(f"select doc_id, len({words}), coalesce(list_sum([length(w) for w in {words}]), 0), length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) from documents").fetchall()
+    assert sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols) for r in queries.op2_quality_rules(spark, sf).collect()) == sorted(want)
+    want = duck.execute(f"select doc_id, len({words}) size, sum(len({words})) over (partition by source) from documents").fetchall()
+    assert sorted((r.doc_id, r.size, r.source_size) for r in queries.op4_mixing(spark, sf).collect()) == sorted(want)
+    want = duck.execute(r"""
+        with u as (select page_id, regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)', 1) h, regexp_extract(coalesce(url, ''), '^[\s\S]*?://[^/?#]*([^?#]*)', 1) p from pages),
+        l as (select page_id, lower(h) h, p, '.' || lower(h) dotted from u)
+        select page_id, h, p, case
+          when dotted like '%.www.example.com' and p like '/en/%' then 'www.example.com/en/' when dotted like '%.example.com' and p like '/en/%' then 'example.com/en/'
+          when dotted like '%.net' and p like '/es/%' then 'net/es/' when dotted like '%.net' and p like '/fr/%' then 'net/fr/' when dotted like '%.com' and p like '/%' then 'com/' end from l""").fetchall()
+    assert sorted(((r.page_id, r.host, r.path, r.rule) for r in queries.op8_url_filters(spark, sf).collect()), key=str) == sorted(want, key=str)
+
+
 def test_op2(spark, sf, docs):
     got = {r.doc_id: r for r in queries.op2_quality_rules(spark, sf).collect()}
     assert len(got) == len(docs)
@@ -236,6 +286,31 @@ def test_op3_hard_rows(hard, empty):
     assert fingerprints.fingerprint_documents(hard.where("doc_id = 6")).first().near_next == 1.0
 
 
+def brute_fingerprint(text):
+    """Length, whole hash and least span hashes by whole-number sums, no prefixes."""
+    p = (1 << 31) - 1
+    hash_of = lambda codes, base: sum((c + 1) * pow(base, i, p) for i, c in enumerate(codes)) % p
+    codes = [ord(c) for c in text]
+    width = min(fingerprints.SPAN, len(codes))
+    spans = {hash_of(codes[i : i + width], fingerprints.BASES[0]) for i in range(len(codes) - width + 1)} if codes else set()
+    least = sorted({((s + 1) * 0x9E3779B97F4A7C15 % 2**64) >> 32 for s in spans})[: fingerprints.KEEP]
+    return "{}:{:08x}{:08x}:{}".format(len(codes), *(hash_of(codes, b) for b in fingerprints.BASES), "".join(f"{x:08x}" for x in least)), least
+
+
+def test_fingerprints_by_brute_force():
+    rnd = random.Random(8)
+    texts = ["", "a", "ab" * 11, "naïve 😀 中文", *("".join(rnd.choice("abcdé ") for _ in range(n)) for n in (23, 24, 25, 400, 1500))]
+    texts += [t[:200] + "X" + t[200:] for t in texts[-2:]]
+    brute = [brute_fingerprint(t) for t in texts]
+    for text, (want, _) in zip(texts, brute):
+        assert fingerprints.fingerprint(text) == want
+    for x, (fx, sx) in zip(texts, brute):
+        for y, (fy, sy) in zip(texts, brute):
+            both = sorted({*sx, *sy})[: fingerprints.KEEP]
+            want = 1.0 if x == y else float(not sx and not sy) if not sx or not sy else sum(v in sx and v in sy for v in both) / len(both)
+            assert fingerprints.likeness(fx, fy) == pytest.approx(want)
+
+
 def test_spans_compare_across_texts():
     a, b = fingerprints.PrefixHash("xxhello worldyy"), fingerprints.PrefixHash("hello world!")
     assert a.span(2, 13) == b.span(0, 11) and a.common_prefix(b, 2, 0) == 11 and a.span(2, 14) != b.span(0, 12)
@@ -406,6 +481,15 @@ def test_mixed_takes_what_the_plan_takes(spark):
     assert max(Counter(map(tuple, out)).values()) <= 2 * max(Counter(rows).values())
 
 
+def test_newton_meets_targets_next_to_the_limit(spark):
+    sizes = {"a": [5, 9, 200], "b": [7], "c": [3] * 40 + [9000], "d": list(range(1, 60))}
+    ratio = {"a": 1.97, "b": 1.999, "c": 1.6, "d": 0.01}
+    sized = spark.createDataFrame([(k, s) for k, v in sizes.items() for s in v], "source string, size long")
+    sources = spark.createDataFrame([(k, sum(v), len(v), ratio[k] * sum(v)) for k, v in sizes.items()], "source string, source_size long, n long, target double")
+    for r in mixing.entropy_rates(sized, sources).collect():
+        assert r.rate == pytest.approx(ratio[r.source], rel=1e-5)
+
+
 def test_newton_reports_failure(spark):
     sized = spark.createDataFrame([("a", s) for s in range(1, 200)], "source string, size long")
     sources = spark.createDataFrame([("a", 19900, 199, 30000.0)], "source string, source_size long, n long, target double")
@@ -635,17 +719,52 @@ def test_op9_hard_rows(spark, hard, empty, tmp_path):
     assert wavelet.document_digests(wavelet.read_token_shards(spark, str(tmp_path / "b"))).count() == 0
 
 
-def test_wavelet_matrix():
-    rng = np.random.default_rng(2)
-    a = rng.integers(0, 50, 3000)
-    m = wavelet.WaveletMatrix.build(a, 6)
-    assert (m.decode() == a).all()
-    for i in rng.integers(0, 3000, 40):
-        assert m.access(int(i)) == a[i] and m.rank(int(a[i]), int(i)) == (a[:i] == a[i]).sum()
-    for t in range(0, 50, 7):
-        places = np.flatnonzero(a == t)
-        assert m.count(t) == len(places) and m.select(t, len(places)) == -1
-        assert [m.select(t, k) for k in range(0, len(places), 9)] == places[::9].tolist()
+def test_lookups_from_files(spark, hard, tokenizer, tmp_path):
+    """Access, counts and occurrences from the written files against the ids."""
+    docs = hard.where("doc_id is not null and doc_id <> 4").dropDuplicates(["doc_id"])
+    wavelet.write_token_shards(docs, str(tmp_path / "t"), default_vocabulary(), block_tokens=9)
+    blocks = wavelet.read_token_shards(spark, str(tmp_path / "t"))
+    assert blocks.count() > 3
+    ids, places = [], []
+    for r in docs.orderBy("doc_id").collect():
+        mine = [*ids_of(tokenizer, r.text), 2]
+        places += [(r.doc_id, i) for i in range(len(mine))]
+        ids += mine
+    wanted = spark.createDataFrame([(i,) for i in (*range(len(ids)), 3, -1, len(ids), None)], "position long")
+    for cell in (4, 1 << 19):
+        assert {r.position: r.token for r in wavelet.tokens_at(blocks, wanted, cell).collect()} == dict(enumerate(ids))
+    some = [*set(ids), 49_999, 1 << 20]
+    assert {r.token: r.n for r in wavelet.count_tokens(blocks, some).collect()} == {t: ids.count(t) for t in some}
+    for token in (2, ids[0], 49_999):
+        got = {(r.position, r.doc_id, r.offset) for r in wavelet.locate_token(blocks, token).collect()}
+        assert got == {(i, *places[i]) for i, t in enumerate(ids) if t == token}
+    none = blocks.where("false")
+    assert wavelet.tokens_at(none, wanted).count() == wavelet.locate_token(none, 2).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
+def test_wavelet_matrix(n):
+    rng = np.random.default_rng(n)
+    a = rng.integers(0, 50, n)
+    built = wavelet.WaveletMatrix.build(a, 6)
+    import zstandard
+
+    pack = zstandard.ZstdCompressor().compress
+    read = wavelet.WaveletMatrix.of_row(n, 6, np.array(built.zeros, "<u4").tobytes(), [r.tobytes() for r in built.ranks], [pack(built.plane(i).tobytes()) for i in range(6)])
+    for m in (built, read):
+        assert (m.decode() == a).all() and m.count(64) == 0
+        for i in rng.integers(0, n, 40) if n else ():
+            assert m.access(int(i)) == a[i] and m.rank(int(a[i]), int(i)) == (a[:i] == a[i]).sum()
+        for t in range(0, 64, 7):
+            places = np.flatnonzero(a == t)
+            assert m.count(t) == len(places) and m.select(t, len(places)) == m.select(t, -1) == -1
+            assert [m.select(t, k) for k in range(0, len(places), 9)] == places[::9].tolist() and m.places(t).tolist() == places.tolist()
+
+
+def test_lookups_read_few_planes():
+    a = np.arange(1000) % 8
+    m = wavelet.WaveletMatrix.build(a, 16)
+    assert m.count(1 << 15) == 0 and len(m._planes) <= 1
 
 
 def brute_simhash(text):
@@ -721,7 +840,7 @@ def test_similar_documents_against_brute_force(spark, monkeypatch):
     sets = [shingle_set(t) for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for hot, least in ((2048, 0.8), (4, 0.88)):  # parts of four texts may miss links near the limit
-        monkeypatch.setattr(simhash, "HOT", hot)
+        monkeypatch.setattr(simhash, "PART", hot)
         got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
         assert len(got) == len(texts)
         assert all(families[d] == families[c] for d, c in got.items())
@@ -745,7 +864,7 @@ def test_hot_keys_and_classes_lose_no_link(spark, monkeypatch):
     alike = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     whole = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
-    monkeypatch.setattr(simhash, "HOT", 4)
+    monkeypatch.setattr(simhash, "PART", 4)
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
     assert got == whole
     assert len(alike) > 150 and sum(got[a] == got[b] for a, b in alike) >= 0.99 * len(alike)  # a pair shares a key nearly always
