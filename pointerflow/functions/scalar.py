@@ -85,6 +85,15 @@ def _pairs(path: Column, f) -> Column:
     return F.when(n > 1, F.zip_with(F.slice(path, 1, n - 1), F.slice(path, F.lit(2), n - 1), f)).otherwise(F.array().cast("array<double>"))
 
 
+def quantiles(c, points, accuracy: int | None = None) -> Column:
+    """Array of quantiles of a group: exact and interpolated, which holds every
+    distinct value of the group in one task; or, with ``accuracy``, values whose
+    rank is off by a share of 1 / accuracy at most, from mergeable sketches of
+    bounded size."""
+    shares = F.array(*(F.lit(float(p)) for p in points))
+    return F.percentile_approx(c, shares, F.lit(accuracy)) if accuracy else F.percentile(c, shares)
+
+
 def path_steps(path) -> dict[str, Column]:
     """Arrays over the steps of a path: dt, dist, speed, speed_change, angle."""
     path = col(path)

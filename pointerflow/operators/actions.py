@@ -1,20 +1,22 @@
 """Events to actions: pauses, hovers, clicks, movements (AC2-AC8).
 
-Only the hover scan needs order one event at a time; the rest are windows and
-aggregates over the partitioning by sequence that the first window makes.
+Only the hover scan needs order one event at a time; it also numbers the runs of
+pauses and movements, so that one aggregation makes all actions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .events import sequence, valid_events, with_deltas
+from .events import recorded, recorded_by, sequence, valid_events, with_deltas
 
 TYPES = {"start": "double", "end": "double", "duration": "double", "distance": "double", "x": "double", "y": "double", "timestamp": "double", "node": "string", "path": "array<struct<x:double,y:double,t:double>>"}
 
@@ -34,115 +36,191 @@ def is_pause(th: Thresholds = DEFAULT) -> Column:
     return F.coalesce(~F.col("is_click") & (F.col("dt") >= th.pause_ms) & (F.col("dist") < th.pause_distance), F.lit(False))
 
 
+class _Open:
+    """What the hover scan keeps between Arrow batches."""
+
+    def __init__(self) -> None:
+        self.anchor: tuple[float, float, float] | None = None
+        self.last: tuple[float, float, float] | None = None
+        self.runs = self.segments = 0
+
+
+def _scan(state: _Open, new: np.ndarray, ends: np.ndarray, near: np.ndarray, pause: np.ndarray, click: np.ndarray, points: tuple[list, list, list], th: Thresholds) -> dict[int, tuple]:
+    """Hovers by the event that ends them: (start, x, y, end, flushed).
+
+    While no hover is open, the scan goes from one near event to the next.
+    """
+    t, x, y = points
+    opening = np.flatnonzero(near & ~pause & ~click & ~new).tolist()
+    new, ends, pause, click = (a.tolist() for a in (new, ends, pause, click))
+    found: dict[int, tuple] = {}
+    held, i, n, at = state.anchor, 0, len(t), 0
+    before = lambda i: (t[i - 1], x[i - 1], y[i - 1]) if i else state.last
+    while i < n:
+        if held is None:
+            while at < len(opening) and opening[at] < i:
+                at += 1
+            if at == len(opening):
+                break
+            i = opening[at]
+            held = before(i)
+        else:
+            end = None
+            if not (new[i] or pause[i]):
+                dx, dy = x[i] - held[1], y[i] - held[2]
+                end = t[i] if click[i] else before(i)[0] if math.sqrt(dx * dx + dy * dy) > th.hover_radius else None
+            if new[i] or pause[i] or end is not None:
+                if end is not None and end - held[0] >= th.hover_ms:
+                    found[i] = (*held, end, False)
+                held = None
+        if held is not None and ends[i]:
+            if t[i] - held[0] >= th.hover_ms:
+                found[i] = (*held, t[i], True)
+            held = None
+        i += 1
+    state.anchor = held
+    if n:
+        state.last = (t[-1], x[-1], y[-1])
+    return found
+
+
+def scan_events(deltas: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
+    """``deltas`` with ``pause``; ``hover``, the dwell around an anchor that an
+    event ends (or, if ``flushed``, the sequence after it); ``run`` and
+    ``segment``, which number runs of pauses and movements.
+
+    The rows of a sequence stand together, as ``with_deltas`` put them, and are
+    read once, in order; one anchor, one row and two counters are kept between
+    Arrow batches, so memory stays the same whatever a sequence's length.
+    """
+    keys = recorded_by(deltas)
+    hover = pa.struct([("start", pa.float64()), ("x", pa.float64()), ("y", pa.float64()), ("end", pa.float64()), ("flushed", pa.bool_())])
+    names = [*deltas.columns, "pause"]
+
+    def scanned(table: pa.Table, state: _Open, first_new: bool, last_ends: bool) -> pa.RecordBatch:
+        batch = table.combine_chunks().to_batches()[0]
+        n = batch.num_rows
+        new = np.ones(n, bool)
+        new[1:] = False
+        for k in keys:
+            new[1:] |= pc.not_equal(batch.column(k)[1:], batch.column(k)[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+            nulls = batch.column(k).is_null().to_numpy(zero_copy_only=False)
+            new[1:] |= nulls[1:] != nulls[:-1]
+        new[0] = first_new
+        ends = np.append(new[1:], last_ends)
+        pause, click = (batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("pause", "is_click"))
+        near = pc.less(batch.column("dist"), th.hover_radius).fill_null(False).to_numpy(zero_copy_only=False)
+        found = _scan(state, new, ends, near, pause, click, tuple(batch.column(c).to_pylist() for c in "txy"), th)
+        breaks = pause | click
+        breaks[[i for i, h in found.items() if not h[4]]] = True
+        runs, segments = state.runs + np.cumsum(~pause), state.segments + np.cumsum(breaks)
+        state.runs, state.segments = int(runs[-1]), int(segments[-1])
+        hovers = pa.array([dict(zip(("start", "x", "y", "end", "flushed"), h)) if (h := found.get(i)) else None for i in range(n)], hover)
+        return pa.RecordBatch.from_arrays([*batch.columns, hovers, pa.array(runs), pa.array(segments)], names=[*names, "hover", "run", "segment"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, first_new = _Open(), True
+        held: pa.Table | None = None  # a batch waits until the next shows whether its last row ends a sequence
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                ends = any(held.column(k)[-1].as_py() != table.column(k)[0].as_py() for k in keys)
+                yield scanned(held, state, first_new, ends)
+                first_new = ends
+            held = table
+        if held is not None:
+            yield scanned(held, state, first_new, True)
+
+    ordered = deltas.withColumn("pause", is_pause(th)).sortWithinPartitions(*keys, "event_idx")
+    fields = ", ".join(f"`{c}` {t}" for c, t in ordered.dtypes)
+    return ordered.mapInArrow(scan, fields + ", hover struct<start:double,x:double,y:double,end:double,flushed:boolean>, run long, segment long")
+
+
+def _parts() -> Column:
+    """The actions that an event has a part in: kind and number."""
+    part = lambda kind, number: F.struct(F.lit(kind).alias("type"), F.col(number).cast("long").alias("number"))
+    moving = ~F.col("pause") & ~F.col("is_click") & F.coalesce(F.col("dist") > 0, F.lit(False))
+    parts = [
+        F.when(F.col("pause"), part("pause", "run")),
+        F.when(F.col("is_click") & (F.col("event_idx") > 1), part("click", "event_idx")),
+        F.when(F.col("hover").isNotNull(), part("hover", "event_idx")),
+        F.when(moving, part("mouse_movement", "segment")),
+    ]
+    return F.filter(F.array(*parts), lambda p: p.isNotNull())
+
+
+def _assembled(scanned: DataFrame) -> DataFrame:
+    """One row an action: made_at, type and the columns of ``TYPES``, by one
+    aggregation over the partitioning by sequence."""
+    keys = recorded_by(scanned)
+    rows = scanned.withColumn("part", F.explode(_parts())).select(*keys, "part.*", *(c for c in scanned.columns if c not in keys))
+    moves, hover = F.col("type") == "mouse_movement", F.col("type") == "hover"
+    at = F.struct("x", "y", "t")
+    grouped = rows.groupBy(*keys, "type", "number").agg(
+        F.min("event_idx").alias("event_idx"), F.sum("dt").alias("dt"), F.sum("dist").alias("dist"),
+        F.min_by(F.struct(F.col("prev_x").alias("x"), F.col("prev_y").alias("y"), F.col("prev_t").alias("t")), "event_idx").alias("first"),
+        F.max_by(F.struct("x", "y", "t", "node"), "event_idx").alias("last"), F.first("hover").alias("hover"),
+        F.collect_list(F.when(moves, F.struct("event_idx", at.alias("at")))).alias("points"),
+    )
+    path = F.concat(F.array("first"), F.transform(F.array_sort("points"), lambda p: p["at"]))
+    pause, click = F.col("type") == "pause", F.col("type") == "click"
+    spanned = pause | moves
+    values = {
+        "start": F.when(hover, F.col("hover.start")).when(spanned, F.col("first.t")),
+        "end": F.when(hover, F.col("hover.end")).when(spanned, F.col("last.t")),
+        "duration": F.when(hover, F.col("hover.end") - F.col("hover.start")).when(spanned, F.col("dt")),
+        "distance": F.when(spanned, F.col("dist")),
+        "x": F.when(hover, F.col("hover.x")).when(pause, F.col("first.x")).otherwise(F.col("last.x")),
+        "y": F.when(hover, F.col("hover.y")).when(pause, F.col("first.y")).otherwise(F.col("last.y")),
+        "timestamp": F.when(click | moves, F.col("last.t")),
+        "node": F.when(click, F.col("last.node")),
+        "path": F.when(moves, path),
+    }
+    made_at = F.col("event_idx") + F.when(hover & F.col("hover.flushed"), 1).otherwise(0)
+    return grouped.select(*keys, made_at.cast("int").alias("made_at"), "type", (hover & F.col("hover.flushed")).alias("flushed"), *(v.cast(TYPES[c]).alias(c) for c, v in values.items()))
+
+
 def pauses(deltas: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     """Runs of pausing events, each one action from before its first event."""
-    marked = deltas.withColumn("pausing", is_pause(th)).withColumn("run", F.sum(F.when(F.col("pausing"), 0).otherwise(1)).over(sequence("event_idx")))
-    return marked.where("pausing").groupBy("session_key", "run").agg(
+    keys = recorded_by(deltas)
+    marked = deltas.withColumn("pausing", is_pause(th)).withColumn("run", F.sum(F.when(F.col("pausing"), 0).otherwise(1)).over(recorded(deltas, "event_idx")))
+    return marked.where("pausing").groupBy(*keys, "run").agg(
         F.min("event_idx").alias("made_at"), F.min("prev_t").alias("start"), F.max("t").alias("end"), F.sum("dt").alias("duration"), F.sum("dist").alias("distance"), F.min_by("prev_x", "event_idx").alias("x"), F.min_by("prev_y", "event_idx").alias("y")
     ).drop("run")
 
 
-def clicks(deltas: DataFrame) -> DataFrame:
+def clicks(deltas: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     """Clicks but for a sequence's first event."""
-    return deltas.where("is_click and event_idx > 1").select("session_key", F.col("event_idx").alias("made_at"), F.col("t").alias("timestamp"), "x", "y", "node")
-
-
-class _Scan:
-    """Hover state of the sequence being read."""
-
-    def __init__(self, th: Thresholds):
-        self.th, self.key, self.open, self.last = th, None, None, None
-
-    def step(self, t: float, x: float, y: float, pause: bool, click: bool) -> tuple | None:
-        """Take one event; the hover it ends, as (start, x, y, end), if any."""
-        before, self.last = self.last, (t, x, y)
-        held, ended = self.open, None
-        if before is None or pause:
-            self.open = None
-            return None
-        if click:
-            self.open = None
-            ended = t
-        elif held is None:
-            if np.hypot(x - before[1], y - before[2]) < self.th.hover_radius:
-                self.open = before
-        elif np.hypot(x - held[1], y - held[2]) > self.th.hover_radius:
-            self.open = None
-            ended = before[0]
-        return (*held, ended) if held and ended is not None and ended - held[0] >= self.th.hover_ms else None
-
-    def flush(self) -> tuple | None:
-        held = self.open
-        return (*held, self.last[0]) if held and self.last[0] - held[0] >= self.th.hover_ms else None
+    return deltas.where("is_click and event_idx > 1").select(*recorded_by(deltas), F.col("event_idx").alias("made_at"), F.col("t").alias("timestamp"), "x", "y", "node")
 
 
 def hovers(deltas: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     """Dwells around an anchor, with the event that ends each (``made_at``; the
-    end of the sequence counts as one more event, ``flushed``).
-
-    The scan keeps one anchor between Arrow batches, so memory stays the same
-    whatever a sequence's length.
-    """
-    schema = pa.schema([("session_key", pa.string()), ("made_at", pa.int32()), ("flushed", pa.bool_()), ("start", pa.float64()), ("x", pa.float64()), ("y", pa.float64()), ("end", pa.float64())])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, place = _Scan(th), 0
-        rows: list[tuple] = []
+    end of the sequence counts as one more event, ``flushed``)."""
+    ended = scan_events(deltas, th).where("hover is not null").select(*recorded_by(deltas), (F.col("event_idx") + F.col("hover.flushed").cast("int")).alias("made_at"), "hover.*")
+    return ended.withColumn("duration", F.col("end") - F.col("start"))
 
-        def close() -> None:
-            if state.key is not None and (h := state.flush()):
-                rows.append((state.key, place + 1, True, *h[:1], *h[1:]))
 
-        for batch in batches:
-            keys, idx, *events = (c.to_pylist() for c in batch.columns)
-            for key, i, t, x, y, pause, click in zip(keys, idx, *events):
-                if key != state.key:
-                    close()
-                    state = _Scan(th)
-                    state.key = key
-                place = i
-                if h := state.step(t, x, y, pause, click):
-                    rows.append((key, i, False, *h))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                rows = []
-        close()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-    narrow = deltas.select("session_key", "event_idx", "t", "x", "y", is_pause(th).alias("pause"), "is_click")
-    ordered = narrow.repartition("session_key").sortWithinPartitions("session_key", "event_idx")
-    found = ordered.mapInArrow(scan, "session_key string, made_at int, flushed boolean, start double, x double, y double, end double")
-    return found.withColumn("duration", F.col("end") - F.col("start"))
-
-
-def movements(deltas: DataFrame, found: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
+def movements(deltas: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
     """Moving events in segments that a pause, a click or a hover breaks."""
-    ends = found.where("not flushed").select("session_key", F.col("made_at").alias("event_idx"), F.lit(1).alias("hover"))
-    marked = deltas.join(ends, ["session_key", "event_idx"], "left").withColumn("breaks", F.when(is_pause(th) | F.col("is_click") | F.col("hover").isNotNull(), 1).otherwise(0))
-    marked = marked.withColumn("segment", F.sum("breaks").over(sequence("event_idx")))
-    moving = marked.where(~is_pause(th) & ~F.col("is_click") & (F.col("dist") > 0))
-    points = F.array_sort(F.collect_list(F.struct("event_idx", "x", "y", "t")))
-    out = moving.groupBy("session_key", "segment").agg(
-        F.min("event_idx").alias("made_at"), F.min_by("prev_t", "event_idx").alias("start"), F.max_by("t", "event_idx").alias("end"), F.sum("dt").alias("duration"), F.sum("dist").alias("distance"),
-        F.max_by("x", "event_idx").alias("x"), F.max_by("y", "event_idx").alias("y"), F.min_by(F.struct(F.col("prev_x").alias("x"), F.col("prev_y").alias("y"), F.col("prev_t").alias("t")), "event_idx").alias("first"), points.alias("points"),
-    )
-    path = F.concat(F.array("first"), F.transform("points", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["t"].alias("t"))))
-    return out.select("session_key", "made_at", "start", "end", "duration", "distance", "x", "y", F.col("end").alias("timestamp"), path.alias("path"))
+    made = _assembled(scan_events(deltas, th)).where("type = 'mouse_movement'")
+    return made.select(*recorded_by(deltas), "made_at", "start", "end", "duration", "distance", "x", "y", "timestamp", "path")
 
 
 def group_actions(events: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
-    """All actions of all sequences in the order in which they arise."""
-    deltas = with_deltas(valid_events(events))
-    found = hovers(deltas, th)
-    kinds = {"pause": pauses(deltas, th), "click": clicks(deltas), "hover": found.drop("flushed"), "mouse_movement": movements(deltas, found, th)}
-    whole = None
-    for kind, rows in kinds.items():
-        full = rows.select("session_key", "made_at", F.lit(kind).alias("type"), *((F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in TYPES.items()))
-        whole = full if whole is None else whole.unionByName(full)
+    """All actions of all sequences in the order in which they arise.
+
+    Events are shuffled by sequence to be scanned and, as Spark does not know
+    that the scan keeps that order, once more to be aggregated.  Sequences of
+    session objects that share a key are numbered one after the other.
+    """
+    scanned = scan_events(with_deltas(valid_events(events)), th)
+    actions = _assembled(scanned.repartition("session_key"))
     first = F.when(F.col("type") == "hover", 0).otherwise(1)
-    idx = F.row_number().over(sequence("made_at", "rank")) - 1
-    return whole.withColumn("rank", first).withColumn("action_idx", idx).select("session_key", "action_idx", "type", *TYPES)
+    order = [*recorded_by(scanned)[1:], "made_at", "rank"]
+    return actions.withColumn("rank", first).withColumn("action_idx", F.row_number().over(sequence(*order)) - 1).select("session_key", "action_idx", "type", *TYPES)
 
 
 def collapse_duplicate_hovers(actions: DataFrame) -> DataFrame:

@@ -70,7 +70,11 @@ def behavior_profiles(features: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def join_profiles(profiles: DataFrame, scores: DataFrame) -> DataFrame:
-    return profiles.join(scores, "participant_id")
+    """Profiles with the scores of their participants; an error if none match."""
+    joined = profiles.join(scores, "participant_id")
+    if joined.isEmpty():
+        raise ValueError("no participant has both a profile and scores")
+    return joined
 
 
 def with_truncation(m: DataFrame, maxlen: int) -> DataFrame:

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import quantiles
 from .events import sequence
 
 POINTS = (50, 75, 90, 95, 99)
 
 
-def percentiles(c: str) -> list:
-    q = F.percentile(c, F.array(*(F.lit(p / 100) for p in POINTS)))
+def percentiles(c: str, accuracy: int | None = None) -> list:
+    q = quantiles(c, [p / 100 for p in POINTS], accuracy)
     return [q[i].alias(f"p{p}") for i, p in enumerate(POINTS)]
 
 
-def gap_percentiles(deltas: DataFrame) -> DataFrame:
-    return deltas.where("dt is not null").agg(F.count("*").alias("n"), *percentiles("dt"))
+def gap_percentiles(deltas: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Percentiles of all gaps; for very many, with ``accuracy`` of ``quantiles``."""
+    return deltas.where("dt is not null").agg(F.count("*").alias("n"), *percentiles("dt", accuracy))
 
 
 def run_hovers(deltas: DataFrame, radius: float = 10.0, least_ms: float = 1000.0) -> DataFrame:
@@ -34,12 +36,12 @@ def run_hovers(deltas: DataFrame, radius: float = 10.0, least_ms: float = 1000.0
     return runs.select("session_key", "start", "end", (F.col("end") - F.col("start")).alias("dwell"), (F.col("end") - F.col("start") >= least_ms).alias("valid"), ((F.col("at") == F.col("last_idx")) & ~F.col("clicked")).alias("final"))
 
 
-def hover_percentiles(runs: DataFrame, legacy_double_count: bool = False) -> DataFrame:
+def hover_percentiles(runs: DataFrame, legacy_double_count: bool = False, accuracy: int | None = None) -> DataFrame:
     """Percentiles of all candidates; the older count takes a valid dwell that
     the sequence's end closes twice."""
     if legacy_double_count:
         runs = runs.unionByName(runs.where("valid and final"))
-    return runs.agg(F.count("*").alias("n"), *percentiles("dwell"))
+    return runs.agg(F.count("*").alias("n"), *percentiles("dwell", accuracy))
 
 
 def valid_hover_ratio(runs: DataFrame, legacy_double_count: bool = False) -> DataFrame:

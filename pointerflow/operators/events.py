@@ -19,6 +19,8 @@ def explode_events(sessions: DataFrame, modules: list[str] | None = None) -> Dat
 
     Missing modules and lists are empty; missing participants and sessions are
     ``unknown``.  Order within a sequence: time, moves first, place in the list.
+    ``session_idx``, if there, stays: sessions that share ids, or have none, are
+    sequences of their own until their actions are numbered.
     """
     modules = modules or modules_of(sessions)
     point = lambda e, click, node: F.struct(F.lit(click).alias("is_click"), e["timestamp"].cast("double").alias("t"), e["x"].cast("double").alias("x"), e["y"].cast("double").alias("y"), node.alias("node"))
@@ -28,9 +30,12 @@ def explode_events(sessions: DataFrame, modules: list[str] | None = None) -> Dat
         clicks = F.transform(F.col(f"{m}.clicks.clickDetails"), lambda e: point(e, True, e["node"]))
         both = F.concat(*(F.coalesce(a, F.array().cast("array<struct<is_click:boolean,t:double,x:double,y:double,node:string>>")) for a in (moves, clicks)))
         lists.append(F.struct(F.lit(m).alias("module"), both.alias("events")))
-    base = sessions.select(F.coalesce("processNumber", F.lit("unknown")).alias("participant"), F.coalesce("sessionId", F.lit("unknown")).alias("sess"), F.explode(F.array(*lists)).alias("m"))
-    rows = base.select("participant", "sess", "m.module", F.posexplode("m.events").alias("ord", "e"))
-    return rows.select("participant", "sess", "module", F.concat_ws("|", "participant", "sess", "module").alias("session_key"), "e.t", "e.x", "e.y", "e.is_click", "e.node", F.col("ord").cast("long").alias("ord"))
+    place = [F.col(c).cast("long").alias(c) for c in sessions.columns if c == "session_idx"]
+    kept = [c for c in sessions.columns if c == "session_idx"]
+    base = sessions.select(F.coalesce("processNumber", F.lit("unknown")).alias("participant"), F.coalesce("sessionId", F.lit("unknown")).alias("sess"), *place, F.explode(F.array(*lists)).alias("m"))
+    rows = base.select("participant", "sess", *kept, "m.module", F.posexplode("m.events").alias("ord", "e"))
+    key = F.concat_ws("|", "participant", "sess", "module").alias("session_key")
+    return rows.select("participant", "sess", *kept, "module", key, "e.t", "e.x", "e.y", "e.is_click", "e.node", F.col("ord").cast("long").alias("ord"))
 
 
 def valid_events(events: DataFrame) -> DataFrame:
@@ -46,9 +51,19 @@ def sequence(*order: str):
     return Window.partitionBy("session_key").orderBy(*(order or ORDER))
 
 
+def recorded_by(df: DataFrame) -> list[str]:
+    """What tells recorded sequences apart: the key, and the session object's
+    place in the file where it is known."""
+    return ["session_key", *(c for c in df.columns if c == "session_idx")]
+
+
+def recorded(df: DataFrame, *order: str):
+    return Window.partitionBy(*recorded_by(df)).orderBy(*(order or ORDER))
+
+
 def with_deltas(events: DataFrame) -> DataFrame:
     """dt and dist to the previous event of the sequence, with its place."""
-    w = sequence()
+    w = recorded(events)
     rows = events.select("*", F.row_number().over(w).alias("event_idx"), *(F.lag(c).over(w).alias(f"prev_{c}") for c in ("t", "x", "y")))
     return rows.withColumn("dt", F.col("t") - F.col("prev_t")).withColumn("dist", euclidean("prev_x", "prev_y", "x", "y"))
 

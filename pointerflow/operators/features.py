@@ -44,46 +44,64 @@ def _mean(a: Column) -> Column:
     return F.when(F.size(a) > 0, _total(a) / F.size(a)).otherwise(0.0)
 
 
-def movement_features(actions: DataFrame, stats: DataFrame) -> DataFrame:
-    """Twelve values of each movement's normalized path; movements with fewer
-    than two whole points go."""
-    rows = actions.where("type = 'mouse_movement'").join(stats, "session_key")
+def _placed(actions: DataFrame, stats: DataFrame) -> DataFrame:
+    return actions.join(stats, "session_key")
+
+
+def _action_features(placed: DataFrame) -> DataFrame:
+    """Features of actions of all kinds, in one projection; movements with fewer
+    than two whole points go.  Times are compared before Python counts crossings,
+    while Spark still knows how the rows are partitioned."""
+    moves, clicks = F.col("type") == "mouse_movement", F.col("type") == "click"
     whole = F.filter("path", lambda p: p["x"].isNotNull() & p["y"].isNotNull() & p["t"].isNotNull())
-    rows = rows.withColumn("raw", whole).where("size(raw) >= 2")
+    rows = placed.withColumn("raw", F.when(moves, whole)).where(~moves | (F.size("raw") >= 2))
+    rows = with_time_since_last(rows.withColumn("time", F.when(clicks, F.col("timestamp")).when(moves, F.coalesce("timestamp", F.try_element_at("raw", F.lit(-1))["t"])).otherwise(F.col("end"))))
     rows = rows.withColumn("points", F.transform("raw", lambda p: F.struct(normalize(p["x"], "x_center", "x_scale").alias("x"), normalize(p["y"], "y_center", "y_scale").alias("y"), p["t"].alias("t"))))
     for name, c in path_steps("points").items():
         rows = rows.withColumn(f"s_{name}", c)
-    first, last, raw_last = F.element_at("points", 1), F.element_at("points", -1), F.element_at("raw", -1)
+    first, last, raw_last = (F.try_element_at(c, F.lit(i)) for c, i in ((F.col("points"), 1), (F.col("points"), -1), (F.col("raw"), -1)))
     total, offset = _total(F.col("s_dist")), euclidean(first["x"], first["y"], last["x"], last["y"])
     mean = _mean(F.col("s_dist"))
     jitter = F.sqrt(_mean(F.transform("s_dist", lambda d: (d - mean) * (d - mean))))
     lasts = last["t"] - first["t"]
-    rows = rows.withColumns({"distance_travelled": total, "action_duration": F.when(lasts > 0, lasts).otherwise(1.0), "acceleration_mean": _mean(F.col("s_speed_change")), "movement_offset": offset, "jitter": F.when(F.size("s_dist") > 1, jitter).otherwise(0.0)})
+    dwell = F.coalesce("end", F.lit(0.0)) - F.coalesce("start", F.lit(0.0))
+    rows = rows.withColumns({"distance_travelled": F.when(moves, total), "acceleration_mean": F.when(moves, _mean(F.col("s_speed_change"))), "movement_offset": F.when(moves, offset), "jitter": F.when(F.size("s_dist") > 1, jitter).when(moves, 0.0)})
+    rows = rows.withColumn("action_duration", F.when(moves, F.when(lasts > 0, lasts).otherwise(1.0)).when(~clicks, dwell))
     zero = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    moved = {
+        "cursor_speed": F.col("distance_travelled") / F.col("action_duration"),
+        "reciprocal_acceleration": F.when(F.abs("acceleration_mean") > EPS, 1 / F.col("acceleration_mean")).otherwise(0.0),
+        "direction_changes": F.size(F.filter("s_angle", lambda a: a > math.pi / 4)),
+        "curvature_mean": _mean(F.col("s_angle")),
+        "rate_of_curvature": zero(_total(F.col("s_angle")), F.col("distance_travelled")),
+        "straightness": zero(F.col("movement_offset"), F.col("distance_travelled")),
+        "self_intersections": self_intersections(F.coalesce("points", F.array().cast("array<struct<x:double,y:double,t:double>>"))),
+    }
+    placed_at = {c: F.when(moves, last[c]).otherwise(normalize(c, f"{c}_center", f"{c}_scale")) for c in "xy"}
+    raw_at = {f"{c}_raw": F.when(moves, raw_last[c]).otherwise(F.col(c)) for c in "xy"}
     return rows.select(
-        "session_key", "action_idx", F.lit("mouse_movement").alias("action_type"), F.lit(None).cast("string").alias("dom_element_type"), F.col("end").alias("time"), "action_duration",
-        (F.col("distance_travelled") / F.col("action_duration")).alias("cursor_speed"), "acceleration_mean", F.when(F.abs("acceleration_mean") > EPS, 1 / F.col("acceleration_mean")).otherwise(0.0).alias("reciprocal_acceleration"), "jitter",
-        F.size(F.filter("s_angle", lambda a: a > math.pi / 4)).alias("direction_changes"), _mean(F.col("s_angle")).alias("curvature_mean"), zero(_total(F.col("s_angle")), F.col("distance_travelled")).alias("rate_of_curvature"),
-        "distance_travelled", "movement_offset", zero(F.col("movement_offset"), F.col("distance_travelled")).alias("straightness"), self_intersections("points").alias("self_intersections"),
-        last["x"].alias("x"), last["y"].alias("y"), raw_last["x"].alias("x_raw"), raw_last["y"].alias("y_raw"),
+        "session_key", "action_idx", F.col("type").alias("action_type"), F.when(clicks, dom_tag("node")).alias("dom_element_type"), "time", "time_since_last_action",
+        "action_duration", "acceleration_mean", "jitter", "distance_travelled", "movement_offset", *(F.when(moves, c).alias(k) for k, c in moved.items()), *(c.alias(k) for k, c in (placed_at | raw_at).items()),
     )
 
 
-def _placed(stats: DataFrame, rows: DataFrame) -> DataFrame:
-    rows = rows.withColumnRenamed("x", "x_raw").withColumnRenamed("y", "y_raw").join(stats, "session_key")
-    return rows.withColumns({"x": normalize("x_raw", "x_center", "x_scale"), "y": normalize("y_raw", "y_center", "y_scale")})
+_NAMED = ("session_key", "action_idx", "action_type", "dom_element_type", "time")
+_PLACES = ("x", "y", "x_raw", "y_raw")
+
+
+def movement_features(actions: DataFrame, stats: DataFrame) -> DataFrame:
+    """Twelve values of each movement's normalized path; movements with fewer
+    than two whole points go."""
+    return _action_features(_placed(actions.where("type = 'mouse_movement'"), stats)).select(*_NAMED, "action_duration", *KINEMATIC, *_PLACES)
 
 
 def click_features(actions: DataFrame, stats: DataFrame) -> DataFrame:
-    rows = _placed(stats, actions.where("type = 'click'"))
-    return rows.select("session_key", "action_idx", F.lit("click").alias("action_type"), dom_tag("node").alias("dom_element_type"), F.col("timestamp").alias("time"), "x", "y", "x_raw", "y_raw")
+    return _action_features(_placed(actions.where("type = 'click'"), stats)).select(*_NAMED, *_PLACES)
 
 
 def dwell_features(actions: DataFrame, stats: DataFrame) -> DataFrame:
     """Hovers, pauses and anything else: how long and where."""
-    rows = _placed(stats, actions.where("type not in ('click', 'mouse_movement')"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return rows.select("session_key", "action_idx", F.col("type").alias("action_type"), F.lit(None).cast("string").alias("dom_element_type"), F.col("end").alias("time"), (zero("end") - zero("start")).alias("action_duration"), "x", "y", "x_raw", "y_raw")
+    return _action_features(_placed(actions.where("type not in ('click', 'mouse_movement')"), stats)).select(*_NAMED, "action_duration", *_PLACES)
 
 
 def with_time_since_last(features: DataFrame) -> DataFrame:
@@ -93,12 +111,12 @@ def with_time_since_last(features: DataFrame) -> DataFrame:
 
 
 def extract_features(actions: DataFrame) -> DataFrame:
-    """One row of features an action, in the order of the actions."""
-    stats = session_xy_stats(actions)
-    parts = [movement_features(actions, stats), click_features(actions, stats), dwell_features(actions, stats)]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p, allowMissingColumns=True)
-    out = with_time_since_last(whole)
+    """One row of features an action, in the order of the actions.
+
+    Actions and the points of their sequences are shuffled by sequence once
+    each; statistics, join and order follow from that partitioning.
+    """
+    placed = _placed(actions.repartition("session_key"), session_xy_stats(actions))
+    out = _action_features(placed)
     module = F.get(F.split("session_key", r"\|"), F.lit(2)).alias("module_id")
     return out.select("session_key", "action_idx", module, "action_type", "dom_element_type", *FEATURES, "time_since_last_action")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import quantiles
+
 BINS = ("Q1 (shortest)", "Q2", "Q3", "Q4", "Q5 (longest)")
 
 
@@ -43,10 +45,11 @@ def session_metrics(long: DataFrame, baseline: DataFrame) -> DataFrame:
     return out.withColumn("improvement_pct", improvement_pct())
 
 
-def feature_metrics(long: DataFrame) -> DataFrame:
-    """Errors of each feature over valid steps, also relative to its spread."""
+def feature_metrics(long: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """Errors of each feature over valid steps, also relative to its spread; for
+    very many steps, with ``accuracy`` of ``quantiles``."""
     d = F.col("y_true") - F.col("y_pred")
-    q = F.percentile("y_true", F.array(F.lit(0.25), F.lit(0.75)))
+    q = quantiles("y_true", (0.25, 0.75), accuracy)
     per = long.where("valid").groupBy("feature").agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"), F.avg("y_true").alias("mean"), F.stddev_pop("y_true").alias("std"), (F.max("y_true") - F.min("y_true")).alias("value_range"), (q[1] - q[0]).alias("iqr"))
     per = per.withColumn("rmse", F.sqrt("mse"))
     per = per.withColumns({f"nrmse_{s}": F.when(F.col(c) > 0, F.col("rmse") / F.col(c)) for s, c in (("std", "std"), ("range", "value_range"), ("iqr", "iqr"))})

@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clip, log1p_clip, null_nonfinite
+from ..functions.scalar import clip, log1p_clip, null_nonfinite, quantiles
 from .features import KINEMATIC
 
 LOGGED = ("cursor_speed", "jitter", "direction_changes", "rate_of_curvature", "distance_travelled", "movement_offset", "action_duration", "time_since_last_action")
@@ -23,10 +23,11 @@ ACTION_IDS = {"mouse_movement": 0, "hover": 1, "pause": 2, "click": 3}
 OTHER = "Other"
 
 
-def data_quality(df: DataFrame, numeric: list[str]) -> DataFrame:
-    """feature, nulls, n, mean, sample std, min, quartiles, max of each column."""
+def data_quality(df: DataFrame, numeric: list[str], accuracy: int | None = None) -> DataFrame:
+    """feature, nulls, n, mean, sample std, min, quartiles, max of each column;
+    for very many rows, with ``accuracy`` of ``quantiles``."""
     def stats(c: str) -> Column:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = quantiles(c, (0.25, 0.5, 0.75), accuracy)
         v = F.col(c).cast("double")
         return F.struct(F.lit(c).alias("feature"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count(c).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(v).alias("max"))
 
@@ -56,6 +57,12 @@ def transform_features(df: DataFrame) -> DataFrame:
     return df.withColumns({c: log1p_clip(F.col(c).cast("double")) for c in LOGGED}).drop("reciprocal_acceleration")
 
 
+def negative_values(df: DataFrame) -> DataFrame:
+    """feature and how many of its values the logarithm takes for zero."""
+    counts = F.array(*(F.struct(F.lit(c).alias("feature"), F.count_if(F.col(c) < 0).alias("negatives")) for c in LOGGED))
+    return df.agg(counts.alias("all")).select(F.explode("all").alias("r")).select("r.*")
+
+
 def fit_categories(df: DataFrame, column: str = "dom_element_type", min_count: int = 20) -> DataFrame:
     """category and id in sorted order; rare ones are ``Other``, which comes
     last if nothing is rare."""
@@ -83,65 +90,78 @@ def _or_one(c: Column) -> Column:
     return F.when(c == 0, 1.0).otherwise(c)
 
 
-def _where(flag: str, columns: tuple[str, ...], c: str, least: int = 5) -> tuple[Column, Column]:
-    """The column on rows of a block, and on all rows if the block has too few."""
-    block = F.col(flag) == 1
+def _block(flag: str, columns: tuple[str, ...], c: str, least: int) -> tuple[Column, Column, Column]:
+    """The column on the rows of a block that are whole in ``columns``, on all
+    such rows, and whether the former are to be used: with ``least``, if there
+    are so many; with 0, if any row belongs to the block."""
+    whole = F.lit(True)
     for b in columns:
-        block = block & F.col(b).isNotNull()
-    return F.when(block, F.col(c).cast("double")), F.count_if(block) >= least
+        whole = whole & F.col(b).isNotNull()
+    inside = F.coalesce(F.col(flag) == 1, F.lit(False))
+    value = F.col(c).cast("double")
+    return F.when(inside & whole, value), F.when(whole, value), F.count_if(inside & whole) >= least if least else F.count_if(inside) > 0
 
 
-def fit_clip(c: str = "acceleration_mean") -> Column:
-    q = F.percentile(c, F.array(F.lit(0.01), F.lit(0.99)))
+def fit_clip(c: str = "acceleration_mean", accuracy: int | None = None) -> Column:
+    q = quantiles(c, (0.01, 0.99), accuracy)
     return _one(c, "clip", low=q[0], high=q[1])
 
 
-def fit_standard(columns: tuple[str, ...], flag: str) -> list[Column]:
+def fit_standard(columns: tuple[str, ...], flag: str, least: int = 5) -> list[Column]:
+    """Mean and population std; fitted on all rows if the block has fewer than
+    ``least`` (0: none).  Without any row there is nothing to fit: nulls."""
     out = []
     for c in columns:
-        v, enough = _where(flag, columns, c)
-        every = F.col(c).cast("double")
+        v, every, enough = _block(flag, columns, c, least)
         mean, std = F.when(enough, F.avg(v)).otherwise(F.avg(every)), F.when(enough, F.stddev_pop(v)).otherwise(F.stddev_pop(every))
         out.append(_one(c, "standard", center=mean, scale=_or_one(std)))
     return out
 
 
-def fit_robust(c: str) -> Column:
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+def fit_robust(c: str, accuracy: int | None = None) -> Column:
+    q = quantiles(c, (0.25, 0.5, 0.75), accuracy)
     return _one(c, "robust", center=q[1], scale=_or_one(q[2] - q[0]))
 
 
 def fit_minmax(columns: tuple[str, ...], flag: str | None = None) -> list[Column]:
     out = []
     for c in columns:
-        every = F.col(c).cast("double")
-        v, enough = _where(flag, columns, c) if flag else (every, F.lit(True))
+        value = F.col(c).cast("double")
+        v, every, enough = _block(flag, columns, c, 5) if flag else (value, value, F.lit(True))
         low = F.when(enough, F.min(v)).otherwise(F.min(every))
         out.append(_one(c, "minmax", center=low, scale=_or_one(F.when(enough, F.max(v)).otherwise(F.max(every)) - low)))
     return out
 
 
-def fit_scaling(df: DataFrame) -> DataFrame:
-    """All parameters: the clipping bounds, then the rest on clipped train rows."""
-    bounds = df.agg(fit_clip().alias("clip"))
+def fit_scaling(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+    """All parameters: the clipping bounds, then the rest on clipped train rows;
+    for very many rows, with ``accuracy`` of ``quantiles``."""
+    bounds = df.agg(fit_clip(accuracy=accuracy).alias("clip"))
     clipped = df.crossJoin(F.broadcast(bounds)).withColumn("acceleration_mean", clip("acceleration_mean", "clip.low", "clip.high"))  # one row
-    parts = [*fit_standard(STANDARD, "has_kinematics"), *fit_standard(DURATIONS, "has_duration"), fit_robust("self_intersections"), *fit_minmax(MINMAX, "has_kinematics"), *fit_minmax(("x",)), fit_robust("y")]
-    medians = [_one(c, "median", center=F.percentile(c, F.lit(0.5))) for c in "xy"]
+    parts = [*fit_standard(STANDARD, "has_kinematics"), *fit_standard(DURATIONS, "has_duration", least=0), fit_robust("self_intersections", accuracy), *fit_minmax(MINMAX, "has_kinematics"), *fit_minmax(("x",)), fit_robust("y", accuracy)]
+    medians = [_one(c, "median", center=quantiles(c, (0.5,), accuracy)[0]) for c in "xy"]
     return clipped.agg(F.array(F.first("clip"), *parts, *medians).alias("all")).select(F.explode("all").alias("r")).select("r.*")
 
 
-def apply_scaling(df: DataFrame, params: DataFrame, drop_xy: bool = True) -> DataFrame:
-    """Clip and scale by the fitted parameters, which become literals."""
+def apply_scaling(df: DataFrame, params: DataFrame, drop_xy: bool = True, own_median: bool = False) -> DataFrame:
+    """Clip and scale by the fitted parameters, which become literals; columns
+    with nothing fitted stay.  Places that are missing take the train rows'
+    median or, with ``own_median``, that of ``df``."""
     fitted: dict[str, dict] = {}
     for r in params.collect():  # some twenty rows, one a feature
         fitted.setdefault(r.method, {})[r.feature] = r
+    fills = {c: r.center for c, r in fitted["median"].items()}
+    if own_median and not drop_xy:
+        fills = df.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in fills)).first().asDict()
     out = {}
     for method in ("standard", "robust", "minmax"):
         for c, r in fitted.get(method, {}).items():
+            if r.center is None:
+                continue
             v = null_nonfinite(F.col(c).cast("double"))
             if c in fitted["clip"]:
                 v = clip(v, F.lit(fitted["clip"][c].low), F.lit(fitted["clip"][c].high))
-            fill = fitted["median"][c].center if c in fitted["median"] else 0.0
+            fill = fills.get(c, 0.0)
             out[c] = (F.coalesce(v, F.lit(fill if fill is not None else 0.0)) - F.lit(r.center)) / F.lit(r.scale)
     df = df.withColumns(out)
     return df.drop("x", "y") if drop_xy else df
@@ -164,6 +184,12 @@ def correlation_filter(df: DataFrame, columns: list[str], threshold: float = 0.9
     return rows.select(F.explode("all").alias("p")).select("p.*").withColumn("dropped", F.coalesce(F.col("r") > threshold, F.lit(False)))
 
 
+def uncorrelated(pairs: DataFrame, columns: list[str]) -> list[str]:
+    """The columns that ``correlation_filter`` leaves, in their order."""
+    dropped = {r.column_b for r in pairs.where("dropped").select("column_b").distinct().collect()}  # names of columns
+    return [c for c in columns if c not in dropped]
+
+
 def standardize_embeddings(train: DataFrame, df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Each dimension by the train rows' mean and population std (0: 1)."""
     long = lambda d: d.select(key, F.posexplode(vector).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,12 +17,28 @@ def participant_labels(df: DataFrame, label: str) -> DataFrame:
     return counts.groupBy("participant_id").agg(best.alias("b")).select("participant_id", F.col("b.label").alias("stratum"))
 
 
+def hash_share(seed: int, key: str = "participant_id") -> Column:
+    """A number from 0 up to 1 that a hash of seed and id gives."""
+    return F.conv(F.substring(hash_order(seed, key), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def split_by_hash(df: DataFrame, train_pct: float, seed: int, key: str = "participant_id") -> DataFrame:
+    """``key`` and split, for more ids than one task can order: each goes to the
+    train side with probability ``train_pct`` by its own hash, so sides are of
+    about, not exactly, their share.  The sides of an id never depend on others."""
+    if not 0 < train_pct < 1:
+        raise ValueError("train_pct must lie between 0 and 1")
+    people = df.select(key).where(F.col(key).isNotNull()).distinct()
+    return people.select(key, F.when(hash_share(seed, key) < train_pct, "train").otherwise("test").alias("split"))
+
+
 def split_participants(df: DataFrame, train_pct: float, seed: int, strata: DataFrame | None = None) -> DataFrame:
     """participant_id and split; the share of train participants is rounded down.
 
     With strata each gives its rounded-down share, and the participants still
     missing come from those with the largest fractions, then by name.
-    Participants are ordered by a hash of seed and id, so reruns agree.
+    Participants are ordered by a hash of seed and id, so reruns agree; that
+    order is one task a stratum, and beyond that ``split_by_hash`` is meant.
     """
     if not 0 < train_pct < 1:
         raise ValueError("train_pct must lie between 0 and 1")
@@ -55,6 +71,12 @@ def group_folds(df: DataFrame, k: int, seed: int) -> DataFrame:
     return people.select("participant_id", (F.ntile(k).over(Window.orderBy(hash_order(seed), "participant_id")) - 1).alias("fold"))
 
 
+def folds_by_hash(df: DataFrame, k: int, seed: int) -> DataFrame:
+    """participant_id and fold by its own hash, for more than one task can order."""
+    people = df.select("participant_id").where("participant_id is not null").distinct()
+    return people.select("participant_id", F.floor(hash_share(seed) * k).cast("int").alias("fold"))
+
+
 def fold_sides(folds: DataFrame, k: int) -> DataFrame:
     """participant_id, fold, side for each of k rounds: held out once, else train."""
     rounds = folds.withColumn("round", F.explode(F.array(*map(F.lit, range(k)))))
@@ -67,6 +89,12 @@ def split_sessions_random(df: DataFrame, pct: float, seed: int, session: str = "
     return split_participants(renamed, pct, seed).withColumnRenamed("participant_id", session)
 
 
+def shared_sessions(train: DataFrame, validation: DataFrame, session: str = "session_key") -> DataFrame:
+    """How many sessions stand on both sides."""
+    both = train.select(session).distinct().join(validation.select(session).distinct(), session, "left_semi")
+    return both.agg(F.count("*").alias("shared_sessions"))
+
+
 def check_disjoint(a: DataFrame, b: DataFrame) -> DataFrame:
     """Participants on both sides; none means the check is passed."""
     return a.select("participant_id").intersect(b.select("participant_id"))

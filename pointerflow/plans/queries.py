@@ -89,6 +89,11 @@ def sessions_of(s: SparkSession, d: str) -> DataFrame:
     return io.read_sessions(s, path, fx.MODULES, lines=True)
 
 
+def placed_sessions_of(s: SparkSession, d: str) -> DataFrame:
+    """Raw sessions with their places in the file."""
+    return io.with_positions(fx.raw_sessions(s, d), scratch(s, "sessions-ordered"))
+
+
 def features_of(s: SparkSession, d: str) -> DataFrame:
     return ev.with_participant_id(fe.extract_features(actions_of(s, d)))
 
@@ -104,9 +109,11 @@ def _(s, d):
     return ev.explode_events(sessions_of(s, d)).select("participant", "sess", "module", "t", "x", "y", "is_click", "node")
 
 
-@query("pf2_valid_events", sql(_EV, "module;#n=count(*)", "FROM ev WHERE t IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL GROUP BY module"))
+@query("pf2_valid_events", sql(_EV, "module;#n=count(*);#latest=max(ord)", "FROM ev WHERE ord % 7 <> 0 AND ord % 11 <> 0 AND ord % 13 <> 0 GROUP BY module"))
 def _(s, d):
-    return ev.valid_events(fx.events(s, d)).groupBy("module").agg(F.count("*").alias("n"))
+    """Events of which some lack a time or a place."""
+    lacking = {c: F.when(F.col("ord") % n != 0, F.col(c)) for c, n in (("t", 7), ("x", 11), ("y", 13))}
+    return ev.valid_events(fx.events(s, d).withColumns(lacking)).groupBy("module").agg(F.count("*").alias("n"), F.max("ord").alias("latest"))
 
 
 @query("pf3_select_sessions", sql(_EV, "#n=least(40, count(DISTINCT participant || '|' || sess))", "FROM ev"))
@@ -126,6 +133,12 @@ def _(s, d):
     return ev.with_participant_id(fx.events(s, d)).groupBy("participant_id").agg(F.count("*").alias("n"))
 
 
+@query("pf6_check_monotonic_reversed", sql(o.ACTIONS + ', mo AS (SELECT session_key, action_idx, coalesce("timestamp", "end") AS cur, lag(coalesce("timestamp", "end")) OVER (PARTITION BY session_key ORDER BY action_idx DESC) AS prev FROM ac)', "session_key;#action_idx=-action_idx;~current=cur;~previous=prev;~difference=cur - prev", "FROM mo WHERE cur < prev"))
+def _(s, d):
+    """The same sequences told backwards, in which times do fall."""
+    return ev.check_monotonic(actions_of(s, d).withColumn("action_idx", -F.col("action_idx")))
+
+
 @query("pf6_check_monotonic", sql(o.ACTIONS + ', mo AS (SELECT session_key, action_idx, coalesce("timestamp", "end") AS cur, lag(coalesce("timestamp", "end")) OVER (PARTITION BY session_key ORDER BY action_idx) AS prev FROM ac)', "session_key;#action_idx;~current=cur;~previous=prev;~difference=cur - prev", "FROM mo WHERE cur < prev"))
 def _(s, d):
     return ev.check_monotonic(actions_of(s, d))
@@ -138,10 +151,13 @@ def split_of(s, d):
     return sp.split_participants(ev.with_participant_id(fx.events(s, d)), 0.8, 7)
 
 
-@query("pf8_check_disjoint", sql(_SPLIT, "#overlap=count(*)", "FROM (SELECT participant_id FROM sl WHERE split = 'train' INTERSECT SELECT participant_id FROM sl WHERE split = 'test')"))
+@query("pf8_check_disjoint", sql(_SPLIT, "sides='split';#overlap=count(*)", "FROM (SELECT participant_id FROM sl WHERE split = 'train' INTERSECT SELECT participant_id FROM sl WHERE split = 'test') UNION ALL SELECT 'modules', count(*) FROM (SELECT participant FROM ev WHERE module = 'behavior_RESS' INTERSECT SELECT participant FROM ev WHERE module = 'behavior_EADS')"))
 def _(s, d):
-    t = split_of(s, d)
-    return sp.check_disjoint(t.where("split = 'train'"), t.where("split = 'test'")).agg(F.count("*").alias("overlap"))
+    """The sides of a split, which share nobody, and two modules, which do."""
+    t, e = split_of(s, d), ev.with_participant_id(fx.events(s, d))
+    pairs = {"split": [t.where(f"split = '{x}'") for x in ("train", "test")], "modules": [e.where(f"module = 'behavior_{x}'") for x in ("RESS", "EADS")]}
+    split, modules = (sp.check_disjoint(*two).agg(F.lit(name).alias("sides"), F.count("*").alias("overlap")) for name, two in pairs.items())
+    return split.unionByName(modules)
 
 
 @query("pf9_check_coverage", sql(_SPLIT, "problem='missing';participant_id", "FROM sl WHERE split = 'test'"))
@@ -198,8 +214,7 @@ def _(s, d):
 
 @query("ac5_movements", sql("WITH RECURSIVE " + o.DELTAS + o.HOVERS + o.MOVES, 'session_key;#made_at;~start="start";~end="end";~duration;~distance;~x;~y;#points=n_points', "FROM mv"))
 def _(s, d):
-    deltas = deltas_of(s, d)
-    return ac.movements(deltas, ac.hovers(deltas)).select("session_key", "made_at", "start", "end", "duration", "distance", "x", "y", F.size("path").alias("points"))
+    return ac.movements(deltas_of(s, d)).select("session_key", "made_at", "start", "end", "duration", "distance", "x", "y", F.size("path").alias("points"))
 
 
 @query("ac6_actions", sql(o.ACTIONS, 'session_key;#action_idx;type;~start="start";~end="end";~duration;~distance;~x;~y;~timestamp="timestamp";node;#points=n_points', "FROM ac"))
@@ -207,6 +222,16 @@ def _(s, d):
     return actions_of(s, d).withColumn("points", F.size("path")).withColumn("points", F.when(F.col("points") >= 0, F.col("points"))).drop("path")
 
 
+_SHARED = o.ACTIONS + """, sh AS (SELECT ac.*, split_part(session_key, '|', 2) AS sess, CASE WHEN CAST(substr(session_key, 2, 6) AS INTEGER) % 17 = 0 THEN 'unknown' ELSE split_part(session_key, '|', 1) END || '|' || split_part(session_key, '|', 2) || '|' || split_part(session_key, '|', 3) AS shared_key FROM ac)"""
+
+
+@query("ac6_actions_of_shared_keys", sql(_SHARED, 'session_key=shared_key;#action_idx=row_number() OVER (PARTITION BY shared_key ORDER BY session_key, action_idx) - 1;type;~start="start";~end="end";~duration;~distance;~x;~y;~timestamp="timestamp";node;#points=n_points', "FROM sh"))
+def _(s, d):
+    """Sessions without a participant share a key and stay sequences of their own."""
+    a = ac.group_actions(ev.explode_events(placed_sessions_of(s, d)))
+    return a.withColumn("points", F.size("path")).withColumn("points", F.when(F.col("points") >= 0, F.col("points"))).drop("path")
+
+
 _DUP = o.ACTIONS + """, dd AS (SELECT * FROM ac WHERE type <> 'x' UNION ALL SELECT session_key, made_at, rank, type, "start", "end" + 5, duration, distance, x, y, "timestamp", node, n_points, segment, action_idx FROM ac WHERE type = 'hover'),
  di AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY action_idx, "end") - 1 AS idx FROM dd)"""
 
@@ -218,9 +243,10 @@ def doubled(s, d):
     return both.withColumn("action_idx", F.row_number().over(ev.sequence("action_idx", "end")) - 1)
 
 
-@query("ac7_collapse_hovers", sql(_DUP, 'session_key;type;~start="start";~end="end"', """FROM (SELECT *, lead(type) OVER w AS nt, lead("start") OVER w AS ns FROM di WINDOW w AS (PARTITION BY session_key ORDER BY idx)) WHERE NOT (type = 'hover' AND coalesce(nt = 'hover' AND ns = "start", false))"""))
+@query("ac7_collapse_hovers", sql(_DUP, 'session_key;#action_idx=idx;type;~start="start";~end="end";~duration;~distance;~x;~y;~timestamp="timestamp";node;#points=n_points', """FROM (SELECT *, lead(type) OVER w AS nt, lead("start") OVER w AS ns FROM di WINDOW w AS (PARTITION BY session_key ORDER BY idx)) WHERE NOT (type = 'hover' AND coalesce(nt = 'hover' AND ns = "start", false))"""))
 def _(s, d):
-    return ac.collapse_duplicate_hovers(doubled(s, d)).select("session_key", "type", "start", "end")
+    n = F.size("path")
+    return ac.collapse_duplicate_hovers(doubled(s, d)).withColumn("points", F.when(n >= 0, n)).drop("path")
 
 
 @query("ac8_hover_repair", sql(o.ACTIONS, "#hovers_before=2 * count(*);#hovers_after=count(*);#removed=count(*)", "FROM ac WHERE type = 'hover'"))
@@ -244,9 +270,9 @@ def _(s, d):
     return ev.unique_participants(sessions_of(s, d))
 
 
-@query("ch3_participant_sessions", sql(_SES, "participant=who;#n=count(DISTINCT participant || '|' || sess)", "FROM se GROUP BY who"))
+@query("ch3_participant_sessions", sql(_SES + ", si AS (SELECT DISTINCT who, dense_rank() OVER (ORDER BY participant || '|' || sess) - 1 AS i FROM se)", "participant=who;sessions=array_to_string(list_sort(list(i)), ',')", "FROM si GROUP BY who"))
 def _(s, d):
-    return ev.participant_sessions(sessions_of(s, d)).select("participant", F.size("sessions").alias("n"))
+    return ev.participant_sessions(placed_sessions_of(s, d)).select("participant", F.array_join("sessions", ",").alias("sessions"))
 
 
 @query("ch4_modules_per_participant", sql(_SES, "participant=who;#modules=count(DISTINCT module)", "FROM se GROUP BY who"))
@@ -899,16 +925,16 @@ _IO_AC = 'session_key;#action_idx;type;~start="start";~end="end";~x;~y;~timestam
 def _(s, d):
     path = scratch(s, "sequences")
     io.write_action_sequences(actions_of(s, d), path)
-    got = io.read_action_sequences(s, path)
+    got = io.read_action_sequences(s, path, lines=True)
     n = F.size("path")
     return got.select("session_key", "action_idx", "type", "start", "end", "x", "y", "timestamp", "node", F.when(n >= 0, n).alias("points"))
 
 
-@query("io4_actions_flat", sql(o.ACTIONS, "type;#n=count(*);~total=sum(duration)", "FROM ac GROUP BY type"))
+@query("io4_actions_flat", sql(o.ACTIONS, "session_key;#action_idx;type;~start=\"start\";~end=\"end\";~duration;~distance;~x;~y;~timestamp=\"timestamp\";node", "FROM ac"))
 def _(s, d):
     path = scratch(s, "flat")
     io.write_actions_flat(actions_of(s, d), path)
-    return s.read.csv(path, header=True, schema="session_key string, action_idx int, type string, start double, end double, duration double, distance double, x double, y double, timestamp double, node string").groupBy("type").agg(F.count("*").alias("n"), F.sum("duration").alias("total"))
+    return s.read.csv(path, header=True, schema="session_key string, action_idx int, type string, start double, end double, duration double, distance double, x double, y double, timestamp double, node string")
 
 
 @query("io5_features_csv", sql(o.FEATURES, f"session_key;#action_idx;dom_element_type;~action_duration;{_KIN}", "FROM ft"))
@@ -939,8 +965,8 @@ def _(s, d):
     return s.read.schema("module string, sessions bigint").json(path)
 
 
-@query("io10_embeddings_csv", sql("", "#vec_id;~emb_0=embedding[1];~emb_63=embedding[64]", "FROM embeddings"))
+@query("io10_embeddings_csv", sql("", "#vec_id;" + ";".join(f"~emb_{j}=embedding[{j + 1}]" for j in range(64)), "FROM embeddings"))
 def _(s, d):
     path = scratch(s, "embeddings")
     io.write_embeddings(fx.table(s, d, "embeddings"), path, 64)
-    return s.read.schema("vec_id long, " + ", ".join(f"emb_{j} float" for j in range(64))).csv(path, header=True).select("vec_id", "emb_0", "emb_63")
+    return s.read.schema("vec_id long, " + ", ".join(f"emb_{j} float" for j in range(64))).csv(path, header=True)

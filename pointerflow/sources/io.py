@@ -52,9 +52,15 @@ def write_sessions(sessions: DataFrame, path: str) -> None:
     sessions.write.json(path)
 
 
-def read_action_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """An object of lists, or one such object a line, as rows of actions."""
-    raw = spark.read.text(path).select(F.explode(F.from_json("value", f"map<string,array<struct<{ACTION}>>>", {"allowNonNumericNumbers": "true"})).alias("session_key", "actions"))
+def read_action_sequences(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rows of actions from files that hold one object of lists each, however it
+    is laid out over lines.
+
+    Such a file is one task; ``lines`` reads one object a line instead, the form
+    that ``write_action_sequences`` writes.
+    """
+    text = spark.read.text(path, wholetext=not lines)
+    raw = text.select(F.explode(F.from_json("value", f"map<string,array<struct<{ACTION}>>>", {"allowNonNumericNumbers": "true"})).alias("session_key", "actions"))
     rows = raw.select("session_key", F.posexplode("actions").alias("action_idx", "a")).select("session_key", "action_idx", "a.*")
     number = lambda c: F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c)
     clean = [number(c) if t == "double" else F.col(c) for c, t in rows.dtypes]
