@@ -1,7 +1,7 @@
-"""Gaps and dwells over a stream of events.
+"""Counts and visits over a stream of events.
 
 An extra beyond the batch jobs: events arrive with an event time, late ones up
-to a watermark, and per-window summaries of gaps come out as windows close.
+to a watermark; counts of a window, and visits, come out as they close.
 """
 
 from __future__ import annotations

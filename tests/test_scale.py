@@ -10,6 +10,7 @@ from pointerflow.operators import actions as ac
 from pointerflow.operators import events as ev
 from pointerflow.operators import features as fe
 from pointerflow.operators import preprocess as pr
+from pointerflow.operators import sequences as sq
 from pointerflow.operators import split as sp
 from pointerflow.sources import fixtures as fx
 from pointerflow.sources import io
@@ -100,3 +101,14 @@ def test_counts_and_lists(spark):
     assert {r.negatives for r in pr.negative_values(logged).collect()} == {1}
     a, b = (spark.createDataFrame([(x,) for x in xs], "session_key string") for xs in ("aabc", "bcd"))
     assert sp.shared_sessions(a, b).first().shared_sessions == 2
+
+
+def test_columns_are_checked_by_name(spark):
+    df = spark.createDataFrame([("k", 1.0, 2, "a", 3)], "session_key string, jitter double, turns int, tag string, tag_code int")
+    sp.check_columns(df, ["jitter", "tag"])
+    with pytest.raises(ValueError, match="missing columns: speed"):
+        sp.check_columns(df, ["jitter", "speed"])
+    assert sq.continuous_columns(df, ["tag_code"]) == ["jitter", "turns"]
+    assert sq.continuous_columns(df, ["tag_code"], ["turns", "jitter"]) == ["turns", "jitter"]
+    with pytest.raises(ValueError, match="speed"):
+        sq.continuous_columns(df, ["tag_code"], ["speed"])
