@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, texts_of
-from .ordered import range_bounds, range_count, range_number
+from .ordered import Ranges
 
 #: The modulus 2**31 - 1 and two bases below it.
 MODULUS = np.uint64((1 << 31) - 1)
@@ -128,22 +128,20 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """Rows in range partitions of ``id_col``, each range followed by the first
     row of the next one (after the last: of the first), marked ``halo``.
 
-    The driver sees one id for each range.  Repeated ids are ordered by text.
+    The driver sees one id and text hash for each range.  Repeated ids, and rows
+    without one, are ordered by the hash of their text and divided among ranges
+    if they fill more than one.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = range_count(docs)
-    number = range_number("doc_id", range_bounds(docs, "doc_id", n))
-    firsts = docs.groupBy(number.alias("part")).agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first")).orderBy("part").collect()
-    parts, ids = [r.part for r in firsts], [r["first"].doc_id for r in firsts]
-    follows = [(i, parts[k - 1]) for k, i in enumerate(ids)]  # the first id of all follows the last range
-    links = docs.sparkSession.createDataFrame(follows, "doc_id long, part int")
-    wanted = F.col("doc_id").isin([i for i in ids if i is not None])
-    if None in ids:
-        wanted |= F.col("doc_id").isNull()
-    heads = docs.where(wanted).groupBy("doc_id").agg(F.min("text").alias("text"))
-    halo = heads.join(links, heads.doc_id.eqNullSafe(links.doc_id)).select(links.part, F.lit(True).alias("halo"), heads.doc_id, "text")
-    rows = docs.select(number.alias("part"), F.lit(False).alias("halo"), "doc_id", "text")
-    return rows.unionByName(halo).repartitionById(n, F.col("part")).sortWithinPartitions("part", "halo", "doc_id", "text")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    ranges = Ranges.of(docs, "doc_id")
+    docs = docs.withColumn("part", ranges.number("doc_id", "tie"))
+    firsts = docs.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")).alias("first")).orderBy("part").collect()
+    follows = [(r["first"].doc_id, r["first"].tie, firsts[k - 1].part) for k, r in enumerate(firsts)]  # the first of all follows the last range
+    links = F.broadcast(docs.sparkSession.createDataFrame(follows, "head_id long, head_tie long, part int"))  # a row a range
+    found = docs.drop("part").join(links, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie")))
+    halo = found.groupBy("part", "doc_id", "tie").agg(F.min("text").alias("text")).select("part", F.lit(True).alias("halo"), "doc_id", "text", "tie")
+    rows = docs.select("part", F.lit(False).alias("halo"), "doc_id", "text", "tie")
+    return rows.unionByName(halo).repartitionById(ranges.n, F.col("part")).sortWithinPartitions("part", "halo", "doc_id", "tie", "text")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

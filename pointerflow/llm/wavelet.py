@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, small, texts_of
-from .ordered import range_bounds, range_count, range_number
+from .ordered import Ranges
 from .tokens import encoder
 
 BLOCKS = "shard long, block long, n_tokens long, bits int, doc_ids array<long>, doc_lengths binary, zeros binary, ranks array<binary>, planes array<binary>"
@@ -173,11 +173,13 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int
 
     Shards are ranges of ``id_col`` bounded by a quantile sketch; a task holds
     one block at a time.  Null and empty texts are the end id alone; repeated
-    ids stay side by side, ordered by text; an empty table writes no blocks.
+    ids, and rows without one, stay side by side, ordered by the hash of their
+    text and divided among shards if they fill more than one; an empty table
+    writes no blocks.
     """
     docs = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{text_col}` as string) text")
-    n = range_count(docs)
-    bounds = range_bounds(docs, "doc_id", n)
+    docs = docs.withColumn("tie", F.xxhash64("text"))
+    ranges = Ranges.of(docs, "doc_id")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, pack = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=1)
@@ -202,7 +204,7 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int
         if parts:
             yield out()
 
-    placed = docs.withColumn("shard", range_number("doc_id", bounds)).select("shard", "doc_id", "text").repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
+    placed = docs.select(ranges.number("doc_id", "tie").alias("shard"), "doc_id", "text", "tie").repartitionById(ranges.n, F.col("shard")).sortWithinPartitions("shard", "doc_id", "tie", "text").drop("tie")
     map_batches(placed, blocks, BLOCKS).write.option("compression", "none").parquet(path)
 
 

@@ -9,8 +9,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pointerflow.llm import boosting, components, fingerprints, html, mixing, packing, quality, queries, rules, secrets, simhash, urls, wavelet
+from pointerflow.llm.ordered import Ranges
 from pointerflow.llm.tokens import UnitEncoder, default_vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -286,6 +288,37 @@ def test_op3_hard_rows(hard, empty):
     assert fingerprints.fingerprint_documents(hard.where("doc_id = 6")).first().near_next == 1.0
 
 
+def test_hot_ids_are_divided_among_ranges(spark, tokenizer, tmp_path):
+    """A third of the rows without an id and a third with one id: still in order,
+    each row once, and no range far above its share."""
+    rows = [(None, f"no id {i % 90}") for i in range(100)] + [(5, f"hot {i}") for i in range(100)] + [(i, f"text {i}") for i in range(-50, 50) if i != 5]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tied = docs.withColumn("tie", F.xxhash64("text"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 2, 12, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            ranges = Ranges.of(tied, "doc_id")
+            placed = tied.select(ranges.number("doc_id", "tie").alias("part"), "doc_id", "tie", "text").collect()
+            placed.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie, r.text))
+            parts = [r.part for r in placed]
+            assert parts == sorted(parts) and 0 <= parts[0] and parts[-1] < n
+            assert max(Counter(parts).values()) <= 2.5 * len(rows) / n + 5
+            got = Counter((r.doc_id, r.near_next == 1.0, r.edited_sha256) for r in fingerprints.fingerprint_documents(docs).collect())
+            want: Counter = Counter()
+            for a, b in zip(placed, [*placed[1:], placed[0]]):
+                half = len(a.text) // 2
+                edited = a.text[: len(a.text) - half] + b.text[:half]
+                want[a.doc_id, a.text == b.text, hashlib.sha256(edited.encode()).hexdigest()] += 1
+            assert got == want
+            path = str(tmp_path / f"hot-{n}")
+            wavelet.write_token_shards(docs, path, default_vocabulary())
+            digests = sorted(wavelet.document_digests(wavelet.read_token_shards(spark, path)).collect(), key=lambda r: r.start)
+            assert [(r.doc_id, r.ids_crc32) for r in digests] == [(r.doc_id, crc([*ids_of(tokenizer, r.text), 2])) for r in placed]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def brute_fingerprint(text):
     """Length, whole hash and least span hashes by whole-number sums, no prefixes."""
     p = (1 << 31) - 1
