@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, html, mixing, packing, quality, rules, secrets, simhash, urls, wavelet
+from . import centroids, collocations, fingerprints, html, mixing, oracle, packing, pieces, quality, rules, secrets, simhash, urls, wavelet
 from .common import documents, labels, pages, shared_root
 from .tokens import default_vocabulary
 
@@ -55,8 +55,28 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_fingerprints, op4_mixing, op5_secrets, op6_html_extraction, op7_quality_classifier, op8_url_filters, op9_token_files, op10_simhash)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(documents(spark, sf_dir), threshold=100, most=2000)
 
-#: None of the ten can be written in SQL as a whole (tokenizer ids, sketches,
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return centroids.cluster_vectors(vectors, k=40, rounds=5, seed=2)
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.default_model()
+    tokens = pieces.decode_pieces(pieces.encode_pieces(documents(spark, sf_dir), model), model)
+    digits = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+_ALL = (
+    op1_packing, op2_quality_rules, op3_fingerprints, op4_mixing, op5_secrets, op6_html_extraction, op7_quality_classifier,
+    op8_url_filters, op9_token_files, op10_simhash, op11_collocations, op12_centroids, op13_sentencepiece,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+#: The others can't be written in SQL as a whole (tokenizer ids, sketches,
 #: trained models, iterations); tests/llm holds each to a brute-force version.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_collocations": oracle.COLLOCATIONS, "op12_centroids": oracle.CENTROIDS}
