@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import quantiles
-from .events import sequence
+from .events import recorded, recorded_by
 
 POINTS = (50, 75, 90, 95, 99)
 
@@ -25,15 +25,19 @@ def run_hovers(deltas: DataFrame, radius: float = 10.0, least_ms: float = 1000.0
     """Dwells by the distance from event to event, ended by a far move (before
     it), a click (at it) or the sequence's end; ``valid`` if long enough.
 
-    ``final`` marks a dwell that the end closes.
+    ``final`` marks a dwell that the end closes.  Session objects that share a
+    key are sequences of their own.
     """
+    keys = recorded_by(deltas)
     steps = deltas.where("event_idx > 1").withColumn("near", F.col("dist") < radius)
     # a near click ends its run; a far event stands between runs
     ends = F.when(~F.col("near") | F.col("is_click"), 1).otherwise(0)
-    run = F.coalesce(F.sum(ends).over(sequence("event_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = steps.withColumn("run", run).withColumn("last_idx", F.max("event_idx").over(Window.partitionBy("session_key")))
-    runs = marked.where("near").groupBy("session_key", "run").agg(F.min("prev_t").alias("start"), F.max("t").alias("end"), F.max("event_idx").alias("at"), F.max("last_idx").alias("last_idx"), F.max_by("is_click", "event_idx").alias("clicked"))
-    return runs.select("session_key", "start", "end", (F.col("end") - F.col("start")).alias("dwell"), (F.col("end") - F.col("start") >= least_ms).alias("valid"), ((F.col("at") == F.col("last_idx")) & ~F.col("clicked")).alias("final"))
+    run = F.coalesce(F.sum(ends).over(recorded(deltas, "event_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    marked = steps.withColumn("run", run).withColumn("last_idx", F.max("event_idx").over(Window.partitionBy(*keys)))
+    runs = marked.where("near").groupBy(*keys, "run").agg(F.min("prev_t").alias("start"), F.max("t").alias("end"), F.max("event_idx").alias("at"), F.max("last_idx").alias("last_idx"), F.max_by("is_click", "event_idx").alias("clicked"))
+    final = (F.col("at") == F.col("last_idx")) & ~F.col("clicked")
+    dwell = F.col("end") - F.col("start")
+    return runs.select(*keys, "start", "end", dwell.alias("dwell"), (dwell >= least_ms).alias("valid"), final.alias("final"))
 
 
 def hover_percentiles(runs: DataFrame, legacy_double_count: bool = False, accuracy: int | None = None) -> DataFrame:
@@ -50,8 +54,8 @@ def valid_hover_ratio(runs: DataFrame, legacy_double_count: bool = False) -> Dat
 
 
 def percentiles_by_module(rows: DataFrame, value: str) -> DataFrame:
-    """Percentiles of each sequence, averaged over the sequences of a module."""
-    each = rows.where(F.col(value).isNotNull()).groupBy("session_key").agg(*percentiles(value))
+    """Percentiles of each recorded sequence, averaged over the sequences of a module."""
+    each = rows.where(F.col(value).isNotNull()).groupBy(*recorded_by(rows)).agg(*percentiles(value))
     return each.groupBy(F.get(F.split("session_key", r"\|"), F.lit(2)).alias("module")).agg(F.count("*").alias("sequences"), *(F.avg(f"p{p}").alias(f"p{p}") for p in POINTS))
 
 

@@ -225,6 +225,13 @@ def _(s, d):
 _SHARED = o.ACTIONS + """, sh AS (SELECT ac.*, split_part(session_key, '|', 2) AS sess, CASE WHEN CAST(substr(session_key, 2, 6) AS INTEGER) % 17 = 0 THEN 'unknown' ELSE split_part(session_key, '|', 1) END || '|' || split_part(session_key, '|', 2) || '|' || split_part(session_key, '|', 3) AS shared_key FROM ac)"""
 
 
+@query("ac6_actions_in_pieces", ORACLE_SQL["ac6_actions"])
+def _(s, d):
+    """The same actions with every sequence cut into ranges and pieces."""
+    a = ac.group_actions(fx.events(s, d), long=1)
+    return a.withColumn("points", F.size("path")).withColumn("points", F.when(F.col("points") >= 0, F.col("points"))).drop("path")
+
+
 @query("ac6_actions_of_shared_keys", sql(_SHARED, 'session_key=shared_key;#action_idx=row_number() OVER (PARTITION BY shared_key ORDER BY session_key, action_idx) - 1;type;~start="start";~end="end";~duration;~distance;~x;~y;~timestamp="timestamp";node;#points=n_points', "FROM sh"))
 def _(s, d):
     """Sessions without a participant share a key and stay sequences of their own."""
@@ -298,6 +305,19 @@ def _(s, d):
     return th.run_hovers(deltas_of(s, d))
 
 
+_SHARED_RUNS = o.RUNS + """, sr AS (SELECT rn.*, CASE WHEN CAST(substr(session_key, 2, 6) AS INTEGER) % 17 = 0 THEN 'unknown' ELSE split_part(session_key, '|', 1) END || '|' || split_part(session_key, '|', 2) || '|' || split_part(session_key, '|', 3) AS shared_key FROM rn)"""
+
+
+def shared_deltas_of(s, d):
+    """Deltas of session objects of which some share a key."""
+    return ev.with_deltas(ev.valid_events(ev.explode_events(placed_sessions_of(s, d))))
+
+
+@query("th2_run_hovers_of_shared_keys", sql(_SHARED_RUNS, 'session_key=shared_key;~start="start";~end="end";~dwell;valid;final', "FROM sr"))
+def _(s, d):
+    return th.run_hovers(shared_deltas_of(s, d)).drop("session_idx")
+
+
 @query("th3_hover_percentiles", sql(o.RUNS, "#n=count(*)" + _PS.format(v="dwell"), "FROM rn"))
 def _(s, d):
     return th.hover_percentiles(th.run_hovers(deltas_of(s, d)))
@@ -333,6 +353,16 @@ def _(s, d):
     return th.threshold_sweep(deltas, th.run_hovers(deltas))
 
 
+# the sequences are those of the plain form, whatever keys they share
+for _name in ("th3_hover_percentiles", "th4_valid_hover_ratio", "th5_gaps_by_module", "th5_hovers_by_module", "th6_threshold_sweep"):
+    ORACLE_SQL[f"{_name}_of_shared_keys"] = ORACLE_SQL[_name]
+QUERIES["th3_hover_percentiles_of_shared_keys"] = lambda s, d: normal(th.hover_percentiles(th.run_hovers(shared_deltas_of(s, d))))
+QUERIES["th4_valid_hover_ratio_of_shared_keys"] = lambda s, d: normal(th.valid_hover_ratio(th.run_hovers(shared_deltas_of(s, d))))
+QUERIES["th5_gaps_by_module_of_shared_keys"] = lambda s, d: normal(th.percentiles_by_module(shared_deltas_of(s, d), "dt"))
+QUERIES["th5_hovers_by_module_of_shared_keys"] = lambda s, d: normal(th.percentiles_by_module(th.run_hovers(shared_deltas_of(s, d)).where("valid"), "dwell"))
+QUERIES["th6_threshold_sweep_of_shared_keys"] = lambda s, d: normal(th.threshold_sweep(shared_deltas_of(s, d), th.run_hovers(shared_deltas_of(s, d))))
+
+
 # -- scalar functions
 
 
