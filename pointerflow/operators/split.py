@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import before
+
+
+#: Hexadecimal digits of a hash that name its group: 65,536 groups, so that ten
+#: billion ids make groups of some 150,000.
+HASH_DIGITS = 4
+
 
 def hash_order(seed: int, key: str = "participant_id"):
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")).cast("binary"))
@@ -17,6 +24,27 @@ def participant_labels(df: DataFrame, label: str) -> DataFrame:
     return counts.groupBy("participant_id").agg(best.alias("b")).select("participant_id", F.col("b.label").alias("stratum"))
 
 
+def hash_places(people: DataFrame, seed: int, by: list[str], key: str = "participant_id") -> DataFrame:
+    """``people`` with ``place``, their rank from 1 by the hash of seed and id
+    within ``by``, and ``all``, how many there are.
+
+    Ids are dealt out by the first ``HASH_DIGITS`` digits of the hash, each such
+    group is ordered by itself, and the ids of the groups before it are added.
+    """
+    digits = F.conv(F.substring(hash_order(seed, key), 1, HASH_DIGITS), 16, 10).cast("int")
+    dealt = people.withColumn("part", digits)
+    groups = dealt.groupBy(*by, "part").agg(F.count("*").alias("n"))
+    alone = [F.lit(0).alias("whole")]  # without ``by`` there is one whole
+    groups = groups.select("*", *([] if by else alone))
+    keys = by or ["whole"]
+    earlier = before(groups, keys, "part", ["n"])
+    every = groups.groupBy(*keys).agg(F.sum("n").alias("all"))
+    facts = earlier.join(every, keys).select(*by, "part", "n_before", "all")
+    own = F.row_number().over(Window.partitionBy(*by, "part").orderBy(hash_order(seed, key), key))
+    placed = dealt.withColumn("own", own).join(facts, [*by, "part"])
+    return placed.withColumn("place", F.col("n_before") + F.col("own")).drop("part", "own", "n_before")
+
+
 def hash_share(seed: int, key: str = "participant_id") -> Column:
     """A number from 0 up to 1 that a hash of seed and id gives."""
     return F.conv(F.substring(hash_order(seed, key), 1, 8), 16, 10).cast("double") / float(1 << 32)
@@ -37,8 +65,8 @@ def split_participants(df: DataFrame, train_pct: float, seed: int, strata: DataF
 
     With strata each gives its rounded-down share, and the participants still
     missing come from those with the largest fractions, then by name.
-    Participants are ordered by a hash of seed and id, so reruns agree; that
-    order is one task a stratum, and beyond that ``split_by_hash`` is meant.
+    Participants are ordered by a hash of seed and id, so reruns agree; no task
+    orders more than a group of hashes that begin alike.
     """
     if not 0 < train_pct < 1:
         raise ValueError("train_pct must lie between 0 and 1")
@@ -48,12 +76,11 @@ def split_participants(df: DataFrame, train_pct: float, seed: int, strata: DataF
     else:
         people = people.join(strata, "participant_id", "left").withColumn("stratum", F.when(F.col("stratum").isNull(), F.raise_error(F.concat(F.lit("no stratum for "), "participant_id"))).otherwise(F.col("stratum").cast("string")))
     quota = people.groupBy("stratum").agg(F.count("*").alias("n")).withColumn("base", F.floor(F.col("n") * train_pct)).withColumn("part", F.round(F.col("n") * train_pct - F.col("base"), 9))
-    totals = quota.agg(F.floor(F.sum("n") * train_pct).alias("goal"), F.sum("base").alias("given"), F.sum("n").alias("all"))
+    totals = quota.agg(F.floor(F.sum("n") * train_pct).alias("goal"), F.sum("base").alias("given"), F.sum("n").alias("everyone"))
     rank = F.row_number().over(Window.orderBy(F.desc("part"), "stratum"))  # one row a stratum
-    quota = quota.crossJoin(totals).withColumn("quota", F.col("base") + F.when(rank <= F.col("goal") - F.col("given"), 1).otherwise(0)).select("stratum", "quota", "all")
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy(hash_order(seed), "participant_id"))
-    split = F.when(F.col("all") < 2, F.raise_error(F.lit("fewer than two participants"))).when(F.col("place") <= F.col("quota"), "train").otherwise("test")
-    return people.withColumn("place", place).join(quota, "stratum").select("participant_id", split.alias("split"))
+    quota = quota.crossJoin(totals).withColumn("quota", F.col("base") + F.when(rank <= F.col("goal") - F.col("given"), 1).otherwise(0)).select("stratum", "quota", "everyone")
+    split = F.when(F.col("everyone") < 2, F.raise_error(F.lit("fewer than two participants"))).when(F.col("place") <= F.col("quota"), "train").otherwise("test")
+    return hash_places(people, seed, ["stratum"]).join(quota, "stratum").select("participant_id", split.alias("split"))
 
 
 def apply_split(df: DataFrame, participants: DataFrame) -> DataFrame:
@@ -66,9 +93,14 @@ def split_summary(df: DataFrame, splits: DataFrame, session: str = "session_key"
 
 
 def group_folds(df: DataFrame, k: int, seed: int) -> DataFrame:
-    """participant_id and fold (0 to k-1), folds of nearly equal size."""
+    """participant_id and fold (0 to k-1), folds of nearly equal size: the first
+    ones have one more where the number is no multiple of ``k``."""
     people = df.select("participant_id").where("participant_id is not null").distinct()
-    return people.select("participant_id", (F.ntile(k).over(Window.orderBy(hash_order(seed), "participant_id")) - 1).alias("fold"))
+    least, more = F.floor(F.col("all") / k), F.col("all") % k
+    at = F.col("place") - 1
+    full = more * (least + 1)  # places in folds with one more
+    fold = F.when(at < full, F.floor(at / (least + 1))).otherwise(more + F.floor((at - full) / F.greatest(least, F.lit(1))))
+    return hash_places(people, seed, []).select("participant_id", fold.cast("int").alias("fold"))
 
 
 def folds_by_hash(df: DataFrame, k: int, seed: int) -> DataFrame:

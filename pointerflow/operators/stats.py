@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import Ranges, before
+
 
 def paired_participants(m: DataFrame) -> DataFrame:
     per = m.where("participant_id is not null").groupBy("participant_id").agg(F.avg("mse_model").alias("model"), F.avg("mse_baseline").alias("baseline"))
@@ -23,16 +25,23 @@ def paired_summary(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.avg("model").alias("model_mean"), F.avg("baseline").alias("baseline_mean"), F.avg("difference").alias("difference_mean"), F.median("difference").alias("difference_median"), (100.0 * F.count_if(F.col("difference") > 0) / F.count("*")).alias("pct_improved"))
 
 
-def average_rank(df: DataFrame, by: list[str], value: str, weights: dict[str, Column] | None = None) -> DataFrame:
+def average_rank(df: DataFrame, by: list[str], value: str, weights: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
     """by, value, n (rows tied), rank (their mean rank) and the summed weights.
 
-    Rows are first counted by distinct value, so a key with many rows brings one
-    row a value to its window.
+    Rows are first counted by distinct value.  The values of a key are dealt out
+    by ranges (``parts`` of them, as many as shuffle partitions by default), so a
+    key with very many values is no single task: a range ranks its own values,
+    and the rows in the ranges before it are added.  Ties share a range.
     """
     weights = weights or {}
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"), *(F.sum(w).alias(k) for k, w in weights.items()))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranges = Ranges(df, by, value, parts)
+    totals = ranges.deal(df.select(*by, value)).groupBy("range_key", "part").agg(F.count("*").alias("rows"))
+    totals = before(totals, ["range_key"], "part", ["rows"]).select("range_key", "part", "rows_before")
+    counts = ranges.deal(df.groupBy(*by, value).agg(F.count("*").alias("n"), *(F.sum(w).alias(k) for k, w in weights.items())))
+    within = Window.partitionBy("range_key", "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("n").over(within), F.lit(0))
+    ranked = counts.withColumn("earlier", earlier).join(totals, ["range_key", "part"])
+    return ranked.withColumn("rank", F.col("rows_before") + F.col("earlier") + (F.col("n") + 1) / 2).select(*by, value, "n", *weights, "rank")
 
 
 def _upper(z: float) -> float:
@@ -70,8 +79,8 @@ def wilcoxon_signed_rank(pairs: DataFrame, difference: str = "difference", alter
     """One row: n, zeros, r_plus, r_minus, statistic, p_value."""
     d = F.col(difference)
     zeros = pairs.agg(F.count_if(d == 0).alias("zeros"))
-    keyed = pairs.where(d.isNotNull() & (d != 0)).select(F.lit(1).alias("k"), F.abs(d).alias("size"), (d > 0).cast("int").alias("up"))
-    ranks = average_rank(keyed, ["k"], "size", {"ups": F.col("up")})
+    sizes = pairs.where(d.isNotNull() & (d != 0)).select(F.abs(d).alias("size"), (d > 0).cast("int").alias("up"))
+    ranks = average_rank(sizes, [], "size", {"ups": F.col("up")})
     sums = ranks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("rank") * F.col("ups")), F.lit(0.0)).alias("r_plus"), F.coalesce(F.sum(F.col("rank") * (F.col("n") - F.col("ups"))), F.lit(0.0)).alias("r_minus"), F.coalesce(F.sum(F.pow("n", F.lit(3)) - F.col("n")), F.lit(0.0)).alias("ties"))
     one = sums.crossJoin(zeros).withColumn("statistic", F.least("r_plus", "r_minus") if alternative == "two-sided" else F.col("r_plus"))
 
