@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,36 +31,39 @@ from .common import map_batches, texts_of
 SPACE = "▁"
 _BPE, _NORMAL, _UNKNOWN, _USER, _UNUSED, _BYTE = 2, 1, 2, 4, 5, 6  # fixed values of the model format
 _NONE = np.iinfo(np.int32).max  # score of a pair that is no piece
+_ROWS = 20_000  # units that are merged together
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
 class PairTable:
     """Ranks and pieces of symbol pairs, looked up many at a time.
 
-    A pair has one of 2^20 slots in the first free of several layers; a look-up
-    goes on to the next layer only where the slot holds another pair.
+    A pair has a slot in the first of several layers in which it is free; each
+    layer has four slots or more for each pair that is left.  A look-up goes on
+    to the next layer only where the slot holds another pair.
     """
 
     def __init__(self, keys: np.ndarray, ranks: np.ndarray, pieces: np.ndarray):
-        self.layers: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.layers: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         while len(keys):
-            slots, first = np.unique(self._slot(keys), return_index=True)
-            layer = (np.full(1 << 20, -1, np.int64), np.full(1 << 20, _NONE, np.int32), np.full(1 << 20, -1, np.int64))
+            bits = max(4, (4 * len(keys) - 1).bit_length())
+            slots, first = np.unique(self._slot(keys, bits), return_index=True)
+            layer = (np.full(1 << bits, -1, np.int64), np.full(1 << bits, _NONE, np.int32), np.full(1 << bits, -1, np.int32))
             for array, values in zip(layer, (keys, ranks, pieces)):
                 array[slots] = values[first]
-            self.layers.append(layer)
+            self.layers.append((bits, *layer))
             keys, ranks, pieces = (np.delete(a, first) for a in (keys, ranks, pieces))
 
     @staticmethod
-    def _slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of each key; a key that is not there has no rank."""
-        ranks, pieces = np.full(keys.shape, _NONE, np.int32), np.full(keys.shape, -1, np.int64)
-        flat_ranks, flat_pieces, left = ranks.reshape(-1), pieces.reshape(-1), keys.reshape(-1)
-        slots, at = self._slot(left), None
-        for known, rank, piece in self.layers:
+        ranks, pieces = np.full(keys.shape, _NONE, np.int32), np.full(keys.shape, -1, np.int32)
+        flat_ranks, flat_pieces, left, at = ranks.reshape(-1), pieces.reshape(-1), keys.reshape(-1), None
+        for bits, known, rank, piece in self.layers:
+            slots = self._slot(left, bits)
             held = known[slots]
             hit = np.flatnonzero(held == left)
             where = hit if at is None else at[hit]
@@ -67,7 +71,7 @@ class PairTable:
             on = np.flatnonzero((held != left) & (held >= 0))
             if not len(on):
                 break
-            left, slots, at = left[on], slots[on], on if at is None else at[on]
+            left, at = left[on], on if at is None else at[on]
         return ranks, pieces
 
 
@@ -79,8 +83,7 @@ class PieceEncoder:
     number of symbols from which a unit has a heap.
     """
 
-    def __init__(self, path: str, check: bool = True, max_units: int = 800_000, long: int = 40):
-        import sentencepiece
+    def __init__(self, path: str, check: bool = True, max_units: int = 500_000, long: int = 40):
         from sentencepiece import sentencepiece_model_pb2 as format
 
         with open(path, "rb") as file:
@@ -221,8 +224,10 @@ class PieceEncoder:
             elif unit:
                 lengths.setdefault(len(unit), []).append(i)
         for of in lengths.values():
-            for i, ids in zip(of, self._together([units[i] for i in of])):
-                out[i] = ids
+            for start in range(0, len(of), _ROWS):
+                part = of[start : start + _ROWS]
+                for i, ids in zip(part, self._together([units[i] for i in part])):
+                    out[i] = ids
         return out
 
     def _learn(self, keys: list[str]) -> dict[str, bytes]:
@@ -295,6 +300,16 @@ def encoder(path: str, check: bool = True) -> PieceEncoder:
     return _ENCODERS[path, check]
 
 
+_LIBRARIES: dict[str, sentencepiece.SentencePieceProcessor] = {}
+
+
+def library(path: str) -> sentencepiece.SentencePieceProcessor:
+    """The library's processor alone, one a Python worker."""
+    if path not in _LIBRARIES:
+        _LIBRARIES[path] = sentencepiece.SentencePieceProcessor(model_file=path)
+    return _LIBRARIES[path]
+
+
 def default_model() -> str:
     """Where the public 32k merge-type model lies on this machine."""
     import public_tokenizers
@@ -334,10 +349,10 @@ def decode_pieces(tokens: DataFrame, model: str, id_col: str = "doc_id", ids_col
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = encoder(model).library
+        processor = library(model)
         for batch in batches:
             lists = batch.column("ids").to_pylist()
-            texts = iter(library.decode([x for x in lists if x is not None], num_threads=1))
+            texts = iter(processor.decode([x for x in lists if x is not None], num_threads=1))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids").cast(schema.field("ids").type), pa.array([None if x is None else next(texts) for x in lists], pa.string())], schema=schema)
 
     narrow = tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
