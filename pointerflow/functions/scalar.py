@@ -108,23 +108,70 @@ def path_steps(path) -> dict[str, Column]:
     return {"dt": dt, "dist": dist, "speed": speed, "speed_change": change, "angle": angle}
 
 
-def count_crossings(x: np.ndarray, y: np.ndarray, block: int = 512) -> int:
+def _side(px, py, qx, qy, rx, ry):
+    return (qx - px) * (ry - py) - (qy - py) * (rx - px) > 0
+
+
+def _cross(ax, ay, bx, by, i, j) -> np.ndarray:
+    """Whether segments ``i`` and ``j`` cross, by the sides their ends lie on."""
+    a, b, c, d = (ax[i], ay[i]), (bx[i], by[i]), (ax[j], ay[j]), (bx[j], by[j])
+    return (_side(*a, *c, *d) != _side(*b, *c, *d)) & (_side(*a, *b, *c) != _side(*a, *b, *d))
+
+
+class _Boxes:
+    """Bounding boxes of the segments of a path, of pairs of neighbours, of
+    fours and so on: a path is close to itself along its length, so such boxes
+    stay small, and parts whose boxes lie apart need no comparing."""
+
+    def __init__(self, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray):
+        level = np.array([np.minimum(ax, bx), np.minimum(ay, by), -np.maximum(ax, bx), -np.maximum(ay, by)])
+        self.levels = [level]  # each of left, low, -right, -high
+        while level.shape[1] > 1:
+            if level.shape[1] % 2:
+                level = np.append(level, np.full((4, 1), np.inf), axis=1)
+            level = np.minimum(level[:, ::2], level[:, 1::2])
+            self.levels.append(level)
+
+    def may_cross(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Boxes that meet, but for those on one horizontal or vertical line,
+        whose segments have no sides."""
+        a, b = self.levels[level][:, i], self.levels[level][:, j]
+        low, high = np.maximum(a[:2], b[:2]), np.minimum(-a[2:], -b[2:])
+        flat = np.minimum(a[:2], b[:2]) == np.maximum(-a[2:], -b[2:])
+        return (low <= high).all(0) & ~flat.any(0)
+
+
+def count_crossings(x: np.ndarray, y: np.ndarray, few: int = 1024, at_once: int = 1 << 18) -> int:
     """Strictly crossing pairs of non-adjacent segments of a polyline.
 
-    Segments are compared in blocks, so memory is ``block`` times their number.
+    Up to ``few`` segments all pairs are compared.  Longer paths are compared
+    with themselves down a tree of boxes, ``at_once`` pairs of boxes a step, so
+    the work follows the pairs that are close to each other and memory stays
+    bounded.  (Segments of one slanted line that lie apart, which rounding could
+    make cross where all pairs are compared, never do so there.)
     """
     n = len(x) - 1
     if n < 3:
         return 0
-    ax, ay, bx, by = x[:-1], y[:-1], x[1:], y[1:]
-    side = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px) > 0
-    total = 0
-    for i in range(0, n, block):
-        a = np.s_[i : min(i + block, n)]
-        cx, cy, dx, dy = ax[a, None], ay[a, None], bx[a, None], by[a, None]
-        crossing = (side(cx, cy, ax, ay, bx, by) != side(dx, dy, ax, ay, bx, by)) & (side(cx, cy, dx, dy, ax, ay) != side(cx, cy, dx, dy, bx, by))
-        rows = np.arange(a.start, a.stop)[:, None]
-        total += int((crossing & (np.arange(n)[None, :] > rows + 1)).sum())
+    ends = ax, ay, bx, by = x[:-1], y[:-1], x[1:], y[1:]
+    if n <= few:
+        i, j = np.triu_indices(n, 2)
+        return int(_cross(*ends, i, j).sum())
+    boxes = _Boxes(ax, ay, bx, by)
+    zero = np.zeros(1, np.int64)
+    total, waiting = 0, [(len(boxes.levels) - 1, zero, zero)]
+    while waiting:
+        level, i, j = waiting.pop()
+        near = boxes.may_cross(level, i, j) | (i == j)
+        i, j = i[near], j[near]
+        if not level:
+            apart = j > i + 1
+            total += int(_cross(*ends, i[apart], j[apart]).sum())
+            continue
+        i, j = np.concatenate([2 * i, 2 * i, 2 * i + 1, 2 * i + 1]), np.concatenate([2 * j, 2 * j + 1, 2 * j, 2 * j + 1])
+        there = (i <= j) & (j < boxes.levels[level - 1].shape[1])
+        i, j = i[there], j[there]
+        waiting += [(level - 1, i[k : k + at_once], j[k : k + at_once]) for k in range(0, len(i), at_once)]
     return total
 
 

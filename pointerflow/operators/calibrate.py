@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import quantiles
 from .events import recorded, recorded_by
+from .quantiles import exact_quantiles
 
 POINTS = (50, 75, 90, 95, 99)
 
@@ -16,9 +17,19 @@ def percentiles(c: str, accuracy: int | None = None) -> list:
     return [q[i].alias(f"p{p}") for i, p in enumerate(POINTS)]
 
 
-def gap_percentiles(deltas: DataFrame, accuracy: int | None = None) -> DataFrame:
-    """Percentiles of all gaps; for very many, with ``accuracy`` of ``quantiles``."""
-    return deltas.where("dt is not null").agg(F.count("*").alias("n"), *percentiles("dt", accuracy))
+def _summary(rows: DataFrame, c: str, accuracy: int | None, selected: bool) -> DataFrame:
+    """n and the percentiles of all rows, in one of three ways: exact in one
+    task, from sketches of an ``accuracy``, or exact by ``exact_quantiles``."""
+    if not selected:
+        return rows.agg(F.count("*").alias("n"), *percentiles(c, accuracy))
+    q = exact_quantiles(rows, [c], [p / 100 for p in POINTS]).select(*(F.col("quantiles")[i].alias(f"p{p}") for i, p in enumerate(POINTS)))
+    return rows.agg(F.count("*").alias("n")).join(q, F.lit(True), "left")  # one row each
+
+
+def gap_percentiles(deltas: DataFrame, accuracy: int | None = None, selected: bool = False) -> DataFrame:
+    """Percentiles of all gaps; for very many, with ``accuracy`` of ``quantiles``
+    or, exactly, ``selected`` by rounds of counting."""
+    return _summary(deltas.where("dt is not null"), "dt", accuracy, selected)
 
 
 def run_hovers(deltas: DataFrame, radius: float = 10.0, least_ms: float = 1000.0) -> DataFrame:
@@ -40,12 +51,12 @@ def run_hovers(deltas: DataFrame, radius: float = 10.0, least_ms: float = 1000.0
     return runs.select(*keys, "start", "end", dwell.alias("dwell"), (dwell >= least_ms).alias("valid"), final.alias("final"))
 
 
-def hover_percentiles(runs: DataFrame, legacy_double_count: bool = False, accuracy: int | None = None) -> DataFrame:
+def hover_percentiles(runs: DataFrame, legacy_double_count: bool = False, accuracy: int | None = None, selected: bool = False) -> DataFrame:
     """Percentiles of all candidates; the older count takes a valid dwell that
     the sequence's end closes twice."""
     if legacy_double_count:
         runs = runs.unionByName(runs.where("valid and final"))
-    return runs.agg(F.count("*").alias("n"), *percentiles("dwell", accuracy))
+    return _summary(runs, "dwell", accuracy, selected)
 
 
 def valid_hover_ratio(runs: DataFrame, legacy_double_count: bool = False) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import quantiles
+from .quantiles import exact_quantiles
 
 BINS = ("Q1 (shortest)", "Q2", "Q3", "Q4", "Q5 (longest)")
 
@@ -45,12 +46,16 @@ def session_metrics(long: DataFrame, baseline: DataFrame) -> DataFrame:
     return out.withColumn("improvement_pct", improvement_pct())
 
 
-def feature_metrics(long: DataFrame, accuracy: int | None = None) -> DataFrame:
+def feature_metrics(long: DataFrame, accuracy: int | None = None, selected: bool = False) -> DataFrame:
     """Errors of each feature over valid steps, also relative to its spread; for
-    very many steps, with ``accuracy`` of ``quantiles``."""
+    very many steps, with ``accuracy`` of ``quantiles`` or, exactly, quartiles
+    ``selected`` by rounds of counting."""
     d = F.col("y_true") - F.col("y_pred")
-    q = quantiles("y_true", (0.25, 0.75), accuracy)
+    q = [F.lit(None).cast("double")] * 2 if selected else quantiles("y_true", (0.25, 0.75), accuracy)
     per = long.where("valid").groupBy("feature").agg(F.count("*").alias("n"), F.avg(F.abs(d)).alias("mae"), F.avg(d * d).alias("mse"), F.avg("y_true").alias("mean"), F.stddev_pop("y_true").alias("std"), (F.max("y_true") - F.min("y_true")).alias("value_range"), (q[1] - q[0]).alias("iqr"))
+    if selected:
+        quartiles = exact_quantiles(long.where("valid"), ["y_true"], (0.25, 0.75), ["feature"])
+        per = per.drop("iqr").join(quartiles.select("feature", (F.col("quantiles")[1] - F.col("quantiles")[0]).alias("iqr")), "feature", "left")
     per = per.withColumn("rmse", F.sqrt("mse"))
     per = per.withColumns({f"nrmse_{s}": F.when(F.col(c) > 0, F.col("rmse") / F.col(c)) for s, c in (("std", "std"), ("range", "value_range"), ("iqr", "iqr"))})
     return per.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("nrmse_std"), "feature")))  # one row a feature

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, log1p_clip, null_nonfinite, quantiles
 from .features import KINEMATIC
+from .quantiles import quantiles_by_column
 
 LOGGED = ("cursor_speed", "jitter", "direction_changes", "rate_of_curvature", "distance_travelled", "movement_offset", "action_duration", "time_since_last_action")
 STANDARD = ("cursor_speed", "acceleration_mean", "jitter", "direction_changes", "curvature_mean", "rate_of_curvature")
@@ -23,11 +24,17 @@ ACTION_IDS = {"mouse_movement": 0, "hover": 1, "pause": 2, "click": 3}
 OTHER = "Other"
 
 
-def data_quality(df: DataFrame, numeric: list[str], accuracy: int | None = None) -> DataFrame:
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def data_quality(df: DataFrame, numeric: list[str], accuracy: int | None = None, selected: bool = False) -> DataFrame:
     """feature, nulls, n, mean, sample std, min, quartiles, max of each column;
-    for very many rows, with ``accuracy`` of ``quantiles``."""
+    for very many rows, with ``accuracy`` of ``quantiles`` or, exactly,
+    quartiles ``selected`` by rounds of counting."""
+    known = quantiles_by_column(df, numeric, QUARTILES) if selected else {}
+
     def stats(c: str) -> Column:
-        q = quantiles(c, (0.25, 0.5, 0.75), accuracy)
+        q = [F.lit(v).cast("double") for v in known[c]] if selected else quantiles(c, QUARTILES, accuracy)
         v = F.col(c).cast("double")
         return F.struct(F.lit(c).alias("feature"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count(c).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), F.max(v).alias("max"))
 
@@ -102,8 +109,16 @@ def _block(flag: str, columns: tuple[str, ...], c: str, least: int) -> tuple[Col
     return F.when(inside & whole, value), F.when(whole, value), F.count_if(inside & whole) >= least if least else F.count_if(inside) > 0
 
 
-def fit_clip(c: str = "acceleration_mean", accuracy: int | None = None) -> Column:
-    q = quantiles(c, (0.01, 0.99), accuracy)
+#: Quantiles of columns that are known before a fit, by column and share.
+Known = dict[str, dict[float, float | None]]
+
+
+def _points(c: str, points: tuple[float, ...], accuracy: int | None, known: Known | None) -> Column | list[Column]:
+    return [F.lit(known[c][p]).cast("double") for p in points] if known else quantiles(c, points, accuracy)
+
+
+def fit_clip(c: str = "acceleration_mean", accuracy: int | None = None, known: Known | None = None) -> Column:
+    q = _points(c, (0.01, 0.99), accuracy, known)
     return _one(c, "clip", low=q[0], high=q[1])
 
 
@@ -118,8 +133,8 @@ def fit_standard(columns: tuple[str, ...], flag: str, least: int = 5) -> list[Co
     return out
 
 
-def fit_robust(c: str, accuracy: int | None = None) -> Column:
-    q = quantiles(c, (0.25, 0.5, 0.75), accuracy)
+def fit_robust(c: str, accuracy: int | None = None, known: Known | None = None) -> Column:
+    q = _points(c, QUARTILES, accuracy, known)
     return _one(c, "robust", center=q[1], scale=_or_one(q[2] - q[0]))
 
 
@@ -133,13 +148,18 @@ def fit_minmax(columns: tuple[str, ...], flag: str | None = None) -> list[Column
     return out
 
 
-def fit_scaling(df: DataFrame, accuracy: int | None = None) -> DataFrame:
+def fit_scaling(df: DataFrame, accuracy: int | None = None, selected: bool = False) -> DataFrame:
     """All parameters: the clipping bounds, then the rest on clipped train rows;
-    for very many rows, with ``accuracy`` of ``quantiles``."""
-    bounds = df.agg(fit_clip(accuracy=accuracy).alias("clip"))
+    for very many rows, with ``accuracy`` of ``quantiles`` or, exactly,
+    quantiles ``selected`` by rounds of counting, all columns at once."""
+    known = None
+    if selected:
+        points = (0.01, *QUARTILES, 0.99)
+        known = {c: dict(zip(points, q)) for c, q in quantiles_by_column(df, ["acceleration_mean", "self_intersections", "x", "y"], points).items()}
+    bounds = df.agg(fit_clip(accuracy=accuracy, known=known).alias("clip"))
     clipped = df.crossJoin(F.broadcast(bounds)).withColumn("acceleration_mean", clip("acceleration_mean", "clip.low", "clip.high"))  # one row
-    parts = [*fit_standard(STANDARD, "has_kinematics"), *fit_standard(DURATIONS, "has_duration", least=0), fit_robust("self_intersections", accuracy), *fit_minmax(MINMAX, "has_kinematics"), *fit_minmax(("x",)), fit_robust("y", accuracy)]
-    medians = [_one(c, "median", center=quantiles(c, (0.5,), accuracy)[0]) for c in "xy"]
+    parts = [*fit_standard(STANDARD, "has_kinematics"), *fit_standard(DURATIONS, "has_duration", least=0), fit_robust("self_intersections", accuracy, known), *fit_minmax(MINMAX, "has_kinematics"), *fit_minmax(("x",)), fit_robust("y", accuracy, known)]
+    medians = [_one(c, "median", center=_points(c, (0.5,), accuracy, known)[0]) for c in "xy"]
     return clipped.agg(F.array(F.first("clip"), *parts, *medians).alias("all")).select(F.explode("all").alias("r")).select("r.*")
 
 

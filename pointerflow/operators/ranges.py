@@ -31,24 +31,31 @@ def key_of(by: list[str]) -> Column:
     return F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
 
 
+def splitters_below(cuts: Column, value: Column, parts: int) -> Column:
+    """How many of the ascending splitters lie below the value: whole strides of
+    about the root of their number first, then those within one."""
+    stride = math.isqrt(parts) + 1
+    lesser = lambda a: F.greatest(F.size(F.filter(a, lambda c: c < value)), F.lit(0))
+    ends = F.transform(F.sequence(F.lit(stride), F.lit(max(parts, stride)), F.lit(stride)), lambda i: F.get(cuts, i - 1))
+    whole = F.size(F.filter(ends, lambda c: c < value)) * stride
+    return whole + lesser(F.slice(cuts, whole + 1, F.lit(stride)))
+
+
 class Ranges:
     """Splitters of ``value`` for each key ``by`` from mergeable sketches,
     written once, so that every use deals rows out alike."""
 
     def __init__(self, df: DataFrame, by: list[str], value: str, parts: int | None = None):
         parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.by, self.value, self.stride = by, value, math.isqrt(parts) + 1
+        self.by, self.value, self.parts = by, value, parts
         shares = F.array(*(F.lit(i / parts) for i in range(1, parts))) if parts > 1 else F.array(F.lit(1.0))
         cuts = F.percentile_approx(value, shares, F.lit(20 * parts))
         self.cuts = saved(df.groupBy(key_of(by).alias("range_key")).agg(cuts.alias("cuts")), "splitters")
 
     def deal(self, df: DataFrame) -> DataFrame:
         """``df`` with ``range_key`` and ``part``, the number of splitters below
-        the value, counted in whole strides and then within one."""
-        every = F.filter("cuts", lambda _, i: i % self.stride == self.stride - 1)
-        lesser = lambda a: F.greatest(F.size(F.filter(a, lambda c: c < F.col(self.value))), F.lit(0))
-        whole = lesser(every) * self.stride
-        part = whole + lesser(F.slice("cuts", whole + 1, self.stride))
+        the value."""
+        part = F.when(F.col("cuts").isNull(), 0).otherwise(splitters_below(F.col("cuts"), F.col(self.value), self.parts))
         rows = df.withColumn("range_key", key_of(self.by))
         return rows.join(small(self.cuts), "range_key").withColumn("part", part).drop("cuts")
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles, quantiles_by_column
 from .ranges import Ranges, before
 
 
@@ -21,8 +22,11 @@ def paired_participants(m: DataFrame) -> DataFrame:
     return per.withColumn("difference", F.col("baseline") - F.col("model"))
 
 
-def paired_summary(pairs: DataFrame) -> DataFrame:
-    return pairs.agg(F.count("*").alias("n"), F.avg("model").alias("model_mean"), F.avg("baseline").alias("baseline_mean"), F.avg("difference").alias("difference_mean"), F.median("difference").alias("difference_median"), (100.0 * F.count_if(F.col("difference") > 0) / F.count("*")).alias("pct_improved"))
+def paired_summary(pairs: DataFrame, selected: bool = False) -> DataFrame:
+    """Means, the median of the differences (for very many pairs ``selected`` by
+    rounds of counting) and the share that improved."""
+    median = F.lit(quantiles_by_column(pairs, ["difference"], [0.5])["difference"][0]).cast("double") if selected else F.median("difference")
+    return pairs.agg(F.count("*").alias("n"), F.avg("model").alias("model_mean"), F.avg("baseline").alias("baseline_mean"), F.avg("difference").alias("difference_mean"), median.alias("difference_median"), (100.0 * F.count_if(F.col("difference") > 0) / F.count("*")).alias("pct_improved"))
 
 
 def average_rank(df: DataFrame, by: list[str], value: str, weights: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
@@ -91,12 +95,17 @@ def wilcoxon_signed_rank(pairs: DataFrame, difference: str = "difference", alter
     return one.withColumn("p_value", p("n", "r_plus", "ties", "zeros")).drop("ties")
 
 
-def high_low_groups(df: DataFrame, targets: list[str], low: float = 0.25, high: float = 0.75) -> DataFrame:
+def high_low_groups(df: DataFrame, targets: list[str], low: float = 0.25, high: float = 0.75, selected: bool = False) -> DataFrame:
     """Long form target, value and the other columns, with ``is_low`` and
-    ``is_high``; ties at both bounds belong, so a row may be both."""
+    ``is_high``; ties at both bounds belong, so a row may be both.  For very
+    many rows the bounds are ``selected`` by rounds of counting."""
     others = [c for c in df.columns if c not in targets]
     long = df.select(*others, F.explode(F.array(*(F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("score")) for t in targets))).alias("t")).select(*others, "t.*").where("score is not null")
-    q = long.groupBy("target").agg(F.percentile("score", F.lit(low)).alias("q_low"), F.percentile("score", F.lit(high)).alias("q_high"))
+    if selected:
+        at = exact_quantiles(df, targets, (low, high)).select(F.col("column_name").alias("target"), F.col("quantiles")[0].alias("q_low"), F.col("quantiles")[1].alias("q_high"))
+        q = F.broadcast(at)  # a row a target
+    else:
+        q = long.groupBy("target").agg(F.percentile("score", F.lit(low)).alias("q_low"), F.percentile("score", F.lit(high)).alias("q_high"))
     return long.join(q, "target").withColumns({"is_low": F.col("score") <= F.col("q_low"), "is_high": F.col("score") >= F.col("q_high")})
 
 

@@ -300,6 +300,11 @@ def _(s, d):
     return th.gap_percentiles(deltas_of(s, d))
 
 
+@query("th1_gap_percentiles_by_selection", ORACLE_SQL["th1_gap_percentiles"])
+def _(s, d):
+    return th.gap_percentiles(deltas_of(s, d), selected=True)
+
+
 @query("th2_run_hovers", sql(o.RUNS, 'session_key;~start="start";~end="end";~dwell;valid;final', "FROM rn"))
 def _(s, d):
     return th.run_hovers(deltas_of(s, d))
@@ -328,6 +333,11 @@ def _(s, d):
     return th.hover_percentiles(th.run_hovers(deltas_of(s, d)), legacy_double_count=True)
 
 
+@query("th3_hover_percentiles_by_selection", ORACLE_SQL["th3_hover_percentiles"])
+def _(s, d):
+    return th.hover_percentiles(th.run_hovers(deltas_of(s, d)), selected=True)
+
+
 @query("th4_valid_hover_ratio", sql(o.RUNS, "#valid=count(*) FILTER (WHERE valid);#candidates=count(*);~ratio=count(*) FILTER (WHERE valid) / count(*)", "FROM rn"))
 def _(s, d):
     return th.valid_hover_ratio(th.run_hovers(deltas_of(s, d)))
@@ -514,6 +524,11 @@ def _(s, d):
     return pr.data_quality(features_of(s, d), list(_NUM))
 
 
+@query("pr1_data_quality_by_selection", ORACLE_SQL["pr1_data_quality"])
+def _(s, d):
+    return pr.data_quality(features_of(s, d), list(_NUM), selected=True)
+
+
 @query("pr1_value_counts", sql(o.FEATURES, "feature='action_type';value=action_type;#n=count(*)", "FROM ft GROUP BY 2 UNION ALL SELECT 'dom_element_type', dom_element_type, count(*) FROM ft GROUP BY 2"))
 def _(s, d):
     return pr.value_counts(features_of(s, d), ["action_type", "dom_element_type"])
@@ -569,6 +584,11 @@ def _(s, d):
     return pr.fit_scaling(pr.transform_features(pr.handle_missing(features_of(s, d))))
 
 
+@query("pr6_to_pr9_fit_scaling_by_selection", ORACLE_SQL["pr6_to_pr9_fit_scaling"])
+def _(s, d):
+    return pr.fit_scaling(pr.transform_features(pr.handle_missing(features_of(s, d))), selected=True)
+
+
 @query("pr10_pr11_transform", sql(o.FEATURES + _HM + _TF + _SC, "session_key;#action_idx;" + ";".join(f"~{c}=({c} - (SELECT center FROM sc1 WHERE feature = '{c}' AND method = '{m}')) / (SELECT scale FROM sc1 WHERE feature = '{c}' AND method = '{m}')" for c, m in (("cursor_speed", "standard"), ("acceleration_mean", "standard"), ("action_duration", "standard"), ("straightness", "minmax"), ("self_intersections", "robust"))), "FROM tc"))
 def _(s, d):
     path = scratch(s, "features")
@@ -691,6 +711,11 @@ def _(s, d):
     return rm.feature_metrics(fx.predictions(s, d))
 
 
+@query("rm4_feature_metrics_by_selection", ORACLE_SQL["rm4_feature_metrics"])
+def _(s, d):
+    return rm.feature_metrics(fx.predictions(s, d), selected=True)
+
+
 @query("rm5_top_features", sql(_FM, _FMC, "FROM fm WHERE rank <= 5"))
 def _(s, d):
     return rm.top_features(rm.feature_metrics(fx.predictions(s, d)))
@@ -892,6 +917,11 @@ def _(s, d):
     return st.paired_summary(pairs_of(s, d))
 
 
+@query("st3_paired_summary_by_selection", ORACLE_SQL["st3_paired_summary"])
+def _(s, d):
+    return st.paired_summary(pairs_of(s, d), selected=True)
+
+
 _HL = _BQ + """, hl0 AS (SELECT participant_id, cursor_speed, action_duration, time_since_last_action, unnest(['EADS_Depressao', 'EADS_Ansiedade', 'EADS_Stress']) AS target, unnest([round(dep, 9), round(anx, 9), round(str, 9)]) AS score FROM bj),
 hq AS (SELECT target, quantile_cont(score, 0.25) AS q_low, quantile_cont(score, 0.75) AS q_high FROM hl0 WHERE score IS NOT NULL GROUP BY 1),
 hl AS (SELECT *, score <= q_low AS is_low, score >= q_high AS is_high FROM hl0 JOIN hq USING (target) WHERE score IS NOT NULL)"""
@@ -907,6 +937,12 @@ def _(s, d):
     return st.group_sizes(groups_of(s, d))
 
 
+@query("st4_high_low_groups_by_selection", ORACLE_SQL["st4_high_low_groups"])
+def _(s, d):
+    whole = profiles_of(s, d).withColumns({c: F.round(c, 9) for c in an.SCORES})
+    return st.group_sizes(st.high_low_groups(whole, list(an.SCORES), selected=True))
+
+
 _MW = _HL + """, mw0 AS (SELECT target, participant_id, unnest(['cursor_speed', 'action_duration', 'time_since_last_action']) AS feature, unnest([cursor_speed, action_duration, time_since_last_action]) AS v, is_low, is_high FROM hl),
 mw1 AS (SELECT target, feature, round(v, 9) AS v, 1 AS low FROM mw0 WHERE is_low AND v IS NOT NULL UNION ALL SELECT target, feature, round(v, 9), 0 FROM mw0 WHERE is_high AND v IS NOT NULL),
 mw2 AS (SELECT *, rank() OVER (PARTITION BY target, feature ORDER BY v) + (count(*) OVER (PARTITION BY target, feature, v) - 1) / 2 AS r FROM mw1),
