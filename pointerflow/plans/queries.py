@@ -996,6 +996,25 @@ def _(s, d):
     return got.select("session_key", "action_idx", "type", "start", "end", "x", "y", "timestamp", "node", F.when(n >= 0, n).alias("points"))
 
 
+@query("io1_session_arrays_in_parts", ORACLE_SQL["pf1_explode_events"])
+def _(s, d):
+    """Arrays of sessions, read back by many tasks a file."""
+    path = scratch(s, "session-arrays")
+    io.write_session_arrays(fx.raw_sessions(s, d).drop("file_order"), path)
+    sessions = io.read_sessions(s, path, fx.MODULES, in_parts=True)
+    return ev.explode_events(sessions).select("participant", "sess", "module", "t", "x", "y", "is_click", "node")
+
+
+@query("io2_sequence_objects_in_parts", ORACLE_SQL["io2_io3_action_sequences"])
+def _(s, d):
+    """Objects of action lists, read back by many tasks a file."""
+    path = scratch(s, "sequence-objects")
+    io.write_sequence_objects(actions_of(s, d), path)
+    got = io.read_action_sequences(s, path, in_parts=True)
+    n = F.size("path")
+    return got.select("session_key", "action_idx", "type", "start", "end", "x", "y", "timestamp", "node", F.when(n >= 0, n).alias("points"))
+
+
 @query("io4_actions_flat", sql(o.ACTIONS, "session_key;#action_idx;type;~start=\"start\";~end=\"end\";~duration;~distance;~x;~y;~timestamp=\"timestamp\";node", "FROM ac"))
 def _(s, d):
     path = scratch(s, "flat")
