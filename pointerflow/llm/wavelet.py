@@ -58,6 +58,8 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
+        if len(ids) and int(ids.max()) >> bits:
+            raise ValueError(f"id {int(ids.max())} does not fit {bits} bit-planes")
         x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes, zeros, ranks = [], [], []
         for bit in range(bits - 1, -1, -1):
@@ -167,12 +169,14 @@ class WaveletMatrix:
         return run * self.STEP * 8 + int(np.flatnonzero(part == want)[k - int(before[run])])
 
 
-def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, block_tokens: int = 1 << 19, bits: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, block_tokens: int = 1 << 19, bits: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text, append ``end_id`` and write the ids in ascending
     ``id_col`` order to ``path``.
 
     Shards are ranges of ``id_col`` bounded by a quantile sketch; a task holds
-    one block at a time.  Null and empty texts are the end id alone; repeated
+    one block at a time, and a document's ids whatever its length.  There are as
+    many bit-planes as the vocabulary and ``end_id`` need; an id beyond a given
+    number of ``bits`` raises.  Null and empty texts are the end id alone; repeated
     ids, and rows without one, stay side by side, ordered by the hash of their
     text and divided among shards if they fill more than one; an empty table
     writes no blocks.
@@ -183,13 +187,14 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str, end_id: int
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, pack = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(level=1)
+        n_planes = bits or max(len(enc.opens) - 1, end_id, 1).bit_length()
         ids: list[int] = []
         parts: list[bytes] = []
         size = number = shard = 0
 
         def out() -> pa.RecordBatch:
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(parts), "<u4"), bits)
-            row = (shard, number, matrix.n, bits, list(ids), np.array([len(p) // 4 for p in parts], "<u4").tobytes(), np.array(matrix.zeros, "<u4").tobytes(), [r.tobytes() for r in matrix.ranks], [pack.compress(matrix.plane(level).data) for level in range(bits)])
+            matrix = WaveletMatrix.build(np.frombuffer(b"".join(parts), "<u4"), n_planes)
+            row = (shard, number, matrix.n, n_planes, list(ids), np.array([len(p) // 4 for p in parts], "<u4").tobytes(), np.array(matrix.zeros, "<u4").tobytes(), [r.tobytes() for r in matrix.ranks], [pack.compress(matrix.plane(level).data) for level in range(n_planes)])
             ids.clear(), parts.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _ARROW)], schema=_ARROW)
 

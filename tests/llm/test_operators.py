@@ -775,6 +775,20 @@ def test_lookups_from_files(spark, hard, tokenizer, tmp_path):
     assert wavelet.tokens_at(none, wanted).count() == wavelet.locate_token(none, 2).count() == 0
 
 
+def test_ids_of_more_bits(spark, tmp_path):
+    """Ids beyond 16 bits are kept whole, and never cut to fewer planes."""
+    ids = np.array([70000, 5, 65536, 5, 0], "<u4")
+    m = wavelet.WaveletMatrix.build(ids, 17)
+    assert m.decode().tolist() == ids.tolist() and m.count(5) == 2 and m.places(65536).tolist() == [2]
+    with pytest.raises(ValueError, match="70000 does not fit 16"):
+        wavelet.WaveletMatrix.build(ids, 16)
+    docs = spark.createDataFrame([(1, "one two"), (2, "three <|endoftext|> four")], "doc_id long, text string")
+    wavelet.write_token_shards(docs, str(tmp_path / "w"), default_vocabulary(), end_id=100_000)
+    blocks = wavelet.read_token_shards(spark, str(tmp_path / "w"))
+    assert {r.bits for r in blocks.select("bits").collect()} == {17}
+    assert [(r.token, r.n) for r in wavelet.count_tokens(blocks, [100_000, 100_000 - (1 << 16)]).orderBy("token").collect()] == [(34464, 0), (100_000, 2)]
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 3000])
 def test_wavelet_matrix(n):
     rng = np.random.default_rng(n)
