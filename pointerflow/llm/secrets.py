@@ -28,6 +28,11 @@ _GAP = r"(?:\s|\\n)*+"
 PRIVATE_KEY = re.compile(rf"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?:{_GAP}[A-Za-z0-9+/=]{{16,}}+)*+(?:{_GAP}[A-Za-z0-9+/=]++(?={_GAP}-----END))?+)(?:{_GAP}-----END \1-----)?+")
 JWT = re.compile(r"(?<![A-Za-z0-9_=-])eyJ[A-Za-z0-9_=-]{8,}\.[A-Za-z0-9_=-]{8,}\.[A-Za-z0-9_+/=-]{8,}")
 PREFIXED = re.compile(r"(?<![A-Za-z0-9])(?:ghp|gho|ghs|xoxb|xoxp|sk|pk|rk|glpat)[-_]([A-Za-z0-9_-]{16,})")
+#: An opaque string has no ``/`` and no ``.``, and some part without ``-`` and
+#: ``_`` in which digits and letters of both cases mix: words joined by marks,
+#: as links and paths have them, are none.
+OPAQUE = re.compile(r"[A-Za-z0-9+_=-]{24,}")
+UNBROKEN = re.compile(r"[A-Za-z0-9+]{16,}")
 #: Bits a character that an opaque token needs, and a prefixed key.
 ENTROPY, KEY_ENTROPY = 3.5, 3.0
 
@@ -54,6 +59,11 @@ def _random(value: str, least: int, entropy: float) -> bool:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) >= entropy
 
 
+def _opaque(value: str) -> bool:
+    mixed = lambda part: any(map(str.isdigit, part)) and any(map(str.islower, part)) and any(map(str.isupper, part))
+    return _random(value, 24, ENTROPY) and any(mixed(m[0]) for m in UNBROKEN.finditer(value))
+
+
 def scan(text: str) -> tuple[list, list]:
     """Base spans and candidates for added ones, each ordered by start and kind.
 
@@ -68,7 +78,9 @@ def scan(text: str) -> tuple[list, list]:
         base += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text, a, b)]
         found = [(m.start(), 4, m.end(), m[0]) for m in JWT.finditer(text, a, b)] if text.find("eyJ", a, b) >= 0 else []
         found += [(m.start(), 5, m.end(), m[0]) for m in PREFIXED.finditer(text, a, b) if _random(m[1], 16, KEY_ENTROPY)]
-        more += found or ([(a, 6, b, run[0])] if _random(run[0], 24, ENTROPY) else [])
+        if not found and run[0][0] != "/" and "//" not in run[0]:  # a link or a path is no secret
+            found = [(m.start(), 6, m.end(), m[0]) for m in OPAQUE.finditer(text, a, b) if _opaque(m[0])]
+        more += found
     base.sort()
     return base, sorted(keys + _uncovered(more, base + keys)) if more else keys
 

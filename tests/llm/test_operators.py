@@ -461,6 +461,37 @@ def test_added_spans(spark):
     assert all(r.n_chars == len(r.text) for r in clean.values())
 
 
+LINKS = [
+    "Read more at https://example0.org/blog/2024/some-Long-Article-Title-0/index0.html today.", "//x.org/a/b/Some-Long-Path-Name-2024-Part1/page1.html", "in /usr/local/lib/python3.13/site-packages/numpy and src/main/Java17/MyVeryLongClassName.java",
+    "https://docs.example.org/d/1aB2cD3eF4gH5iJ6kL7mN8oP9qR/edit see a-Very-Long-Slug-With-2024-In-It-And-More", "v1.2.3-Beta4-SNAPSHOT-20240102 www.Example2.com/A1/B2/C3/D4/E5/F6/G7/H8",
+]
+
+
+def test_links_and_paths_are_no_secrets(spark):
+    df = spark.createDataFrame([(i, t, "o", len(t)) for i, t in enumerate(LINKS)], "doc_id long, text string, source string, n_chars int")
+    assert {r.spans for r in secrets.find_secrets(df).collect()} == {""}
+    assert sorted(r.text for r in secrets.redact_secrets(df).collect()) == sorted(LINKS)
+
+
+def test_ownership_of_opaque_strings(spark):
+    """Against brute force: each value's spans count where few own it."""
+    rnd = random.Random(8)
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789"
+    values = ["".join(rnd.sample(letters, 30)) for _ in range(12)]
+    rows = [(i, f"{i} use {values[i % 12]} at {rnd.choice(LINKS)} or {values[i % 5]}", f"o{rnd.randint(0, i % 12 // 3)}") for i in range(240)]
+    held = defaultdict(set)
+    for _, text, owner in rows:
+        for v in values:
+            if v in text:
+                held[v].add((owner, text))
+    owned = {v for v in values if len({o for o, _ in held[v]}) <= 2 and len(held[v]) <= 20}
+    assert owned and len(owned) < len(values)
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for i, text, _ in rows:
+        spans = sorted((m.start(), m.end()) for v in owned for m in re.finditer(v, text))
+        assert got[i] == ",".join(f"opaque:{a}:{b}" for a, b in spans)
+
+
 def test_key_bodies_are_told_apart(spark):
     """The same header in many sources is no shared example; the same body is."""
     own = lambda i: KEY.replace("MII", f"K{i:02d}")
