@@ -4,10 +4,10 @@ Frequent words, then frequent phrases are found the same way.  Every task makes
 a summary of the hashed n-grams it reads; summaries are dealt out by hash and
 merged a hash partition at a time: counters of equal keys are added, and beyond
 the capacity the greatest count that has no room is taken off all of them.  The
-capacity exceeds the partition's occurrences divided by the threshold, so what
-has been taken off stays below the threshold, and whatever is frequent keeps a
-counter or reaches the threshold with what was taken off.  Hashes that fall
-together only add to a count.  What survives marks the bits of a filter of
+capacity exceeds the partition's occurrences divided by the threshold (ten times,
+so that few others survive), so what has been taken off stays below the
+threshold, and whatever is frequent keeps a counter that reaches the threshold
+with what was taken off.  Hashes that fall together only add to a count.  What survives marks the bits of a filter of
 bounded size; the second pass counts the words and phrases that the filter lets
 through exactly, by their letters.
 """
@@ -30,7 +30,10 @@ from .common import map_batches, saved, small
 
 LONGEST = 5
 #: Keys a task holds before it writes its summary, and counted phrases.
-HELD_KEYS, HELD_PHRASES = 4_000_000, 200_000
+HELD_KEYS, HELD_PHRASES = 4_000_000, 500_000
+#: Counters of a summary for each threshold's worth of occurrences: what is taken
+#: off a counter stays below a tenth of the threshold.
+ROOM = 10
 #: Bits of a filter: so many for each survivor, within these bounds (32 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 28
 
@@ -213,7 +216,7 @@ def _survivors(texts: DataFrame, lengths: range, known: list[Filter], threshold:
                 if kind == 0:
                     mass += more
                     continue
-                summary = summary or Summary(mass // threshold + 1)
+                summary = summary or Summary(ROOM * mass // threshold + 1)
                 summary.add(np.frombuffer(keys, "<u4"), np.frombuffer(counts, "<u4").astype(np.int64))
             if summary is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([summary.survivors(threshold).astype("<u4").tobytes()], pa.binary())], schema=schema)
@@ -245,15 +248,17 @@ def _filter(found: DataFrame, parts: int) -> Filter:
     return Filter(parts, span, found.sparkSession.sparkContext.broadcast(bytes(whole)))
 
 
-def _counted(texts: DataFrame, known: list[Filter], longer: Filter) -> DataFrame:
+def _counted(texts: DataFrame, known: list[Filter], longer: Filter, threshold: int, parts: int) -> DataFrame:
     """lang, size, phrase and n: exact occurrences of every word and phrase that
-    the filters let through; size 0 has all words of a language."""
-    schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+    the filters let through and that reach the threshold; size 0 has all words
+    of a language.  A task tells each hash partition all its counts in one row."""
+    counts = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("n", pa.int64())])
+    partial = pa.schema([("part", pa.int32()), ("counts", pa.list_(pa.struct(list(counts))))])
 
-    def in_batch(words: Words) -> Iterator[tuple[tuple[str, int, bytes], int]]:
+    def in_batch(words: Words) -> Iterator[tuple[tuple[int, str, int, bytes], int]]:
         many = max(len(words.names), 1)
         for lang, n in enumerate(np.bincount(words.lang, minlength=len(words.langs)).tolist()):
-            yield (words.langs[lang], 0, b""), n
+            yield (0, words.langs[lang], 0, b""), n
         for n, keys, passed in _windows(words, known):
             at = np.flatnonzero(passed)
             if n > len(known):
@@ -261,19 +266,22 @@ def _counted(texts: DataFrame, known: list[Filter], longer: Filter) -> DataFrame
             code = words.lang[at] * many + words.ids[at]
             for j in range(1, n):  # equal codes mean equal phrases, not just equal hashes
                 code = np.unique(code, return_inverse=True)[1] * many + words.ids[at + j]
-            _, first, counts = np.unique(code, return_index=True, return_counts=True)
-            for i, count in zip(at[first].tolist(), counts.tolist()):
-                yield (words.langs[words.lang[i]], n, b" ".join(words.names[k] for k in words.ids[i : i + n].tolist())), count
+            _, first, found = np.unique(code, return_index=True, return_counts=True)
+            at = at[first]
+            for i, part, count in zip(at.tolist(), _placed(keys[at], parts)[0].tolist(), found.tolist()):
+                yield (part, words.langs[words.lang[i]], n, b" ".join(words.names[k] for k in words.ids[i : i + n].tolist())), count
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
         def written() -> pa.RecordBatch:
-            names, counts = zip(*held.items())
-            langs, sizes, phrases = zip(*names)
+            each = sorted(held.items(), key=lambda e: e[0][0])
             held.clear()
-            columns = (langs, sizes, pa.array(phrases, pa.binary()).cast(pa.string()), counts)
-            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            part, langs, sizes, phrases = zip(*(name for name, _ in each))
+            there, heads = np.unique(part, return_index=True)
+            flat = pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array([n for _, n in each], pa.int64())], fields=list(counts))
+            lists = pa.ListArray.from_arrays(pa.array([*heads.tolist(), len(each)], pa.int32()), flat)
+            return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), lists.cast(partial.field("counts").type)], schema=partial)
 
         for batch in batches:
             if batch.num_rows:
@@ -284,8 +292,22 @@ def _counted(texts: DataFrame, known: list[Filter], longer: Filter) -> DataFrame
         if held:
             yield written()
 
-    parts = map_batches(texts, rows, "lang string, size int, phrase string, n long")
-    return parts.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The counts of a partition stand side by side."""
+        lists = ((part, batch.column("counts")[i].values) for batch in batches for i, part in enumerate(batch.column("part").to_pylist()))
+        for _, of in groupby(lists, key=lambda x: x[0]):
+            total: Counter = Counter()
+            for _, flat in of:
+                *names, n = (column.to_pylist() for column in flat.flatten())
+                for name, k in zip(zip(*names), n):
+                    total[name] += k
+            kept = [(*name, n) for name, n in total.items() if n >= threshold or not name[1]]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept), counts)], schema=counts)
+
+    made = map_batches(texts, rows, "part int, counts array<struct<lang:string,size:int,phrase:string,n:long>>")
+    dealt = made.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
+    return map_batches(dealt, summed, "lang string, size int, phrase string, n long")
 
 
 def frequent_phrases(docs: DataFrame, threshold: int = 100, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -301,8 +323,7 @@ def frequent_phrases(docs: DataFrame, threshold: int = 100, text_col: str = "tex
     for lengths in (range(1, 2), range(2, 3)):
         known.append(_filter(_survivors(texts, lengths, known, threshold, parts), parts))
     longer = _filter(_survivors(texts, range(3, LONGEST + 1), known, threshold, parts), parts)
-    counts = _counted(texts, known, longer).where((F.col("n") >= threshold) | (F.col("size") == 0))
-    return saved(counts, "phrase-counts")
+    return saved(_counted(texts, known, longer, threshold, parts), "phrase-counts")
 
 
 def _scored(counts: DataFrame) -> DataFrame:
