@@ -17,6 +17,7 @@ from ..operators import analysis as an
 from ..operators import calibrate as th
 from ..operators import events as ev
 from ..operators import features as fe
+from ..operators import folds as fo
 from ..operators import metrics as rm
 from ..operators import preprocess as pr
 from ..operators import sequences as sq
@@ -151,6 +152,14 @@ def split_of(s, d):
     return sp.split_participants(ev.with_participant_id(fx.events(s, d)), 0.8, 7)
 
 
+@query("pf7_check_columns", sql("WITH " + o.EVENTS, "#n=count(*);#clicks=count(*) FILTER (WHERE is_click)", "FROM ev"))
+def _(s, d):
+    """Events whose required columns are all there."""
+    e = fx.events(s, d)
+    sp.check_columns(e, ["session_key", "t", "x", "y", "is_click"])
+    return e.agg(F.count("*").alias("n"), F.count_if("is_click").alias("clicks"))
+
+
 @query("pf8_check_disjoint", sql(_SPLIT, "sides='split';#overlap=count(*)", "FROM (SELECT participant_id FROM sl WHERE split = 'train' INTERSECT SELECT participant_id FROM sl WHERE split = 'test') UNION ALL SELECT 'modules', count(*) FROM (SELECT participant FROM ev WHERE module = 'behavior_RESS' INTERSECT SELECT participant FROM ev WHERE module = 'behavior_EADS')"))
 def _(s, d):
     """The sides of a split, which share nobody, and two modules, which do."""
@@ -589,6 +598,52 @@ def _(s, d):
     return pr.fit_scaling(pr.transform_features(pr.handle_missing(features_of(s, d))), selected=True)
 
 
+_FOLD = ", pe AS (SELECT DISTINCT participant AS participant_id FROM ev), fo AS (SELECT participant_id, ntile(3) OVER (ORDER BY md5('7|' || participant_id), participant_id) - 1 AS fold FROM pe)"
+
+
+def _round_of(i: int, held: str, rest: str) -> str:
+    """The fit of one round by itself: fold ``i`` is left out before anything is
+    learnt; ``held`` has the rows of ``held``."""
+    rows = lambda compare: f"FROM (SELECT ft.* FROM ft JOIN fo USING (participant_id) WHERE fold {compare} {i})"
+    held_out = (_HM + _TF).replace("hm AS", "hh AS").replace("FROM hm", "FROM hh").replace("tf AS", "held AS").replace("FROM ft", rows(held))
+    return o.FEATURES + _FOLD + _HM.replace("FROM ft", rows("<>")) + _TF + _SC + held_out + " " + rest
+
+
+def _all_rounds(held: str, rest: str) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({_round_of(i, held, rest.format(i=i))})" for i in range(3))
+
+
+def folds_of(s, d):
+    path = scratch(s, "features-in-folds")
+    fo.folds_ready(features_of(s, d), 3, 7).write.parquet(path)
+    return s.read.parquet(path)
+
+
+@query("pr11_fit_all_folds", sql("", "#round;feature;method;~center;~scale;~low;~high", f"FROM ({_all_rounds('=', 'SELECT {i} AS round, * FROM sc1')})"))
+def _(s, d):
+    """Each round's fit from states of the folds, against separate fits."""
+    return fo.fit_all_folds(folds_of(s, d), 3)
+
+
+_CT_ROUNDS = " UNION ALL ".join(f"SELECT * FROM ({o.FEATURES + _FOLD + _HM.replace('FROM ft', f'FROM (SELECT ft.* FROM ft JOIN fo USING (participant_id) WHERE fold <> {i})') + _TF + _CT} SELECT {i} AS round, category, id FROM ct)" for i in range(3))
+
+
+@query("pr4_fit_all_folds", sql("", "#round;category;#id", f"FROM ({_CT_ROUNDS})"))
+def _(s, d):
+    return fo.fit_all_categories(folds_of(s, d), 3)
+
+
+_HELD = "SELECT {i} AS round, session_key, action_idx" + "".join(f", ({c} - (SELECT center FROM sc1 WHERE feature = '{c}' AND method = '{m}')) / (SELECT scale FROM sc1 WHERE feature = '{c}' AND method = '{m}') AS {c}" for c, m in (("cursor_speed", "standard"), ("action_duration", "standard"), ("straightness", "minmax"), ("self_intersections", "robust"))) + " FROM held"
+
+
+@query("pr11_transform_held_out", sql("", "#round;session_key;#action_idx;~cursor_speed;~action_duration;~straightness;~self_intersections", f"FROM ({_all_rounds('=', _HELD)})"))
+def _(s, d):
+    """Every row once, in the round that holds it out."""
+    names = ("session_key", "action_idx", "cursor_speed", "action_duration", "straightness", "self_intersections")
+    held = [h.select(F.lit(i).alias("round"), *names) for i, _, h in fo.rounds(folds_of(s, d), 3)]
+    return held[0].union(held[1]).union(held[2])
+
+
 @query("pr10_pr11_transform", sql(o.FEATURES + _HM + _TF + _SC, "session_key;#action_idx;" + ";".join(f"~{c}=({c} - (SELECT center FROM sc1 WHERE feature = '{c}' AND method = '{m}')) / (SELECT scale FROM sc1 WHERE feature = '{c}' AND method = '{m}')" for c, m in (("cursor_speed", "standard"), ("acceleration_mean", "standard"), ("action_duration", "standard"), ("straightness", "minmax"), ("self_intersections", "robust"))), "FROM tc"))
 def _(s, d):
     path = scratch(s, "features")
@@ -658,6 +713,19 @@ def _(s, d):
     return _flat(sequences_of(s, d, "pre", "pre"))
 
 
+_SQ3 = sorted((*(c for c in pr.STANDARD), *pr.DURATIONS, *pr.MINMAX, "self_intersections"))
+
+
+@query("sq3_continuous_columns", sql(o.FEATURES + _HM + _TF, "column_name=c;#place=p;~total=t", "FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, {i} AS p, sum({c}) AS t FROM tf" for i, c in enumerate(_SQ3)) + ")"))
+def _(s, d):
+    """The numbers a model reads, by name, and what they add up to."""
+    f = pr.transform_features(pr.handle_missing(features_of(s, d)))
+    numbers = f.select(*sorted(c for c in f.columns if c not in ("x", "y", "x_raw", "y_raw", "action_idx", "has_kinematics", "has_duration")))
+    names = sq.continuous_columns(numbers, ["module_id", "action_type", "dom_element_type"])
+    totals = f.agg(*(F.sum(F.coalesce(c, F.lit(0))).cast("double").alias(c) for c in names))
+    return totals.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(i).alias("place"), F.col(c).alias("total")) for i, c in enumerate(names)))))
+
+
 @query("sq4_mask", sql(_SQ.format(desc=""), "session_key;#valid=count(*)", "FROM sq1 GROUP BY session_key"))
 def _(s, d):
     return sequences_of(s, d).select("session_key", F.size(F.filter(sq.mask("action_code"), lambda v: v)).alias("valid"))
