@@ -49,66 +49,53 @@ def source_table(sized: DataFrame) -> DataFrame:
 
 def entropy_rates(sized: DataFrame, sources: DataFrame, most: float = MOST, tolerance: float = 1e-9, rounds: int = 60) -> DataFrame:
     """source, size, rate: the rates closest in entropy to one for all documents
-    that meet each source's constraints.
-
-    The constraints of a source are its tokens (``target``) and its documents
-    (``n * target / source_size``).  The optimum is ``min(most, exp(a + b z))``
-    with ``z`` the size over the source's mean size; ``a`` and ``b`` are the
-    dual's variables.  A Newton round sums gradient, Hessian and the dual's value,
-    by which steps that go too far are halved, over distinct (source, size) pairs, which all documents of equal size share, and moves
-    every source at once; the driver sees a few numbers a source.  The second
-    constraint keeps a source's long and short documents in proportion, as the
-    first alone would tilt towards one of them.
-    As both have the same ratio, the optimum is ``b = 0`` and one rate a source,
-    ``target / source_size``.  If ``rounds`` do not meet the constraints of a
-    source, an error names it.
+    that meet each source's tokens (``target``).
+
+    The optimum is ``min(most, exp(b z))`` with ``z`` the size over the source's
+    mean size and ``b`` the dual's variable: a source that is to give more than
+    it has tilts towards its long documents, one that is to give less towards
+    its short ones.  A Newton round sums the tokens that ``b`` gives and their
+    slope over distinct (source, size) pairs, which all documents of equal size
+    share, and moves every source at once; the driver sees a few numbers a
+    source.  Tokens only grow with ``b``, so the values tried enclose the
+    solution, and a step that leaves them, or goes further than doubles ``b``,
+    is shortened.  If ``rounds`` do not meet the tokens of a source, an error
+    names it.
     """
     spark = sized.sparkSession
     pairs = saved(sized.groupBy("source", "size").agg(F.count("*").alias("c")).where("size > 0"), "mixing-sizes")
     at = {r.source: r for r in sources.collect() if r.source_size}
-    dual = {s: (0.0, 0.0) for s in at}
-    last: dict[str | None, tuple[float, float, float, float, float]] = {}  # dual value, point and step of the round before
     full = {s for s, r in at.items() if r.target >= most * r.source_size * (1 - 1e-12)}
     open_ = set(at) - full
     counts = {r.source: r.n for r in pairs.groupBy("source").agg(F.sum("c").alias("n")).collect()}
+    dual = dict.fromkeys(at, 0.0)
+    around = {s: [-math.inf, math.inf] for s in at}
 
     def with_dual() -> DataFrame:
-        table = spark.createDataFrame([(s, float(at[s].source_size) / counts[s], *(dual[s] if s not in full else (50.0, 0.0))) for s in at] or [(None, 1.0, 0.0, 0.0)], "s string, mean double, a double, b double")
+        table = spark.createDataFrame([(s, float(at[s].source_size) / counts[s], dual[s], s in full) for s in at] or [(None, 1.0, 0.0, True)], "s string, mean double, b double, full boolean")
         joined = pairs.join(small(table, len(at)), pairs.source.eqNullSafe(table.s)).withColumn("z", F.col("size") / F.col("mean"))
-        x = F.col("a") + F.col("b") * F.col("z")
-        return joined.withColumn("free", x < math.log(most)).withColumn("rate", F.when(F.col("free"), F.exp(x)).otherwise(F.lit(most)))
+        x = F.col("b") * F.col("z")
+        return joined.withColumn("free", ~F.col("full") & (x < math.log(most))).withColumn("rate", F.when(F.col("free"), F.exp(x)).otherwise(F.lit(most)))
 
     for _ in range(rounds):
         if not open_:
             break
-        inner = F.when(F.col("free"), F.col("rate") * F.col("c")).otherwise(0.0)
-        area = F.col("rate") + F.when(F.col("free"), 0.0).otherwise(most * (F.col("a") + F.col("b") * F.col("z") - math.log(most)))  # under the rate, as a function of the exponent
-        sums = with_dual().groupBy("source").agg(
-            F.sum(F.col("rate") * F.col("c")).alias("g0"), F.sum(F.col("rate") * F.col("c") * F.col("z")).alias("g1"),
-            F.sum(inner).alias("h00"), F.sum(inner * F.col("z")).alias("h01"), F.sum(inner * F.col("z") * F.col("z")).alias("h11"), F.sum(area * F.col("c")).alias("area"),
-        ).collect()
+        tokens = F.col("rate") * F.col("c") * F.col("z")
+        sums = with_dual().groupBy("source").agg(F.sum(tokens).alias("given"), F.sum(F.when(F.col("free"), tokens * F.col("z")).otherwise(0.0)).alias("slope")).collect()
         for r in sums:
             if r.source not in open_:
                 continue
-            goal = counts[r.source] * at[r.source].target / at[r.source].source_size  # of both, as z has mean one
-            e0, e1 = goal - r.g0, goal - r.g1
-            if abs(e1) <= tolerance * goal and abs(e0) <= tolerance * goal:
+            goal = counts[r.source] * at[r.source].target / at[r.source].source_size  # z has mean one
+            short, b = goal - r.given, dual[r.source]
+            if abs(short) <= tolerance * goal:
                 open_.discard(r.source)
                 continue
-            a, b = dual[r.source]
-            value = goal * (a + b) - r.area
-            if r.source in last and value < last[r.source][0] - 1e-12 * abs(value):  # too far: half the step from the point before
-                was, a, b, da, db = last[r.source]
-                last[r.source] = (was, a, b, da / 2, db / 2)
-                dual[r.source] = (a + da / 2, b + db / 2)
-                continue
-            ridge = 1e-9 * (r.h00 + r.h11) + 1e-12
-            h00, h11 = r.h00 + ridge, r.h11 + ridge
-            det = h00 * h11 - r.h01 * r.h01
-            da, db = (h11 * e0 - r.h01 * e1) / det, (h00 * e1 - r.h01 * e0) / det
-            step = min(1.0, 1.0 / max(abs(da), abs(db), 1e-12))  # exponents move by one at most
-            last[r.source] = (value, a, b, step * da, step * db)
-            dual[r.source] = (a + step * da, b + step * db)
+            around[r.source][short < 0] = b
+            low, high = around[r.source]
+            furthest = max(1.0, abs(b))
+            step = short / r.slope if r.slope else math.copysign(math.inf, short)
+            b += max(-furthest, min(furthest, step))
+            dual[r.source] = b if low < b < high else (low + high) / 2
     if open_:
         raise RuntimeError(f"no rates after {rounds} rounds for sources {sorted(map(str, open_))[:10]}")
     return with_dual().select("source", "size", "rate")

@@ -382,6 +382,28 @@ def test_entropy_rates_meet_constraints(spark):
     rates = {(r.source, r.size): r.rate for r in mixing.entropy_rates(sized, sources).collect()}
     assert sum(rates[r] * r[1] for r in rows[:199]) == pytest.approx(30000, rel=1e-6)
     assert rates["b", 7] == pytest.approx(100 / 350)
+    tilt = {k: v for k, v in rates.items() if k[0] == "a" and v < 2}
+    b = np.log(rates["a", 1]) / 1
+    assert b > 0 and len(tilt) > 20 and all(v == pytest.approx(np.exp(b * k[1])) for k, v in tilt.items())  # exponential in the size
+    assert all(rates["a", s] == 2 for s in range(1, 200) if b * s > np.log(2) + 1e-9)
+
+
+def test_entropy_rates_are_the_optimum(spark):
+    """No other rates that give the same tokens are closer in entropy to one."""
+    sizes, target = [3, 5, 5, 9, 40, 120], 210.0
+    sized = spark.createDataFrame([("a", s) for s in sizes], "source string, size long")
+    sources = spark.createDataFrame([("a", sum(sizes), len(sizes), target)], "source string, source_size long, n long, target double")
+    rates = {r["size"]: r.rate for r in mixing.entropy_rates(sized, sources).collect()}
+    w = np.array([rates[s] for s in sizes])
+    divergence = lambda w: float((w * np.log(w) - w + 1).sum())
+    rng = np.random.default_rng(0)
+    for _ in range(2000):
+        d = rng.normal(size=len(sizes)) * 0.02
+        d -= np.array(sizes) * (d @ sizes) / (np.array(sizes) @ sizes)  # the tokens stay
+        other = w + d
+        if (other > 0).all() and (other <= 2).all():
+            assert divergence(other) >= divergence(w) - 1e-12
+    assert w @ sizes == pytest.approx(target)
 
 
 def test_op4_hard_rows(hard, empty):
@@ -550,8 +572,11 @@ def test_newton_meets_targets_next_to_the_limit(spark):
     ratio = {"a": 1.97, "b": 1.999, "c": 1.6, "d": 0.01}
     sized = spark.createDataFrame([(k, s) for k, v in sizes.items() for s in v], "source string, size long")
     sources = spark.createDataFrame([(k, sum(v), len(v), ratio[k] * sum(v)) for k, v in sizes.items()], "source string, source_size long, n long, target double")
+    given = Counter()
     for r in mixing.entropy_rates(sized, sources).collect():
-        assert r.rate == pytest.approx(ratio[r.source], rel=1e-5)
+        assert 0 < r.rate <= 2
+        given[r.source] += r.rate * r["size"] * sizes[r.source].count(r["size"])
+    assert all(given[k] == pytest.approx(ratio[k] * sum(v), rel=1e-6) for k, v in sizes.items())
 
 
 def test_newton_reports_failure(spark):
