@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip, log1p_clip, null_nonfinite, quantiles
+from .correlate import correlations
 from .features import KINEMATIC
 from .quantiles import quantiles_by_column
 
@@ -197,11 +198,17 @@ def transform(df: DataFrame, params: DataFrame, categories: DataFrame, drop_xy:
     return apply_scaling(apply_categories(transform_features(handle_missing(df)), categories), params, drop_xy)
 
 
-def correlation_filter(df: DataFrame, columns: list[str], threshold: float = 0.9) -> DataFrame:
-    """column_b, how many earlier columns it is too close to, and its worst."""
-    pairs = list(combinations(columns, 2))
-    rows = df.agg(F.array(*(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.abs(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))).alias("r")) for a, b in pairs)).alias("all"))
-    return rows.select(F.explode("all").alias("p")).select("p.*").withColumn("dropped", F.coalesce(F.col("r") > threshold, F.lit(False)))
+def correlation_filter(df: DataFrame, columns: list[str], threshold: float = 0.9, blocks: bool = False) -> DataFrame:
+    """column_a, column_b, the size of their correlation, and whether the second
+    is too close to the first; for very many columns from ``blocks`` of
+    co-moments instead of an aggregate a pair."""
+    if blocks:
+        found = correlations(df, columns).select("column_a", "column_b", F.abs("r").alias("r"))
+    else:
+        pairs = list(combinations(columns, 2))
+        rows = df.agg(F.array(*(F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.abs(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))).alias("r")) for a, b in pairs)).alias("all"))
+        found = rows.select(F.explode("all").alias("p")).select("p.*")
+    return found.withColumn("dropped", F.coalesce(F.col("r") > threshold, F.lit(False)))
 
 
 def uncorrelated(pairs: DataFrame, columns: list[str]) -> list[str]:

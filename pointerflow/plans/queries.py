@@ -661,6 +661,11 @@ def _(s, d):
     return pr.correlation_filter(fx.table(s, d, "lineitem"), list(_COR))
 
 
+@query("pr12_correlation_filter_by_blocks", ORACLE_SQL["pr12_correlation_filter"])
+def _(s, d):
+    return pr.correlation_filter(fx.table(s, d, "lineitem"), list(_COR), blocks=True)
+
+
 @query("pr13_standardize_embeddings", sql("WITH lo AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings), sd AS (SELECT dim, avg(v) AS m, stddev_pop(v) AS s FROM lo WHERE label < 7 GROUP BY dim)", "#vec_id;#dim;~z=(v - m) / CASE WHEN s = 0 THEN 1 ELSE s END", "FROM lo JOIN sd USING (dim)"))
 def _(s, d):
     e = fx.table(s, d, "embeddings")
