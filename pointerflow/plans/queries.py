@@ -20,6 +20,7 @@ from ..operators import features as fe
 from ..operators import folds as fo
 from ..operators import metrics as rm
 from ..operators import preprocess as pr
+from ..operators import reports as rp
 from ..operators import sequences as sq
 from ..operators import split as sp
 from ..operators import stats as st
@@ -1123,6 +1124,24 @@ def _(s, d):
     return s.read.schema("module string, sessions bigint").json(path)
 
 
+@query("io9_truncation_report", sql(_TP, "#report_sessions=(SELECT count(*) FROM sm);#report_removed=(SELECT sum(steps_removed) FROM sm);#groups=2;#place=row_number() OVER (ORDER BY steps_removed DESC, truncated DESC, participant_id) - 1;" + _TPC, "FROM (SELECT * FROM tp ORDER BY steps_removed DESC, truncated DESC, participant_id LIMIT 10)"))
+def _(s, d):
+    """A nested report, written as JSON and read again: its top participants."""
+    path, report = scratch(s, "truncation-report"), rp.truncation_report(fx.session_metrics(s, d), 150)
+    io.write_report(report, path, "json")
+    got = s.read.schema(report.schema).json(path)
+    return got.select(F.col("sessions").alias("report_sessions"), F.col("steps_removed").alias("report_removed"), F.size("session_groups").alias("groups"), F.posexplode("top_participants").alias("place", "p")).select("report_sessions", "report_removed", "groups", "place", "p.*")
+
+
+@query("io9_reconstruction_report", sql(o.METRICS, "#report_sessions=(SELECT count(*) FROM sm);#report_people=(SELECT count(DISTINCT participant_id) FROM sm);#report_mismatches=0;~report_improvement=(SELECT avg(improvement_pct) FROM sm);module;#sessions=count(*);~improvement_mean=avg(improvement_pct);~mse_model_mean=avg(mse_model)", "FROM sm GROUP BY module"))
+def _(s, d):
+    path, report = scratch(s, "reconstruction-report"), rp.reconstruction_report(fx.session_metrics(s, d), rm.feature_metrics(fx.predictions(s, d)))
+    io.write_report(report, path, "json")
+    got = s.read.schema(report.schema).json(path)
+    head = (F.col("sessions").alias("report_sessions"), F.col("participants").alias("report_people"), F.col("participant_id_mismatches").alias("report_mismatches"), F.col("improvement_mean").alias("report_improvement"))
+    return got.select(*head, F.explode("modules").alias("m")).select(*(f"report_{c}" for c in ("sessions", "people", "mismatches", "improvement")), "m.module", "m.sessions", "m.improvement_mean", "m.mse_model_mean")
+
+
 @query("io10_embeddings_csv", sql("", "#vec_id;" + ";".join(f"~emb_{j}=embedding[{j + 1}]" for j in range(64)), "FROM embeddings"))
 def _(s, d):
     path = scratch(s, "embeddings")
