@@ -24,10 +24,12 @@ from .ranges import Ranges, before, key_of, small
 LONG = 1_000_000
 
 
-def long_sequences(events: DataFrame, most: int = LONG) -> DataFrame:
-    """The keys of sequences with more than ``most`` events, written once."""
+def long_sequences(events: DataFrame, most: int = LONG) -> DataFrame | None:
+    """The keys of sequences with more than ``most`` events, written once; None
+    if there are none, which one count by key tells."""
     keys = recorded_by(events)
-    return saved(events.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key_of(keys).alias("long_key")), "long-sequences")
+    long = events.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(key_of(keys).alias("long_key"))
+    return None if long.isEmpty() else saved(long, "long-sequences")
 
 
 def apart(events: DataFrame, long: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +82,7 @@ def cut_deltas(events: DataFrame, is_pause: Callable[[], Column], parts: int | N
 def deltas_of(events: DataFrame, is_pause: Callable[[], Column], most: int = LONG) -> list[DataFrame]:
     """Deltas of the short sequences and, if there are any, of the long ones."""
     long = long_sequences(events, most)
-    if not long.count():
+    if long is None:
         return [with_deltas(events)]
     short, far = apart(events, long)
     return [with_deltas(short), cut_deltas(far, is_pause)]
