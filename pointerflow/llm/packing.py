@@ -64,7 +64,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, seq_len: int = 2048, end_id
     ``partition * 2**32``.
 
     Null and empty texts are documents of the end id alone.  A repeated row or
-    id is packed as often as it occurs.  An empty table gives no rows.
+    id is packed as often as it occurs.  An empty table gives no rows.  Of a very
+    long text all ids are in memory at once, some 40 bytes a token.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -162,7 +162,8 @@ def find_secrets(docs: DataFrame, max_owners: int = 2, max_repositories: int = 2
     ``max_owners`` owners and ``max_repositories`` different texts hold them;
     what many copy is an example.  ``n_owned`` and ``n_shared`` separate all
     candidates in that way.  Null and empty texts have no spans; a null owner is
-    an owner like any other; repeated rows are scanned each.
+    an owner like any other; repeated rows are scanned each.  A very long text
+    is scanned whole, in time that follows its length.
     """
     found = scanned(docs, id_col, text_col, owner_col)
     spans = _spans(found, max_owners, max_repositories)

@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col: str = "doc_id", tex
     compared once, so copies cost nothing; hot keys are divided, not capped.
     Null and empty texts have the fingerprint zero and link like any other.
     Rows with a null id link and bridge like any other, but name a component
-    only if nothing else does (then null).  An empty table gives no rows.
+    only if nothing else does (then null).  An empty table gives no rows.  Of a
+    very long text all words and the hashes of its shingles are in memory at once.
     """
     fps = saved(fingerprints(docs, words, id_col, text_col), "simhash")
     reps = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct").withColumn("rep", F.col("fp"))
