@@ -141,11 +141,11 @@ class _Boxes:
         return (low <= high).all(0) & ~flat.any(0)
 
 
-def count_crossings(x: np.ndarray, y: np.ndarray, few: int = 1024, at_once: int = 1 << 18) -> int:
+def count_crossings(x: np.ndarray, y: np.ndarray, few: int = 1024, block: int = 1 << 18) -> int:
     """Strictly crossing pairs of non-adjacent segments of a polyline.
 
     Up to ``few`` segments all pairs are compared.  Longer paths are compared
-    with themselves down a tree of boxes, ``at_once`` pairs of boxes a step, so
+    with themselves down a tree of boxes, ``block`` pairs of boxes a step, so
     the work follows the pairs that are close to each other and memory stays
     bounded.  (Segments of one slanted line that lie apart, which rounding could
     make cross where all pairs are compared, never do so there.)
@@ -171,7 +171,7 @@ def count_crossings(x: np.ndarray, y: np.ndarray, few: int = 1024, at_once: int
         i, j = np.concatenate([2 * i, 2 * i, 2 * i + 1, 2 * i + 1]), np.concatenate([2 * j, 2 * j + 1, 2 * j, 2 * j + 1])
         there = (i <= j) & (j < boxes.levels[level - 1].shape[1])
         i, j = i[there], j[there]
-        waiting += [(level - 1, i[k : k + at_once], j[k : k + at_once]) for k in range(0, len(i), at_once)]
+        waiting += [(level - 1, i[k : k + block], j[k : k + block]) for k in range(0, len(i), block)]
     return total
 
 

@@ -195,7 +195,7 @@ def test_crossings_of_long_paths():
     for k in range(120):
         n = int(rng.integers(1, 200))
         x, y = (rng.normal(size=n).cumsum(), rng.normal(size=n).cumsum()) if k % 2 else (rng.integers(0, 9, n).astype(float), rng.integers(0, 9, n).astype(float))
-        assert count_crossings(x, y, few=0, at_once=40) == count_crossings(x, y, few=1000)
+        assert count_crossings(x, y, few=0, block=40) == count_crossings(x, y, few=1000)
     turn = np.arange(100_001) / 50
     assert count_crossings(turn * np.cos(turn), turn * np.sin(turn)) == 0
     assert count_crossings(np.append(np.arange(50_000.0), 25_000.5), np.append(np.zeros(50_000), 1.0)) == 0
