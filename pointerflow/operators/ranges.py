@@ -50,14 +50,14 @@ class Ranges:
         self.by, self.value, self.parts = by, value, parts
         shares = F.array(*(F.lit(i / parts) for i in range(1, parts))) if parts > 1 else F.array(F.lit(1.0))
         cuts = F.percentile_approx(value, shares, F.lit(20 * parts))
-        self.cuts = saved(df.groupBy(key_of(by).alias("range_key")).agg(cuts.alias("cuts")), "splitters")
+        self.cuts = small(saved(df.groupBy(key_of(by).alias("range_key")).agg(cuts.alias("cuts")), "splitters"))
 
     def deal(self, df: DataFrame) -> DataFrame:
         """``df`` with ``range_key`` and ``part``, the number of splitters below
         the value."""
         part = F.when(F.col("cuts").isNull(), 0).otherwise(splitters_below(F.col("cuts"), F.col(self.value), self.parts))
         rows = df.withColumn("range_key", key_of(self.by))
-        return rows.join(small(self.cuts), "range_key").withColumn("part", part).drop("cuts")
+        return rows.join(self.cuts, "range_key").withColumn("part", part).drop("cuts")
 
 
 def before(totals: DataFrame, by: list[str], part: str, sums: list[str]) -> DataFrame:
