@@ -47,17 +47,20 @@ def _sorted(rows: DataFrame, few: DataFrame) -> DataFrame:
     return lists.select("key", F.inline(at))
 
 
-def _divided(rows: DataFrame, many: DataFrame, buckets: int) -> DataFrame:
-    """The buckets, as in ``_OPEN``, of open ones that have a wanted rank.
+def _cuts(buckets: int) -> Column:
+    """Ascending splitters of ``value`` from a mergeable sketch."""
+    shares = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
+    return F.array_distinct(F.percentile_approx("value", shares, F.lit(20 * buckets))).alias("cuts")
+
+
+def _divided(rows: DataFrame, many: DataFrame, cuts: DataFrame, buckets: int) -> DataFrame:
+    """The buckets, as in ``_OPEN``, of open ones that have a wanted rank, by
+    the written splitters ``cuts``: those that count buckets also name them.
 
     Each splitter is a bucket of its own, so a value that very many rows have is
     found at once, and between two splitters lie few rows of the rest.
     """
-    shares = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
-    cuts = F.percentile_approx("value", shares, F.lit(20 * buckets))
     inside = _inside(rows, many)
-    # written once: buckets are counted by the same splitters that name them
-    cuts = saved(inside.groupBy("key", "earlier").agg(F.array_distinct(cuts).alias("cuts")), "splitters")
     below = splitters_below(F.col("cuts"), F.col("value"), buckets)
     equal = F.coalesce(F.get("cuts", F.col("below")) == F.col("value"), F.lit(False)).cast("int")
     counted = inside.join(small(cuts), ["key", "earlier"]).withColumn("below", below).withColumn("bucket", 2 * F.col("below") + equal)
@@ -72,16 +75,20 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[floa
     """by, column_name, n and quantiles (in the order of ``points``) of every
     column's known values: the numbers that ``percentile`` gives, to the bit.
 
-    ``df`` is read twice a round, and a round leaves about one value in
-    ``buckets``; NaN is the greatest value.  A column without values, or an
+    ``df`` is computed once, and its columns written.  They are read three times:
+    for sizes and splitters, to count buckets, and for the values of the open
+    buckets, about one in ``buckets``, which are written and are all that later
+    rounds read.  NaN is the greatest value.  A column without values, or an
     empty table, gives no row.
     """
     if not points or not all(0 <= p <= 1 for p in points):
         raise ValueError("points are shares from 0 to 1")
     by = list(by)
-    pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns))
-    rows = df.select(*by, F.inline(pairs)).where("value is not null").select(key_of([*by, "column_name"]).alias("key"), "value")
-    sizes = saved(rows.groupBy("key").agg(F.count("*").alias("n")), "quantile-sizes")
+    rows = saved(df.select(*by, *(F.col(c).cast("double").alias(f"values_{i}") for i, c in enumerate(columns))), "quantile-columns")
+    pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"values_{i}").alias("value")) for i, c in enumerate(columns)))
+    rows = rows.select(*by, F.inline(pairs)).where("value is not null").select(key_of([*by, "column_name"]).alias("key"), "value")
+    sizes = saved(rows.groupBy("key").agg(F.count("*").alias("n"), _cuts(buckets)), "quantile-sizes")
+    cuts, sizes = sizes.select("key", F.lit(0).cast("long").alias("earlier"), "cuts"), sizes.drop("cuts")
     none = F.lit(None).cast("double")
     open_ = sizes.select("key", none.alias("low"), none.alias("high"), F.lit(0).cast("long").alias("earlier"), "n", _ranks(points, F.col("n")).alias("ranks"))
     found = []
@@ -92,7 +99,11 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[floa
         many = open_.where(~one & (F.col("n") > few))
         if not many.count():
             break
-        open_ = saved(_divided(rows, many, buckets), "quantile-buckets").select(*_OPEN)
+        if cuts is None:
+            cuts = saved(_inside(rows, many).groupBy("key", "earlier").agg(_cuts(buckets)), "splitters")
+        open_ = saved(_divided(rows, many, cuts, buckets), "quantile-buckets").select(*_OPEN)
+        wanted = open_.where(F.col("low") < F.col("high"))
+        rows, cuts = saved(_inside(rows, wanted).select("key", "value"), "quantile-rest"), None
     if not found:
         return sizes.select("key.*", "n", F.array().cast("array<double>").alias("quantiles"))
     values = found[0]

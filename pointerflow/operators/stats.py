@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import saved
 from .quantiles import exact_quantiles, quantiles_by_column
 from .ranges import Ranges, before
 
@@ -32,16 +33,17 @@ def paired_summary(pairs: DataFrame, selected: bool = False) -> DataFrame:
 def average_rank(df: DataFrame, by: list[str], value: str, weights: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
     """by, value, n (rows tied), rank (their mean rank) and the summed weights.
 
-    Rows are first counted by distinct value.  The values of a key are dealt out
-    by ranges (``parts`` of them, as many as shuffle partitions by default), so a
+    Rows are first counted by distinct value, in the only pass over ``df``, and
+    the counts written.  The values of a key are dealt out by ranges (``parts`` of them, as many as shuffle partitions by default), so a
     key with very many values is no single task: a range ranks its own values,
     and the rows in the ranges before it are added.  Ties share a range.
     """
     weights = weights or {}
-    ranges = Ranges(df, by, value, parts)
-    totals = ranges.deal(df.select(*by, value)).groupBy("range_key", "part").agg(F.count("*").alias("rows"))
+    counts = saved(df.groupBy(*by, value).agg(F.count("*").alias("n"), *(F.sum(w).alias(k) for k, w in weights.items())), "rank-counts")
+    ranges = Ranges(counts, by, value, parts)
+    counts = ranges.deal(counts)
+    totals = counts.groupBy("range_key", "part").agg(F.sum("n").alias("rows"))
     totals = before(totals, ["range_key"], "part", ["rows"]).select("range_key", "part", "rows_before")
-    counts = ranges.deal(df.groupBy(*by, value).agg(F.count("*").alias("n"), *(F.sum(w).alias(k) for k, w in weights.items())))
     within = Window.partitionBy("range_key", "part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.coalesce(F.sum("n").over(within), F.lit(0))
     ranked = counts.withColumn("earlier", earlier).join(totals, ["range_key", "part"])

@@ -26,7 +26,7 @@ from ..operators import split as sp
 from ..operators import stats as st
 from ..sources import fixtures as fx
 from ..sources import io
-from ..sources.scratch import scratch
+from ..sources.scratch import saved, scratch
 from . import oracle as o
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,11 @@ def features_of(s: SparkSession, d: str) -> DataFrame:
     return ev.with_participant_id(fe.extract_features(actions_of(s, d)))
 
 
+def written_features_of(s: SparkSession, d: str) -> DataFrame:
+    """Features, written once for what reads them several times."""
+    return saved(features_of(s, d), "features")
+
+
 # -- projections, checks
 
 _EV = "WITH " + o.EVENTS
@@ -536,7 +541,7 @@ def _(s, d):
 
 @query("pr1_data_quality_by_selection", ORACLE_SQL["pr1_data_quality"])
 def _(s, d):
-    return pr.data_quality(features_of(s, d), list(_NUM), selected=True)
+    return pr.data_quality(written_features_of(s, d), list(_NUM), selected=True)
 
 
 @query("pr1_value_counts", sql(o.FEATURES, "feature='action_type';value=action_type;#n=count(*)", "FROM ft GROUP BY 2 UNION ALL SELECT 'dom_element_type', dom_element_type, count(*) FROM ft GROUP BY 2"))
@@ -576,7 +581,7 @@ def _(s, d):
 
 @query("pr5_apply_categories", sql(o.FEATURES + _HM + _TF + _CT, "session_key;#action_idx;#module_code=CASE module_id WHEN 'behavior_RESS' THEN 0 WHEN 'behavior_EADS' THEN 1 ELSE 2 END;#action_code=CASE action_type WHEN 'mouse_movement' THEN 0 WHEN 'hover' THEN 1 WHEN 'pause' THEN 2 ELSE 3 END;#tag_code=coalesce(ct.id, (SELECT id FROM ct WHERE category = 'Other'))", "FROM tf LEFT JOIN ct ON ct.category = tf.tag"))
 def _(s, d):
-    f = pr.handle_missing(features_of(s, d))
+    f = pr.handle_missing(written_features_of(s, d))
     return pr.apply_categories(f, pr.fit_categories(f)).select("session_key", "action_idx", "module_code", "action_code", "tag_code")
 
 
@@ -591,12 +596,12 @@ _SC = _CL + ", sc1 AS (" + " UNION ALL ".join(_PARTS) + ")"
 
 @query("pr6_to_pr9_fit_scaling", sql(o.FEATURES + _HM + _TF + _SC, "feature;method;~center;~scale;~low;~high", "FROM sc1"))
 def _(s, d):
-    return pr.fit_scaling(pr.transform_features(pr.handle_missing(features_of(s, d))))
+    return pr.fit_scaling(pr.transform_features(pr.handle_missing(written_features_of(s, d))))
 
 
 @query("pr6_to_pr9_fit_scaling_by_selection", ORACLE_SQL["pr6_to_pr9_fit_scaling"])
 def _(s, d):
-    return pr.fit_scaling(pr.transform_features(pr.handle_missing(features_of(s, d))), selected=True)
+    return pr.fit_scaling(pr.transform_features(pr.handle_missing(written_features_of(s, d))), selected=True)
 
 
 _FOLD = ", pe AS (SELECT DISTINCT participant AS participant_id FROM ev), fo AS (SELECT participant_id, ntile(3) OVER (ORDER BY md5('7|' || participant_id), participant_id) - 1 AS fold FROM pe)"
