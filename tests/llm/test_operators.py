@@ -617,6 +617,17 @@ def test_wrapper_decides(spark):
     assert "Home 4" in html.main_text(html.parse(rows[2][2]), None)
 
 
+def test_rare_slots_stay_on_large_hosts(spark):
+    """A menu that one page in 130 has is left out, also beside very many slots."""
+    story = "<body><article><h1>Title {i}</h1><p>Story {i} goes on for a while.</p>{more}</article>{odd}</body>"
+    menu = "<div class=x1><a href=/a>Link one to somewhere</a> <a href=/b>Link two</a></div>"
+    odd = "".join(f"<section class=o{i}>{i}</section>" for i in range(html.SLOTS + 1))
+    for extra in ("", odd):
+        pages = [(i, f"http://h.net/{i}", story.format(i=i, more=menu if i == 2 else "", odd=extra if i == 1 else "")) for i in range(130)]
+        got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()}
+        assert got[2] == "Title 2 Story 2 goes on for a while."
+
+
 @pytest.mark.parametrize("page", ["<div>" * 10_000 + "x" + "</div>" * 10_000, "<a " * 20_000, '<div a="' * 20_000, "<button>" * 20_000 + "</canvas>" * 20_000, "<p>x</p><h2>y</h2>" * 20_000, "<!--" * 20_000, "<p " + "a=" * 50_000])
 def test_hostile_pages(page):
     began = time.process_time()
