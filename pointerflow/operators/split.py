@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import saved
 from .ranges import before
 
 
@@ -75,6 +76,7 @@ def split_participants(df: DataFrame, train_pct: float, seed: int, strata: DataF
         people = people.withColumn("stratum", F.lit(""))
     else:
         people = people.join(strata, "participant_id", "left").withColumn("stratum", F.when(F.col("stratum").isNull(), F.raise_error(F.concat(F.lit("no stratum for "), "participant_id"))).otherwise(F.col("stratum").cast("string")))
+    people = saved(people, "people")  # counted, dealt out and ordered
     quota = people.groupBy("stratum").agg(F.count("*").alias("n")).withColumn("base", F.floor(F.col("n") * train_pct)).withColumn("part", F.round(F.col("n") * train_pct - F.col("base"), 9))
     totals = quota.agg(F.floor(F.sum("n") * train_pct).alias("goal"), F.sum("base").alias("given"), F.sum("n").alias("everyone"))
     rank = F.row_number().over(Window.orderBy(F.desc("part"), "stratum"))  # one row a stratum
@@ -89,13 +91,20 @@ def apply_split(df: DataFrame, participants: DataFrame) -> DataFrame:
 
 def split_summary(df: DataFrame, splits: DataFrame, session: str = "session_key") -> DataFrame:
     """Participants, sessions and rows of each side and in all (split null)."""
-    return df.join(splits, "participant_id").rollup("split").agg(F.count_distinct("participant_id").alias("participants"), F.count_distinct(session).alias("sessions"), F.count("*").alias("n_rows"))
+    return summary_of_sides(df.join(splits, "participant_id"), session)
+
+
+def summary_of_sides(rows: DataFrame, session: str = "session_key") -> DataFrame:
+    """The summary of rows that have their ``split``.  Rows are first counted by
+    session, so that distinct counts and the rollup multiply sessions alone."""
+    per = rows.groupBy("split", "participant_id", session).agg(F.count("*").alias("n"))
+    return per.rollup("split").agg(F.count_distinct("participant_id").alias("participants"), F.count_distinct(session).alias("sessions"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
 
 
 def group_folds(df: DataFrame, k: int, seed: int) -> DataFrame:
     """participant_id and fold (0 to k-1), folds of nearly equal size: the first
     ones have one more where the number is no multiple of ``k``."""
-    people = df.select("participant_id").where("participant_id is not null").distinct()
+    people = saved(df.select("participant_id").where("participant_id is not null").distinct(), "people")
     least, more = F.floor(F.col("all") / k), F.col("all") % k
     at = F.col("place") - 1
     full = more * (least + 1)  # places in folds with one more

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import find_column
 from .json_parts import array_elements, list_elements
+from .scratch import saved
 
 POINT = "timestamp:double,x:double,y:double"
 MODULE = f"struct<mouseMovements:array<struct<{POINT}>>,clicks:struct<clickDetails:array<struct<{POINT},node:string>>>,userInfo:struct<participantId:string>>"
@@ -134,13 +135,15 @@ def write_features(features: DataFrame, path: str) -> None:
 
 def write_split(df: DataFrame, splits: DataFrame, out: str) -> None:
     """Rows by side, the participants of each side (files in order of their
-    names) and the summary."""
-    from ..operators.split import split_summary
+    names) and the summary, which is taken from the written rows."""
+    from ..operators.split import summary_of_sides
 
-    df.join(splits, "participant_id").write.partitionBy("split").parquet(f"{out}/rows")
+    splits = saved(splits, "splits")
+    rows = df.join(splits, "participant_id")
+    rows.write.partitionBy("split").parquet(f"{out}/rows")
     for side in ("train", "test"):
         splits.where(F.col("split") == side).select("participant_id").orderBy("participant_id").write.text(f"{out}/{side}_participants")
-    split_summary(df, splits).write.json(f"{out}/summary")
+    summary_of_sides(df.sparkSession.read.schema(rows.schema).parquet(f"{out}/rows")).write.json(f"{out}/summary")
 
 
 def read_participants(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
