@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip
+from ..sources.scratch import saved
 from . import preprocess as pr
 from .quantiles import exact_quantiles
 from .split import group_folds
@@ -154,7 +155,8 @@ def folds_ready(df: DataFrame, k: int, seed: int) -> DataFrame:
 def rounds(ready: DataFrame, k: int, sketch: int | None = None, min_count: int = 20, drop_xy: bool = True) -> Iterator[tuple[int, DataFrame, DataFrame]]:
     """For each round its number, train rows and held-out rows, both transformed
     by what the train rows taught."""
-    params, categories = fit_all_folds(ready, k, sketch), fit_all_categories(ready, k, min_count=min_count)
+    params = fit_all_folds(ready, k, sketch)
+    categories = saved(fit_all_categories(ready, k, min_count=min_count), "fold-categories")  # every side reads them
     for i in range(k):
         fitted, tags = params.where(F.col("round") == i).drop("round"), categories.where(F.col("round") == i).drop("round")
         sides = (ready.where(F.col("fold") != i), ready.where(F.col("fold") == i))

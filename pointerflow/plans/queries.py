@@ -621,7 +621,7 @@ def _all_rounds(held: str, rest: str) -> str:
 
 def folds_of(s, d):
     path = scratch(s, "features-in-folds")
-    fo.folds_ready(features_of(s, d), 3, 7).write.parquet(path)
+    fo.folds_ready(written_features_of(s, d), 3, 7).write.parquet(path)
     return s.read.parquet(path)
 
 
@@ -918,7 +918,9 @@ _BQ = _BP + o.SCORES[o.SCORES.index("qs0 AS") - 2 : o.SCORES.index("lk AS") - 2]
 
 
 def profiles_of(s, d):
-    return an.join_profiles(an.behavior_profiles(features_of(s, d), _BPC), an.participant_eads(scores_of(s, d)))
+    """A row a participant, written once: what follows reads them several times."""
+    profiles = saved(an.behavior_profiles(features_of(s, d), _BPC), "profiles")
+    return saved(an.join_profiles(profiles, an.participant_eads(scores_of(s, d))), "profiles-with-scores")
 
 
 @query("an10_join_profiles", sql(_BQ, "participant_id;#sessions;~cursor_speed;~action_duration;~time_since_last_action;~EADS_Depressao=dep;~EADS_Ansiedade=anx;~EADS_Stress=str", "FROM bj"))
