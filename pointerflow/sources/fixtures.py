@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MODULES = ("behavior_WAI_sr", "behavior_EADS", "behavior_RESS")
@@ -53,11 +53,19 @@ def raw_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reconstruction metrics of sessions: one for each order."""
+    """Reconstruction metrics of sessions: one for each order.
+
+    An order's lines are added up in the order of the table's files, however they
+    are dealt out: means that are equal but for rounding compare by that order.
+    """
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     module = F.when(F.col("o_orderkey") % 3 == 0, "behavior_RESS").when(F.col("o_orderkey") % 3 == 1, "behavior_EADS").otherwise("behavior_WAI_sr")
     pid = F.concat(F.lit("P"), F.lpad(F.col("o_custkey").cast("string"), 6, "0"))
-    per = li.groupBy("l_orderkey").agg(F.avg(F.col("l_discount").cast("double")).alias("mse_model"), F.avg(F.col("l_tax").cast("double")).alias("mse_baseline"), F.sum(F.col("l_quantity").cast("double")).cast("bigint").alias("length_raw"))
+    placed = li.select("l_orderkey", *(F.col(c).cast("double").alias(c) for c in ("l_discount", "l_tax", "l_quantity")), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    lines = Window.partitionBy("l_orderkey").orderBy("file", "place")
+    so_far = lines.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = placed.select("l_orderkey", F.avg("l_discount").over(so_far).alias("mse_model"), F.avg("l_tax").over(so_far).alias("mse_baseline"), F.sum("l_quantity").over(so_far).cast("bigint").alias("length_raw"), F.lead(F.lit(True)).over(lines).alias("more"))
+    per = summed.where("more is null").drop("more")
     rows = o.join(per, o.o_orderkey == per.l_orderkey).select(F.concat_ws("|", pid, F.substring("o_orderpriority", 1, 1), module, F.col("o_orderkey").cast("string")).alias("session_id"), pid.alias("participant_id"), "mse_model", "mse_baseline", "length_raw")
     return rows.where("mse_baseline > 0").withColumn("length", F.least("length_raw", F.lit(150).cast("bigint"))).withColumn("improvement_pct", 100 * (F.col("mse_baseline") - F.col("mse_model")) / (F.col("mse_baseline") + 1e-12))
 
