@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,16 +96,36 @@ def quantiles(c, points, accuracy: int | None = None) -> Column:
 
 def path_steps(path) -> dict[str, Column]:
     """Arrays over the steps of a path: dt, dist, speed, speed_change, angle."""
-    path = col(path)
-    dt = _pairs(path, lambda a, b: b["t"] - a["t"])
-    dist = _pairs(path, lambda a, b: euclidean(a["x"], a["y"], b["x"], b["y"]))
-    speed = F.zip_with(dist, dt, lambda d, t: F.when(t > 0, d / t).otherwise(0.0))
+    first = _steps(col(path))
+    speed = _speed(first["dist"], first["dt"])
+    return {"dt": first["dt"], "dist": first["dist"], "speed": speed, **_turns(first["vector"], speed)}
+
+
+def with_path_steps(df: DataFrame, path: str, prefix: str = "s_") -> DataFrame:
+    """``path_steps`` as columns, each computed from those before it once."""
+    df = df.withColumns({f"{prefix}{k}": c for k, c in _steps(F.col(path)).items()})
+    df = df.withColumn(f"{prefix}speed", _speed(F.col(f"{prefix}dist"), F.col(f"{prefix}dt")))
+    return df.withColumns({f"{prefix}{k}": c for k, c in _turns(F.col(f"{prefix}vector"), F.col(f"{prefix}speed")).items()})
+
+
+def _steps(path: Column) -> dict[str, Column]:
     n = F.size(path)
-    steps = F.when(n > 1, F.zip_with(F.slice(path, 1, n - 1), F.slice(path, F.lit(2), n - 1), lambda a, b: F.struct((b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"))))
-    m = n - 1
-    change = F.when(m > 1, F.zip_with(F.slice(speed, 1, m - 1), F.slice(speed, F.lit(2), m - 1), lambda a, b: b - a)).otherwise(F.array().cast("array<double>"))
-    angle = F.when(m > 1, F.zip_with(F.slice(steps, 1, m - 1), F.slice(steps, F.lit(2), m - 1), lambda a, b: turn_angle(a["dx"], a["dy"], b["dx"], b["dy"]))).otherwise(F.array().cast("array<double>"))
-    return {"dt": dt, "dist": dist, "speed": speed, "speed_change": change, "angle": angle}
+    vector = lambda a, b: F.struct((b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"))
+    return {
+        "dt": _pairs(path, lambda a, b: b["t"] - a["t"]),
+        "dist": _pairs(path, lambda a, b: euclidean(a["x"], a["y"], b["x"], b["y"])),
+        "vector": F.when(n > 1, F.zip_with(F.slice(path, 1, n - 1), F.slice(path, F.lit(2), n - 1), vector)),
+    }
+
+
+def _speed(dist: Column, dt: Column) -> Column:
+    return F.zip_with(dist, dt, lambda d, t: F.when(t > 0, d / t).otherwise(0.0))
+
+
+def _turns(vector: Column, speed: Column) -> dict[str, Column]:
+    """What changes from a step to the next."""
+    angle = lambda a, b: turn_angle(a["dx"], a["dy"], b["dx"], b["dy"])
+    return {"speed_change": _pairs(speed, lambda a, b: b - a), "angle": _pairs(vector, angle)}
 
 
 def _side(px, py, qx, qy, rx, ry):
@@ -175,10 +195,34 @@ def count_crossings(x: np.ndarray, y: np.ndarray, few: int = 1024, block: int =
     return total
 
 
-def _crossings(xs: pd.Series, ys: pd.Series) -> pd.Series:
-    return pd.Series([0 if x is None else count_crossings(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(xs, ys)])
+def crossings_of_each(xs: pa.Array, ys: pa.Array, few: int = 1024, block: int = 1 << 18) -> pa.Array:
+    """``count_crossings`` of each row's path, 0 for null; paths of one length
+    are counted together, about ``block`` pairs of segments a step."""
+    counts = np.zeros(len(xs), np.int32)
+    there = xs.is_valid().to_numpy(zero_copy_only=False)
+    starts, ends = (np.asarray(xs.offsets)[k : len(xs) + k] for k in (0, 1))
+    points = np.where(there, ends - starts, 0)
+    x, x_at = xs.values.to_numpy(zero_copy_only=False), starts
+    y, y_at = ys.values.to_numpy(zero_copy_only=False), np.asarray(ys.offsets)[: len(ys)]
+    for n in np.unique(points[points > 3]).tolist():
+        rows = np.flatnonzero(points == n)
+        if n - 1 > few:
+            for r in rows.tolist():
+                counts[r] = count_crossings(x[x_at[r] : x_at[r] + n], y[y_at[r] : y_at[r] + n], few)
+            continue
+        i, j = np.triu_indices(n - 1, 2)
+        for some in np.array_split(rows, -(-len(rows) * len(i) // block)):
+            px, py = (v[at[some] + np.arange(n)[:, None]] for v, at in ((x, x_at), (y, y_at)))
+            counts[some] = _cross(px[:-1], py[:-1], px[1:], py[1:], i, j).sum(0)
+    return pa.array(counts)
 
 
 def self_intersections(path) -> Column:
+    """Crossings of a path; one of fewer than four points has none and isn't sent to Python."""
     path = col(path)
-    return F.pandas_udf(_crossings, "int")(F.transform(path, lambda p: p["x"]), F.transform(path, lambda p: p["y"]))
+    xs, ys = (F.when(F.size(path) > 3, a) for a in (F.transform(path, lambda p: p["x"]), F.transform(path, lambda p: p["y"])))
+
+    def counted(xs: pa.Array, ys: pa.Array) -> pa.Array:
+        return crossings_of_each(xs, ys)
+
+    return F.arrow_udf(counted, "int")(xs, ys)

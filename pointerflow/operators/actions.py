@@ -127,7 +127,7 @@ def scan_events(deltas: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
         ends = np.append(new[1:], last_ends)
         pause, click, idx = column("pause").astype(bool), column("is_click").astype(bool), column("event_idx").astype(np.int64)
         near, moving = (f(batch.column("dist"), x).fill_null(False).to_numpy(zero_copy_only=False) for f, x in ((pc.less, th.hover_radius), (pc.greater, 0.0)))
-        found, state.anchor = _scan(state.anchor, new, ends, near, pause, click, [batch.column(c).to_pylist() for c in NARROW[1:7]], th)
+        found, state.anchor = _scan(state.anchor, new, ends, near, pause, click, [column(c).tolist() for c in NARROW[1:7]], th)
         closed = np.zeros(n, bool)
         closed[[i for i, h in found.items() if not h[4]]] = True
         moving = moving & ~pause & ~click
@@ -150,7 +150,10 @@ def scan_events(deltas: DataFrame, th: Thresholds = DEFAULT) -> DataFrame:
             own = placed - base
             numbers = {i: int(earlier[i] - base[i] + (begun[i] if h[4] else 0)) for i, h in found.items()}
             state.actions, state.earlier, state.own, state.pause = int(earlier[-1] + begun[-1]), int(base[-1]), int(placed[-1]), bool(pause[-1])
-        hovers = pa.array([dict(zip(("start", "x", "y", "end", "flushed", "number"), (*h, numbers[i]))) if (h := found.get(i)) else None for i in range(n)], hover)
+        some = pa.array([dict(zip(hover.names, (*h, numbers[i]))) for i, h in found.items()], hover)
+        at = np.full(n, -1)
+        at[list(found)] = np.arange(len(found))
+        hovers = some.take(pa.array(at, mask=at < 0))
         return pa.RecordBatch.from_arrays([*batch.columns, hovers, pa.array(own)], names=[*names, "hover", "own"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,13 +181,10 @@ def _parts() -> Column:
     """The actions that an event has a part in: kind and number."""
     part = lambda kind, number: F.struct(F.lit(kind).alias("type"), F.col(number).alias("number"))
     moving = ~F.col("pause") & ~F.col("is_click") & F.coalesce(F.col("dist") > 0, F.lit(False))
-    parts = [
-        F.when(F.col("pause"), part("pause", "own")),
-        F.when(F.col("is_click") & (F.col("event_idx") > 1), part("click", "own")),
-        F.when(F.col("hover").isNotNull(), part("hover", "hover.number")),
-        F.when(moving, part("mouse_movement", "own")),
-    ]
-    return F.filter(F.array(*parts), lambda p: p.isNotNull())
+    one = F.when(F.col("pause"), part("pause", "own")).when(F.col("is_click") & (F.col("event_idx") > 1), part("click", "own")).when(moving, part("mouse_movement", "own"))
+    hover = part("hover", "hover.number")
+    none = F.col("hover").isNull()
+    return F.when(none & one.isNotNull(), F.array(one)).when(none, F.array().cast("array<struct<type:string,number:bigint>>")).when(one.isNotNull(), F.array(one, hover)).otherwise(F.array(hover))
 
 
 def _assembled(scanned: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def group_actions(events: DataFrame, th: Thresholds = DEFAULT, long: int = LONG)
     known = recorded_by(events)
     wanted = valid_events(events).select(*known, *(c for c in ("t", "x", "y", "is_click", "node", "ord")))
     made = None
-    for deltas in deltas_of(wanted, lambda: is_pause(th), long):
+    for deltas in deltas_of(wanted, lambda: is_pause(th), long, events):
         actions = _assembled(scan_events(deltas, th))
         actions = numbered(actions) if "piece" in deltas.columns else actions
         made = actions if made is None else made.unionByName(actions)

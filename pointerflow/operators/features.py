@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import dom_tag, euclidean, normalize, path_steps, self_intersections
+from ..functions.scalar import dom_tag, euclidean, normalize, self_intersections, with_path_steps
 from .events import sequence
 
 EPS = 1e-6
@@ -57,12 +57,12 @@ def _action_features(placed: DataFrame) -> DataFrame:
     rows = placed.withColumn("raw", F.when(moves, whole)).where(~moves | (F.size("raw") >= 2))
     rows = with_time_since_last(rows.withColumn("time", F.when(clicks, F.col("timestamp")).when(moves, F.coalesce("timestamp", F.try_element_at("raw", F.lit(-1))["t"])).otherwise(F.col("end"))))
     rows = rows.withColumn("points", F.transform("raw", lambda p: F.struct(normalize(p["x"], "x_center", "x_scale").alias("x"), normalize(p["y"], "y_center", "y_scale").alias("y"), p["t"].alias("t"))))
-    for name, c in path_steps("points").items():
-        rows = rows.withColumn(f"s_{name}", c)
+    rows = with_path_steps(rows, "points").withColumn("s_total", _total(F.col("s_dist")))
+    # a column of its own: inside the lambda of jitter it would be added up anew for every step
+    rows = rows.withColumn("s_mean", F.when(F.size("s_dist") > 0, F.col("s_total") / F.size("s_dist")).otherwise(0.0))
     first, last, raw_last = (F.try_element_at(c, F.lit(i)) for c, i in ((F.col("points"), 1), (F.col("points"), -1), (F.col("raw"), -1)))
-    total, offset = _total(F.col("s_dist")), euclidean(first["x"], first["y"], last["x"], last["y"])
-    mean = _mean(F.col("s_dist"))
-    jitter = F.sqrt(_mean(F.transform("s_dist", lambda d: (d - mean) * (d - mean))))
+    total, offset = F.col("s_total"), euclidean(first["x"], first["y"], last["x"], last["y"])
+    jitter = F.sqrt(_mean(F.transform("s_dist", lambda d: (d - F.col("s_mean")) * (d - F.col("s_mean")))))
     lasts = last["t"] - first["t"]
     dwell = F.coalesce("end", F.lit(0.0)) - F.coalesce("start", F.lit(0.0))
     rows = rows.withColumns({"distance_travelled": F.when(moves, total), "acceleration_mean": F.when(moves, _mean(F.col("s_speed_change"))), "movement_offset": F.when(moves, offset), "jitter": F.when(F.size("s_dist") > 1, jitter).when(moves, 0.0)})
@@ -75,14 +75,15 @@ def _action_features(placed: DataFrame) -> DataFrame:
         "curvature_mean": _mean(F.col("s_angle")),
         "rate_of_curvature": zero(_total(F.col("s_angle")), F.col("distance_travelled")),
         "straightness": zero(F.col("movement_offset"), F.col("distance_travelled")),
-        "self_intersections": self_intersections(F.coalesce("points", F.array().cast("array<struct<x:double,y:double,t:double>>"))),
     }
     placed_at = {c: F.when(moves, last[c]).otherwise(normalize(c, f"{c}_center", f"{c}_scale")) for c in "xy"}
     raw_at = {f"{c}_raw": F.when(moves, raw_last[c]).otherwise(F.col(c)) for c in "xy"}
-    return rows.select(
-        "session_key", "action_idx", F.col("type").alias("action_type"), F.when(clicks, dom_tag("node")).alias("dom_element_type"), "time", "time_since_last_action",
+    out = rows.select(
+        "session_key", "action_idx", F.col("type").alias("action_type"), "points", F.when(clicks, dom_tag("node")).alias("dom_element_type"), "time", "time_since_last_action",
         "action_duration", "acceleration_mean", "jitter", "distance_travelled", "movement_offset", *(F.when(moves, c).alias(k) for k, c in moved.items()), *(c.alias(k) for k, c in (placed_at | raw_at).items()),
     )
+    # last, so that rows wait for Python without the columns between
+    return out.withColumn("self_intersections", F.when(F.col("action_type") == "mouse_movement", self_intersections("points"))).drop("points")
 
 
 _NAMED = ("session_key", "action_idx", "action_type", "dom_element_type", "time")

@@ -79,9 +79,13 @@ def cut_deltas(events: DataFrame, is_pause: Callable[[], Column], parts: int | N
     return rows.drop("n", "pausing", "cut", "still", "cuts", "stills", *(c for c in rows.columns if c.startswith("carried_")))
 
 
-def deltas_of(events: DataFrame, is_pause: Callable[[], Column], most: int = LONG) -> list[DataFrame]:
-    """Deltas of the short sequences and, if there are any, of the long ones."""
-    long = long_sequences(events, most)
+def deltas_of(events: DataFrame, is_pause: Callable[[], Column], most: int = LONG, counted: DataFrame | None = None) -> list[DataFrame]:
+    """Deltas of the short sequences and, if there are any, of the long ones.
+
+    Lengths are counted on ``counted``, if given: rows that may hold more than
+    ``events`` and need only the keys to be read.
+    """
+    long = long_sequences(events if counted is None else counted, most)
     if long is None:
         return [with_deltas(events)]
     short, far = apart(events, long)
