@@ -669,6 +669,38 @@ def test_tree_match_is_best(seed):
     assert 1 + sum(brute_match(a[3][i], b[3][j]) for i, j in pairs) == brute_match(a, b) == html._match_size(a, b)
 
 
+@pytest.mark.parametrize("depth", [0, 1])
+def test_tree_match_of_many_children_is_best(depth):
+    """600 children match as fully as six do."""
+    rnd = random.Random(depth)
+
+    def tree(depth):
+        return [rnd.choice("abc"), 1, 1, [tree(depth - 1) for _ in range(rnd.randint(0, 2))] if depth else [], 0, 0]
+
+    a, b = ([tree(depth) for _ in range(n)] for n in (600, 610))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(max(before[j + 1], row[j], before[j] + brute_match(x, y)))
+    pairs = html.tree_match(a, b)
+    assert pairs == sorted(pairs) and len({j for _, j in pairs}) == len({i for i, _ in pairs}) == len(pairs)
+    assert sum(brute_match(a[i], b[j]) for i, j in pairs) == row[-1] == html._match_size(["r", 1, 1, a, 0, 0], ["r", 1, 1, b, 0, 0]) - 1
+
+
+def test_tree_match_of_like_labels_is_best():
+    small, large = ["div", 1, 1, [], 0, 0], ["div", 1, 1, [[t, 1, 1, [], 0, 0] for t in ("h1", "p", "ul")], 0, 0]
+    assert html.tree_match([small, large], [large, small]) == [(1, 0)]
+
+
+def test_children_find_their_slots_by_their_trees(spark):
+    """Pages without a block that most of their host's have in front."""
+    page = "<body>{promo}<div><h1>Title {i}</h1><p>Story {i} goes on for a while about {j}.</p></div><div>All rights reserved</div></body>"
+    rows = [(i, f"http://h.net/{i}", page.format(i=i, j=i * 7, promo=f"<div><p>Buy {i}</p></div>" if i % 5 < 3 else "")) for i in range(20)]
+    got = {r.page_id: r.text for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert got == {i: f"Title {i} Story {i} goes on for a while about {i * 7}." for i in range(20)}
+
+
 def test_wrapper_finds_template(spark):
     body = "<body><div>Welcome to our site</div><div><p>Story {i} about {j}</p><p>More on {j}</p></div><div>All rights reserved</div></body>"
     rows = [(i, f"http://h.net/{i}", body.format(i=i, j=i * 7)) for i in range(12)] + [(50, "http://lone.net/x", "<div>only page</div>"), (51, None, "<p>x</p>"), (52, "http://h.net/n", None), (53, "nourl", "")]
